@@ -5,17 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sketchlake.llm.decontaminate import find_contamination
 from sketchlake.llm.jaccard_join import Join, join_documents
-from sketchlake.llm.runtime import table
+from sketchlake.llm.quality import FEATURES, base_features, judge
+from sketchlake.llm.runtime import checkpoint, table
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = base_features(table(spark, sf_dir, "documents")).select("row.doc_id", F.col("row.lang").alias("stratum"), *FEATURES, "base_failed")
+    judged = judge(checkpoint(features), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *FEATURES, "base_failed", "kept")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"), Join(shingle=4, num=85, den=100))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op9_decontamination": op9_decontamination,
 }
 
 _OP4_SQL = r"""
@@ -39,4 +55,24 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op4_ngram_jaccard_join": _OP4_SQL}
+_OP9_SQL = r"""
+WITH f AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), v AS (
+  SELECT DISTINCT item, n, win FROM (
+    SELECT item, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS win FROM b WHERE len(w) > 0)
+), lens AS (SELECT DISTINCT n FROM v),
+d AS (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM f, lens WHERE len(w) >= n)
+), o AS (SELECT d.doc_id, d.n, d.p, v.item FROM d JOIN v ON d.n = v.n AND d.win = v.win),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM o) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM o GROUP BY doc_id)
+SELECT f.doc_id, len(f.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(f.w) AS contaminated
+FROM f LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_decontamination": _OP9_SQL, "op4_ngram_jaccard_join": _OP4_SQL}
