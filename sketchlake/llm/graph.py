@@ -23,7 +23,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has bigint columns ``u`` and ``v``. Both steps only take a
     minimum per node and join it back, so a node with very many edges is
-    pre-aggregated and its join is one that AQE can split. Rounds grow with the
+    pre-aggregated and, as the minima are written first, its join is one that AQE can split. Rounds grow with the
     logarithm of the longest path. Lineage is cut after each round.
     """
     edges = checkpoint(_pointed(edges))
@@ -32,8 +32,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
+        large = edges.join(least, "v").select("u", F.col("m").alias("v")).distinct()
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(nearest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = checkpoint(small.where("u <> v").distinct())

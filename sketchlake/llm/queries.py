@@ -9,8 +9,26 @@ from pyspark.sql import functions as F
 
 from sketchlake.llm.decontaminate import find_contamination
 from sketchlake.llm.jaccard_join import Join, join_documents
+from sketchlake.llm.packing import pack
 from sketchlake.llm.quality import FEATURES, base_features, judge
 from sketchlake.llm.runtime import checkpoint, table
+from sketchlake.llm.sharding import shard_documents
+from sketchlake.llm.tokens import token_counts
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_vector_bin_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,14 +41,22 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"), Join(shingle=4, num=85, den=100))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vector_bin_sharding": op1_vector_bin_sharding,
+    "op2_best_two_fit_packing": op2_best_two_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_token_counts": op5_token_counts,
     "op9_decontamination": op9_decontamination,
 }
 
