@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchlake.llm.decontaminate import find_contamination
+from sketchlake.llm.html_text import extract_text
 from sketchlake.llm.jaccard_join import Join, join_documents
 from sketchlake.llm.packing import pack
 from sketchlake.llm.quality import FEATURES, base_features, judge
 from sketchlake.llm.runtime import checkpoint, table
 from sketchlake.llm.sharding import shard_documents
 from sketchlake.llm.tokens import token_counts
+from sketchlake.llm.url_filter import Rule, judge_urls
+
+#: The rules that op8 is asked to apply.
+URL_RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +51,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("row.page_id", "row.url", "text", "n_chars")
+
+
+def op8_link_graph_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -57,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_token_counts": op5_token_counts,
+    "op7_main_text": op7_main_text,
+    "op8_link_graph_url_filter": op8_link_graph_url_filter,
     "op9_decontamination": op9_decontamination,
 }
 
