@@ -448,11 +448,14 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     text has an empty set and links with nothing: its own component, no links. A
     text of fewer words than a shingle has its whole word sequence as the only
     shingle. Ties and repeated texts are one class with the smallest doc_id. An
-    empty table gives an empty result. Other columns are ignored.
+    empty table gives an empty result. Rows without a doc_id take no part and come
+    out with nulls. Other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nameless = docs.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component_id", "n_links")])
+    docs = docs.where("doc_id is not null")
     characters = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
     packed, bits = token_counters(docs, join, characters)
     counters = spark.sparkContext.broadcast(packed.tobytes())
@@ -479,6 +482,7 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
         .join(root, F.col("rep") == F.col("node"), "left")
         .select("name", "name2", "n", F.coalesce("label", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"))
     )
-    return named.join(classes, ["name", "name2", "n"], "left").select(
+    joined = named.join(classes, ["name", "name2", "n"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+    return joined.unionByName(nameless)

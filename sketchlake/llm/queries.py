@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from sketchlake.llm.decontaminate import find_contamination
 from sketchlake.llm.html_text import extract_text
 from sketchlake.llm.jaccard_join import Join, join_documents
+from sketchlake.llm.licenses import scan_licenses
 from sketchlake.llm.packing import pack
 from sketchlake.llm.quality import FEATURES, base_features, judge
 from sketchlake.llm.runtime import checkpoint, table
 from sketchlake.llm.sharding import shard_documents
+from sketchlake.llm.surrogates import replace_entities
 from sketchlake.llm.tokens import token_counts
 from sketchlake.llm.url_filter import Rule, judge_urls
 
+#: Stands in for a secret that a deployment would pass.
+SURROGATE_KEY = "surrogate-key-1"
 #: The rules that op8 is asked to apply.
 URL_RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
@@ -51,6 +55,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("row.page_id", "row.url", "text", "n_chars")
 
@@ -64,15 +72,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_bin_sharding": op1_vector_bin_sharding,
     "op2_best_two_fit_packing": op2_best_two_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_token_counts": op5_token_counts,
+    "op6_license_classifier": op6_license_classifier,
     "op7_main_text": op7_main_text,
     "op8_link_graph_url_filter": op8_link_graph_url_filter,
     "op9_decontamination": op9_decontamination,
+    "op10_surrogate_generation": op10_surrogate_generation,
 }
 
 _OP4_SQL = r"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,10 +36,22 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is
     unset (single-machine tests) a temporary one is made.
     """
-    context = frame.sparkSession.sparkContext
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
-    return frame.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def store(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared folder as Parquet and read back; for rows with whole texts."""
+    path = f"{shared_folder(frame.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
