@@ -1,7 +1,7 @@
 """Vectorised text kernels for Arrow batches: word spans, word hashes, shingle sets.
 
-A batch's strings lie in one byte buffer. Documents are taken in groups of about
-a megabyte, so memory does not follow the batch size, and every step is a numpy
+A batch's strings lie in one byte buffer. Documents are taken in groups that fit
+a cache, so memory does not follow the batch size, and every step is a numpy
 operation over the whole group. A single text is never split across groups,
 however long it is.
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -115,21 +115,21 @@ class Words:
     bounds: np.ndarray
 
 
-def words(group: Group, letters: Alphabet) -> Words:
+def words(group: Group, letters: Alphabet, kinds: np.ndarray | None = None, parted: np.ndarray | None = None) -> Words:
+    """The words of a group. In texts that ``parted`` marks, they are also cut where the kind of byte changes (``kinds``, by byte)."""
     data = group.bytes
     n = len(data)
     inside = np.zeros(n + 1, bool)
     inside[:n] = letters.word[data]
-    before = np.zeros(n + 1, bool)
-    before[1:] = inside[:n]
-    before[group.offsets] = False  # a word ends where its text does
-    start = np.flatnonzero(inside & ~before)
-    edge = inside.copy()
-    after = np.zeros(n + 1, bool)
-    after[:n] = inside[1:]
-    last = group.offsets[1:] - 1
-    after[last[last >= 0]] = False
-    end = np.flatnonzero(edge[:n] & ~after[:n]) + 1
+    cut = np.zeros(n + 1, bool)  # at i: no word goes on from byte i - 1 to byte i
+    cut[1:] = ~inside[:n]
+    cut[group.offsets] = True
+    if kinds is not None and n:
+        kind = kinds[data]
+        cut[1:n] |= (kind[1:] != kind[:-1]) & np.repeat(parted, np.diff(group.offsets))[1:]
+    start = np.flatnonzero(inside & cut)
+    cut |= ~inside
+    end = np.flatnonzero(inside[:n] & cut[1:]) + 1
     total = np.zeros(n + 1, _U)
     np.cumsum(letters.value[data] * _UP.upto(n), out=total[1:])
     code = mix((total[end] - total[start]) * _DOWN.upto(n + 1)[start] ^ (end - start).astype(_U))

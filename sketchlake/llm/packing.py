@@ -24,27 +24,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sketchlake.llm import kernels as K
 from sketchlake.llm.runtime import checkpoint, ship, shuffle_width
 from sketchlake.llm.tokens import load
 
-CACHE_WORDS, CACHED_LENGTH = 1_000_000, 48
-#: Texts with other characters are encoded whole: white space that Python and the tokenizer see differently, and characters that normalisation may join with a neighbour or whose lower case depends on context; special strings too.
-_OTHER = re.compile("[^\t\n\v\f\r -~¡-įı-ſ]|<[|]")
-#: Letters and a tail of ASCII signs and digits without apostrophes, which the tokenizer always parts.
-_SIMPLE = re.compile("([a-zß-öø-ÿ]+)([!-&(-@\\[-`{-~]*)")
+#: Words and ids that a process keeps; beyond, it begins anew.
+KEPT_WORDS, KEPT_IDS = 4_000_000, 40_000_000
+#: What the tokenizer takes as one pre-token.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: Kinds of bytes of which the tokenizer begins anew at each change, given letters beyond ASCII only and no apostrophes.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[9, 10, 11, 12, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC2, 0xC3, 0xC4, 0xC5]] = True
+
+
+def _some(bad: np.ndarray, group: K.Group) -> np.ndarray:
+    return np.diff(np.concatenate(([0], np.cumsum(bad)))[group.offsets]) > 0
+
+
+def needs_whole(group: K.Group) -> np.ndarray:
+    """Which texts must be encoded whole.
+
+    Those are texts with characters other than ASCII and U+00A1 to U+017F
+    (white space that is seen differently, characters that normalisation may
+    join with a neighbour, whose lower case depends on context or is longer), or with the beginning of a
+    special string.
+    """
+    data = group.bytes
+    bad = ~_PLAIN[data]
+    a, b = data[:-1], data[1:]
+    bad[1:] |= (a == 0xC2) & ((b <= 0xA0) | (b == 0xAD)) | (a == 0xC4) & (b == 0xB0) | (a == 0x3C) & (b == 0x7C)
+    return _some(bad, group)
+
+
+def can_part(group: K.Group) -> np.ndarray:
+    """Which texts have no apostrophe (contractions) and no sign beyond ASCII, so that letters and other characters are always parted."""
+    data = group.bytes
+    bad = (data == 0x27) | (data == 0xC2)
+    bad[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    return ~_some(bad, group)
 
 
 class WordEncoder:
-    """Ids as little-endian uint32 bytes, for a lower-casing tokenizer that never joins text across white space.
+    """Ids as uint32, for a lower-casing tokenizer that never joins text across white space.
 
-    White-space-separated parts are encoded on their own and kept, up to
-    CACHE_WORDS of them. New words of letters are encoded many at a time, as one
-    text whose pre-tokens they are.
+    White-space-separated words, in most texts parted further into letters and
+    others, are encoded once per process and kept by their 64-bit hash; a text's
+    ids are then gathered by array operations. New words of letters are encoded
+    many at a time, as one text whose pre-tokens they are.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin = np.zeros(1, np.int64)  # of slot i: ids[begin[i]:begin[i + 1]]
+        self.ids = np.zeros(0, np.uint32)
 
     def _raw(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -58,28 +96,56 @@ class WordEncoder:
             raise ValueError("a word of letters is not one pre-token")
         return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        split = {p: m.groups() for p in parts if (m := _SIMPLE.fullmatch(p))}
-        stems = list({a for a, _ in split.values()})
-        tails = list({b for _, b in split.values()} | (parts - split.keys()))
-        found = dict(zip(tails, self._raw(tails), strict=True)) | (dict(zip(stems, self._letters(stems), strict=True)) if stems else {})
-        return {p: found[split[p][0]] + found[split[p][1]] if p in split else found[p] for p in parts}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _OTHER.search(t)]
-        parts = [t.lower().split() for t in texts]
-        for i in whole:
-            parts[i] = []
-        words = set().union(*parts)
-        found = self._learn(words.difference(self.known))
-        if len(self.known) + len(found) > CACHE_WORDS:
-            self.known = {p: self.known[p] for p in words if p in self.known}
-        self.known |= found
-        out = [b"".join([self.known[p] for p in own]) for own in parts]
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if len(self.known) > CACHE_WORDS or any(len(p) > CACHED_LENGTH for p in found):
-            self.known = {p: b for p, b in self.known.items() if len(p) <= CACHED_LENGTH} if len(self.known) <= CACHE_WORDS else {}
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Keeps the ids of new words, given with their sorted hashes."""
+        lower = [w.lower() for w in words]
+        simple = [bool(_LETTERS.fullmatch(w)) for w in lower]
+        letters = list({w for w, s in zip(lower, simple, strict=True) if s})
+        others = [w for w, s in zip(words, simple, strict=True) if not s]
+        found = dict(zip(letters, self._letters(letters), strict=True)) if letters else {}
+        raw = iter(self._raw(others))
+        own = [found[w] if s else next(raw) for w, s in zip(lower, simple, strict=True)]
+        ends = self.begin[-1] + np.cumsum([len(x) // 4 for x in own], dtype=np.int64)
+        new = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(own))
+        self.begin = np.concatenate((self.begin, ends))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(own), "<u4")))
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.slot = np.insert(self.hash, at, hashes), np.insert(self.slot, at, new)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null is empty."""
+        if len(self.hash) > KEPT_WORDS or len(self.ids) > KEPT_IDS:
+            self.forget()
+        parts = []
+        for group in K.groups(texts):
+            found = K.words(group, K.FOLDED, _KIND, can_part(group))
+            parts.append((group, found, needs_whole(group), *np.unique(found.hash, return_index=True, return_inverse=True)))
+        every = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, np.uint64)
+        every, source = np.unique(every, return_index=True)
+        at = np.searchsorted(self.hash, every)
+        fresh = np.flatnonzero((at == len(self.hash)) | (self.hash[np.minimum(at, len(self.hash) - 1)] != every)) if len(self.hash) else np.arange(len(every))
+        if len(fresh):
+            begins = np.cumsum([0, *(len(p[3]) for p in parts)])
+            strings = []
+            for k in source[fresh].tolist():
+                i = int(np.searchsorted(begins, k, "right")) - 1
+                group, found, _, _, first, _ = parts[i]
+                w = first[k - begins[i]]
+                strings.append(group.bytes[found.start[w] : found.end[w]].tobytes().decode())
+            self.learn(every[fresh], strings)
+        out: list[np.ndarray] = []
+        for group, found, whole, unique, _, inverse in parts:
+            slot = self.slot[np.searchsorted(self.hash, unique)]
+            n, begin = (self.begin[slot + 1] - self.begin[slot])[inverse], self.begin[slot][inverse]
+            end = np.cumsum(n)
+            ids = self.ids[np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - n), n)]
+            edges = np.concatenate(([0], end))[found.bounds]
+            own = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            if whole.any():
+                at = np.flatnonzero(whole)
+                for i, raw in zip(at, self._raw([group.bytes[group.offsets[i] : group.offsets[i + 1]].tobytes().decode() for i in at]), strict=True):
+                    own[i] = np.frombuffer(raw, "<u4")
+            out += own
         return out
 
 
@@ -95,9 +161,8 @@ def _cut(path: str, capacity: int, end_id: int):
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 rows = []
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for doc_id, own_ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids = own_ids + end
+                for doc_id, found in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    ids = found.tobytes() + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
