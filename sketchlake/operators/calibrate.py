@@ -180,3 +180,15 @@ def ambiguity_em(edges: DataFrame, marker: DataFrame, alpha: float = 1.0, power:
         if (i + 1) % every == 0 or i + 1 == iterations:
             state = checkpoint(state)
     return state
+
+
+def threshold_grid(rows: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:
+    """Precision, recall and F1 at each threshold of a given grid, from one pass that counts rows per grid cell."""
+    cell = F.size(F.filter(F.array(*[F.lit(float(t)) for t in sorted(thresholds)]), lambda t: t <= F.col(score)))
+    counted = rows.groupBy(cell.alias("cell")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
+    grid = rows.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(sorted(thresholds))], "at int, threshold double")
+    whole = counted.agg(F.sum("pos").alias("all_pos"))
+    met = grid.join(F.broadcast(counted), F.col("cell") >= F.col("at"), "left").groupBy("threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("n"), F.lit(0)).alias("called"))
+    safe = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    tp, called, every = F.col("tp"), F.col("called"), F.col("all_pos")
+    return met.join(F.broadcast(whole)).select("threshold", "tp", "called", safe(tp, called).alias("precision"), safe(tp, every).alias("recall"), safe(2 * tp, called + every).alias("f1"))

@@ -685,3 +685,52 @@ for _measure, _body in _SEARCH.items():
     query(f"{_measure}_search", W(_body, _SHARE, _VEC, "nm AS (SELECT sample, sqrt(sum(pct * pct)) AS n FROM vc GROUP BY sample)"))(
         lambda s, d, m=_measure: V.search(V.to_vectors(composite(s, d)), V.to_vectors(composite(s, d)), m).select("qry", "ref", (F.round("value", 7) + 0.0).alias("value"))
     )
+
+# --- sequences, models and grids -----------------------------------------------------------------------------------
+
+
+def sequence_sketch(s, d):
+    """Every text as a sequence; the kernel keeps contexts under a density of 1/64, then the sketch is built."""
+    from sketchlake.sources.sequences import entries, windows
+
+    docs = _t(s, d, "documents").select(F.col("doc_id").alias("gid"), F.lit(0).alias("record_ord"), "text")
+    bases = docs.withColumn("seq", _bases(F.col("text"))).drop("text")
+    return K.build(entries(windows(bases, threshold=1 << 38)), SIZE)
+
+
+def _bases(text: Column) -> Column:
+    """Each byte as four bases: hexadecimal digits are pairs of bases."""
+    seq = F.hex(F.encode(text, "UTF-8"))
+    for digit in "0123456789ABCDEF":
+        pair = "ACGT"[int(digit, 16) >> 2] + "ACGT"[int(digit, 16) & 3]
+        seq = F.replace(seq, F.lit(digit), F.lit(pair.lower()))
+    return F.upper(seq)
+
+
+query("sequence_sketch_documents")(sequence_sketch)
+
+
+def qc(s, d):
+    from sketchlake.functions.reads_qc import count_ranges
+
+    return count_ranges(raw(s, d).withColumn("cnt", F.col("cnt") * (1 + F.col("obj") % 7)))
+
+
+query("reads_qc_range")(qc)
+
+
+def recalibrated(s, d):
+    from sketchlake.functions import trees
+
+    pairs = pf(s, d).withColumn("ani", 1 - P.metric_columns(SIZE)["ctx-naive"])
+    sample = pairs.orderBy("qry", "ref").limit(5000).toPandas()  # the labelled sample that the ensemble is fitted to
+    model = trees.fit_trees(trees.features(sample), 1 - 0.3 * (1 - sample["ani"].to_numpy()), n_trees=20)
+    return trees.recalibrate(pairs, model).select("qry", "ref", F.round("calibrated_ani", 6).alias("calibrated_ani"), D.confidence(F.col("ani"), F.col("calibrated_ani"), F.col("af_ref")).alias("confidence"))
+
+
+query("tree_recalibration")(recalibrated)
+_GRID = [round(0.05 * i, 2) for i in range(1, 20)]
+query(
+    "threshold_grid",
+    "WITH a AS (SELECT s_acctbal / 10000 AS score, (s_suppkey % 3 <> 0)::INTEGER AS label FROM supplier), g AS (SELECT unnest([" + ", ".join(map(str, _GRID)) + "])::DOUBLE AS threshold), m AS (SELECT threshold, coalesce(sum(label) FILTER (WHERE score >= threshold), 0)::BIGINT AS tp, count(*) FILTER (WHERE score >= threshold) AS called, sum(label) AS p FROM g, a GROUP BY threshold) SELECT threshold, tp, called, round(CASE WHEN called > 0 THEN tp / called ELSE 0 END, 9) AS precision, round(CASE WHEN p > 0 THEN tp / p ELSE 0 END, 9) AS recall, round(CASE WHEN called + p > 0 THEN 2 * tp / (called + p) ELSE 0 END, 9) AS f1 FROM m",
+)(lambda s, d: C.threshold_grid(_t(s, d, "supplier").select((F.col("s_acctbal") / 10000).alias("score"), (F.col("s_suppkey") % 3 != 0).cast("int").alias("label")), "score", "label", _GRID).select("threshold", "tp", "called", *[r9(c).alias(c) for c in ("precision", "recall", "f1")]))
