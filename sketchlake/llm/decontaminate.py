@@ -122,7 +122,7 @@ def _scan(windows_of, prefixes_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, prefixes = windows_of.value, prefixes_of.value
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column("row").field("text")
             spans, items, n_words = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), []
             for group in K.groups(texts):
                 found = K.words(group, K.ALNUM)
@@ -206,8 +206,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     ship(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (5 * block_words)))
-    schema = T.StructType().add("row", docs.schema).add("text", "string").add("_spans", T.ArrayType(T.IntegerType())).add("_items", T.ArrayType(T.StringType())).add("_n_words", "long")
-    frame = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast("array<int>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"), F.lit(0).cast("long").alias("_n_words"))
+    schema = T.StructType().add("row", docs.schema).add("_spans", T.ArrayType(T.IntegerType())).add("_items", T.ArrayType(T.StringType())).add("_n_words", "long")
+    frame = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.lit(None).cast("array<int>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"), F.lit(0).cast("long").alias("_n_words"))
     for block in range(blocks):
         held = []
         for row in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").toLocalIterator():  # about block_words words

@@ -51,7 +51,7 @@ from sketchlake.llm.runtime import checkpoint, ship, shuffle_width
 _U = np.uint64
 SKETCH_BITS = 26
 SLICES = 64
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Sets of up to SMALL tokens use combinations of all their tokens.
 SMALL = 40
 

@@ -91,12 +91,16 @@ def groups(texts: pa.Array, limit: int = GROUP_BYTES) -> Iterator[Group]:
         texts = texts.combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.large_string())
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+        texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
     n = len(texts)
     if not n:
         return
     _, where, data = texts.buffers()
-    offsets = np.frombuffer(where, np.int64, n + 1, texts.offset * 8)
+    width = np.int32 if pa.types.is_string(texts.type) else np.int64
+    offsets = np.frombuffer(where, width, n + 1, texts.offset * np.dtype(width).itemsize).astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:

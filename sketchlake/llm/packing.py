@@ -29,7 +29,9 @@ from sketchlake.llm.runtime import checkpoint, ship, shuffle_width
 from sketchlake.llm.tokens import load
 
 #: Words and ids that a process keeps; beyond, it begins anew.
-KEPT_WORDS, KEPT_IDS = 4_000_000, 40_000_000
+KEPT_WORDS, KEPT_IDS = 3_000_000, 24_000_000
+#: Words that go to the tokenizer in one call, whose result it holds with much beside the ids.
+AT_ONCE = 8192
 #: What the tokenizer takes as one pre-token.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: Kinds of bytes of which the tokenizer begins anew at each change, given letters beyond ASCII only and no apostrophes.
@@ -85,9 +87,11 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _raw(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for lo in range(0, len(parts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(parts[lo : lo + AT_ONCE], add_special_tokens=False)]
 
     def _letters(self, parts: list[str]) -> list[bytes]:
+        if len(parts) > AT_ONCE:
+            return [x for lo in range(0, len(parts), AT_ONCE) for x in self._letters(parts[lo : lo + AT_ONCE])]
         found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
         word = np.array(found.word_ids, np.int64)

@@ -59,7 +59,7 @@ def _repeated_lines(data: np.ndarray, letters: K.Alphabet) -> int:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns: list[list[np.ndarray]] = [[] for _ in FEATURES]
-        for group in K.groups(batch.column("text")):
+        for group in K.groups(batch.column("row").field("text")):
             found = K.words(group, K.PLAIN)
             inside = K.PLAIN.word[group.bytes]
             point = np.concatenate(([0], np.cumsum(inside & ((group.bytes & 0xC0) != 0x80))))
@@ -80,7 +80,7 @@ def base_features(docs: DataFrame) -> DataFrame:
     schema = T.StructType().add("row", docs.schema)
     for name in FEATURES:
         schema = schema.add(name, "long")
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return packed.mapInArrow(_features, schema).withColumn("base_failed", failed)
 
