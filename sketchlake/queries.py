@@ -379,7 +379,8 @@ _UCOV = _cov_sql("as_unique", "cu")
 
 
 def split_cov(s, d):
-    return R.coverage(assigned(s, d, "best-diff-split"))
+    """The narrow waist of all profiles, written once: what follows reads it several times."""
+    return checkpoint(R.coverage(assigned(s, d, "best-diff-split")))
 
 
 query("ref_coverage", W("SELECT gid, hctx, cov, diff, weight FROM cv", _CAND, _COV))(split_cov)
@@ -399,8 +400,8 @@ _DLIST = ", ".join(f"round({c}, 7) AS {c}" for c in _DEPTHS)
 _DP = _depth_sql("cv", "sk", 1024, "dp")
 
 
-def depths(s, d):
-    return R.depth(split_cov(s, d), R.totals(sk(s, d)), R.SPLIT_SCALE)
+def depths(s, d, cov=None):
+    return R.depth(split_cov(s, d) if cov is None else cov, R.totals(sk(s, d)), R.SPLIT_SCALE)
 
 
 def _rounded(rows, keys):
@@ -471,7 +472,7 @@ query(
 
 def profile(s, d, mode="best-diff-split"):
     scale = R.SPLIT_SCALE if mode == "best-diff-split" else 1
-    cov = R.coverage(assigned(s, d, mode))
+    cov = checkpoint(R.coverage(assigned(s, d, mode)))
     rows = R.depth(cov, R.totals(sk(s, d)), scale).join(R.features(cov), "gid", "left").fillna(0, ["xny", "n_diff_obj", "n_diff_section", "n_mut2"])
     ani = 1 - D.naive_distance(F.col("xny"), F.col("n_diff_obj"), F.col("n_diff_section"))
     return rows.withColumn("ani", F.when(F.col("xny") > 0, F.round(ani, 9)).otherwise(F.lit(0.0))).withColumn("min_af", F.col("xny") / F.col("total"))
