@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sketchlake.llm import kernels as K
-from sketchlake.llm.runtime import checkpoint, ship
+from sketchlake.llm.runtime import checkpoint, lean, ship
 
 _U = np.uint64
 BLOCK_WORDS = 2_000_000
@@ -217,11 +217,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         shared = spark.sparkContext.broadcast(windows)
         counts = {k: np.zeros(len(v), np.int64) for k, v in windows.vocabulary().items()}
         if windows.of:
-            counted = docs.select(F.col("text").cast("string")).mapInArrow(_count(shared), "width int, at long, n long").groupBy("width", "at").agg(F.sum("n").alias("n"))
+            counted = docs.select(F.col("text").cast("string")).mapInArrow(lean(_count(shared)), "width int, at long, n long").groupBy("width", "at").agg(F.sum("n").alias("n"))
             for row in counted.toLocalIterator():  # no more rows than the block has shingles
                 counts[row["width"]][row["at"]] = row["n"]
         prefixes = spark.sparkContext.broadcast(Prefixes(windows, counts))
-        frame = frame.mapInArrow(_scan(shared, prefixes), schema)
+        frame = frame.mapInArrow(lean(_scan(shared, prefixes)), schema)
         if blocks > 1:
             frame = checkpoint(frame)
     out = T.StructType().add("row", docs.schema).add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items", T.ArrayType(T.StringType())).add("items_sha256", "string").add("contaminated", "boolean")

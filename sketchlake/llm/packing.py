@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchlake.llm import kernels as K
-from sketchlake.llm.runtime import checkpoint, ship, shuffle_width
+from sketchlake.llm.runtime import checkpoint, lean, ship, shuffle_width
 from sketchlake.llm.tokens import load
 
 #: Words and ids that a process keeps; beyond, it begins anew.
@@ -178,7 +178,7 @@ def _cut(path: str, capacity: int, end_id: int):
 def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: every document's ids with ``end_id`` last, in pieces of up to ``capacity``."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_cut(path, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sketchlake.llm import kernels as K
-from sketchlake.llm.runtime import ship
+from sketchlake.llm.runtime import lean, ship
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -82,7 +82,7 @@ def base_features(docs: DataFrame) -> DataFrame:
         schema = schema.add(name, "long")
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return packed.mapInArrow(_features, schema).withColumn("base_failed", failed)
+    return packed.mapInArrow(lean(_features), schema).withColumn("base_failed", failed)
 
 
 @dataclass(frozen=True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sketchlake.llm.runtime import ship
+from sketchlake.llm.runtime import lean, ship
 
 CHUNK, OVERLAP, BATCH_CHARACTERS = 1 << 17, 512, 1 << 20
 #: Characters after a boundary that the splitting pattern may look at (contractions, white space runs), at most.
@@ -128,5 +128,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUN
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns], F.octet_length(text).cast("long").alias("__bytes")).alias("row"), text.alias("text"))
     schema = T.StructType().add("row", packed.schema["row"].dataType).add("n_tokens", "long")
-    counted = packed.mapInArrow(_count(path, chunk, overlap), schema)
+    counted = packed.mapInArrow(lean(_count(path, chunk, overlap)), schema)
     return counted.select(F.col("row").dropFields("__bytes").alias("row") if docs.columns else F.struct().alias("row"), F.col("row.__bytes").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
