@@ -45,13 +45,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchlake.llm import kernels as K
-from sketchlake.llm.graph import components
-from sketchlake.llm.runtime import checkpoint, ship, shuffle_width
+from sketchlake.llm.graph import components, local_roots
+from sketchlake.llm.runtime import checkpoint, lean, ship
 
 _U = np.uint64
 SKETCH_BITS = 26
 SLICES = 64
 FLUSH = 1_000_000
+#: Text whose combinations share a bucket of the index; a bucket is one task's.
+BUCKET_CHARACTERS = 4_000_000
 #: Sets of up to SMALL tokens use combinations of all their tokens.
 SMALL = 40
 
@@ -169,7 +171,7 @@ def token_counters(docs: DataFrame, join: Join, characters: int) -> tuple[np.nda
     parts = max(1, math.isqrt(docs.sparkSession.sparkContext.defaultParallelism + characters // 100_000_000))
     run, per_slice = _count_tokens(join, bits, parts)
     schema = "slice int, part int, data binary"
-    counted = docs.select("text").mapInArrow(run, schema)
+    counted = docs.select("text").mapInArrow(lean(run), schema)
     for keys in (["slice", "part"], ["slice"]):
         counted = counted.groupBy(*keys).applyInPandas(_add_counts(per_slice), schema)
     packed = np.zeros(1 << (bits - 2), np.uint8)
@@ -275,21 +277,6 @@ def _merge_keys(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray,
     return key, node, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
 
 
-def local_roots(group: np.ndarray, node: np.ndarray, n: int) -> np.ndarray:
-    """Nodes 0 to n - 1 and the smallest node that each is joined with through shared groups."""
-    label = np.arange(n)
-    while True:
-        least = np.full(group.max() + 1 if len(group) else 0, n)
-        np.minimum.at(least, group, label[node])
-        new = label.copy()
-        np.minimum.at(new, node, least[group])
-        np.minimum.at(new, label, new)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 _FOUND = "kind byte, a long, b long, n int, m long"
 
 
@@ -459,8 +446,8 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     characters = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
     packed, bits = token_counters(docs, join, characters)
     counters = spark.sparkContext.broadcast(packed.tobytes())
-    buckets = int(min(1 << 24, max(shuffle_width(spark), characters // 8_000_000)))
-    blocks = docs.mapInArrow(_index(join, counters, bits, buckets), "bucket int, kind byte, size int, data binary")
+    buckets = int(min(1 << 24, max(8, characters // BUCKET_CHARACTERS)))
+    blocks = docs.mapInArrow(lean(_index(join, counters, bits, buckets)), "bucket int, kind byte, size int, data binary")
     found = checkpoint(blocks.groupBy("bucket").applyInPandas(_candidates, _FOUND))
 
     named = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("name"), "n", F.col("m").alias("name2"))
@@ -472,7 +459,7 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     members = checkpoint(_assign(join, classes.join(groups, classes["name"] == groups["node"]).select("rep", "copies", "n", F.col("label").alias("comp"))))
 
     texts = docs.join(members, docs["doc_id"] == members["rep"]).select("text", "rep", "copies", "sends")
-    sent = texts.mapInArrow(_send(join), "task long, part string, side int, two boolean, rep long, copies long, tokens binary")
+    sent = texts.mapInArrow(lean(_send(join)), "task long, part string, side int, two boolean, rep long, copies long, tokens binary")
     links = checkpoint(sent.groupBy("task").applyInPandas(_verify(join), _LINKS))
 
     root = components(links.select("u", "v"))
