@@ -2,7 +2,7 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative,
 by weights learned from labelled pages: the log odds of a word in the article
-by its surroundings (zone, link, kind of block), and for each tag how rarely it
+by its surroundings (zone, link, kind of block; bounded in foreign zones, which an article may go round), and for each tag how rarely it
 stands within the article. One linear scan finds the contiguous run with the
 highest sum. Its blocks are the text; parts of the run in the zones that an
 article never owns (menus, adverts, forms, comments ...) are left out.
@@ -166,7 +166,7 @@ def weights() -> tuple[dict, dict]:
                 prior = {"foreign": -3.0, "article": 1.5, "none": 0.5}[zone] - (1.0 if linked else 0.0)
                 seen = words[True][key] + words[False][key]
                 odds = (odds * seen + prior * 20) / (seen + 20)
-                score[key] = min(odds, -1.0) if zone == "foreign" else max(odds, 0.05) if not linked else max(odds, -2.0)
+                score[key] = min(max(odds, -1.5), -1.0) if zone == "foreign" else max(odds, 0.05) if not linked else max(odds, -2.0)
     cost = {name: -0.05 - 1.5 * (tags[False][name] + 0.5) / (tags[True][name] + tags[False][name] + 1) for name in {*tags[True], *tags[False]}}
     return score, cost
 

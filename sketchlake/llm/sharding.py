@@ -1,7 +1,7 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
 Groups of equal texts are the items. Those that make up a notable part of a
-shard are placed one by one; one larger than a quarter of a shard is first split
+shard are placed one by one; one larger than three quarters of a shard is first split
 into pieces by a hash of the document id. The others are too many to place singly,
 so they are dealt by hash into bundles, of a fixed number per shard, that are
 items in turn. Items are placed in falling size, each on the shard where the dot
@@ -21,7 +21,7 @@ from sketchlake.llm.runtime import checkpoint, shuffle_width
 
 BUNDLES = 512
 #: Groups of more than this part of a shard, in any measure, are items of their own; those of more than SPLIT are split.
-NOTABLE, SPLIT = 1 / 256, 1 / 4
+NOTABLE, SPLIT = 1 / 256, 3 / 4
 
 
 def place(sizes: np.ndarray, shards: int) -> np.ndarray:

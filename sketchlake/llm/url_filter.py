@@ -3,8 +3,8 @@
 Hosts are joined by the links of their pages. Trust starts at hosts whose pages
 the rules allow and flows along links (personalised PageRank); distrust starts
 at hosts whose pages the rules block and flows against them, to those that link
-there. A page that no rule judges is blocked if its host's distrust passes a
-threshold and its trust by a factor. Everything per host: pages, links and rules
+there. A page that no rule judges is blocked if the distrust that its host receives
+passes a threshold and the host's trust by a factor. Everything per host: pages, links and rules
 are aggregated before any join on hosts.
 """
 
@@ -32,7 +32,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class Propagation:
-    """damping and rounds of both walks; block beyond ``level`` times the mean distrust of a host and ``factor`` times its trust."""
+    """damping and rounds of both walks; block where distrust received by links exceeds ``level`` times the mean distrust and ``factor`` times the host's trust."""
 
     damping: float = 0.85
     rounds: int = 12
@@ -72,7 +72,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, how: Propagation) -> DataFrame
     edges = checkpoint(edges.join(out, "source").join(into, "target").select("source", "target", (F.col("links") / F.col("out")).alias("forward"), (F.col("links") / F.col("into")).alias("backward")))
     state = checkpoint(hosts.select("host", "trusted", "blocked", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust")))
     if edges.isEmpty():
-        return state
+        return state.withColumns({"trust": (1 - how.damping) * F.col("trusted"), "distrust": (1 - how.damping) * F.col("blocked")})
     for i in range(how.rounds):
         ahead = edges.join(state.select(F.col("host").alias("source"), "trust"), "source").select(F.col("target").alias("host"), (F.col("forward") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
         back = edges.join(state.select(F.col("host").alias("target"), "distrust"), "target").select(F.col("source").alias("host"), F.lit(0.0).alias("t"), (F.col("backward") * F.col("distrust")).alias("d"))
@@ -114,7 +114,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], how: Propagation = Propa
     links = pages.select(host.alias("source"), F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(_LINK), 1)).alias("link")).select("source", target.alias("target"))
     edges = links.where("source <> '' and target <> ''").groupBy("source", "target").agg(F.count("*").alias("links"))
     state = propagate(seeds.select("host", share("trusted", masses["t"]).alias("trusted"), share("blocked", masses["b"]).alias("blocked")), edges, how)
-    distrusted = state.where((F.col("distrust") > how.level) & (F.col("distrust") > how.factor * F.col("trust"))).select("host", F.lit(True).alias("distrusted"))
+    mean = state.agg(F.avg("distrust").alias("mean")).first()["mean"] or 0.0
+    received = F.col("distrust") - (1 - how.damping) * F.col("blocked")  # rules speak for a host's own blocked paths; links for the rest
+    distrusted = state.where((received > 1e-12) & (received > how.level * mean) & (received > how.factor * F.col("trust"))).select("host", F.lit(True).alias("distrusted"))
     per_host = fitting.join(distrusted, "host", "full_outer")
     judged = at.join(per_host, "host", "left").withColumn("first", first)
     return judged.select(
