@@ -192,3 +192,70 @@ def threshold_grid(rows: DataFrame, score: str, label: str, thresholds: list[flo
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     tp, called, every = F.col("tp"), F.col("called"), F.col("all_pos")
     return met.join(F.broadcast(whole)).select("threshold", "tp", "called", safe(tp, called).alias("precision"), safe(tp, every).alias("recall"), safe(2 * tp, called + every).alias("f1"))
+
+
+#: Fixed values of candidate rescue (emitted and split evidence), the allocator's guards and the exact-pass triggers.
+RESCUE_EMITTED = {"latent_ani": 0.90, "xny": 100.0, "breadth": 0.01, "min_af": 0.70}
+RESCUE_SPLIT = {"s_xny": 300.0, "s_ani": 0.95, "s_min_af": 0.60, "s_breadth": 0.25, "s_mean_depth": 1.0}
+RESCUE_SPLIT_PROBABILITY = 0.02
+ALLOCATOR_ALPHA, ALLOCATOR_MULTI_GENUS, ALLOCATOR_XNY = 0.02, 0.37501510201405147, 230.3
+EXACT_CALL_TRIGGER, EXACT_ABUNDANCE_TRIGGER = 0.10, 0.30
+
+
+def candidate_rescue(rows: DataFrame, mode: str, alpha: float = 2.0) -> DataFrame:
+    """Rows (with ``called``, ``genus``) plus ``rescued`` and ``rescue_mass``, and calls that include the rescued.
+
+    ``emitted`` adds uncalled species with enough evidence in either profile; their own mass is
+    dropped and ``alpha`` times the larger normalised depth takes its place. ``split`` adds the
+    best of each genus among those with strict split evidence; they keep their mass.
+    """
+    c = F.col
+    if mode == "emitted":
+        enough = F.lit(True)
+        for measure, cut in RESCUE_EMITTED.items():
+            enough = enough & (F.greatest(f"s_{measure}", f"u_{measure}") >= cut)
+        out = rows.withColumn("rescued", ~c("called") & enough)
+        mass = F.when(c("rescued"), alpha * F.greatest("s_normalized_depth", "u_normalized_depth")).otherwise(F.lit(0.0))
+    elif mode == "split":
+        enough = c("probability") >= RESCUE_SPLIT_PROBABILITY
+        for measure, cut in RESCUE_SPLIT.items():
+            enough = enough & (c(measure) >= cut)
+        score = F.greatest("s_mean_depth", F.lit(0.0)) * F.greatest("s_breadth", F.lit(1e-6)) * F.greatest("s_ani", F.lit(0.0)) * F.greatest("s_xny", F.lit(1.0))
+        out = _top(rows, ~c("called") & enough, score, 1, "rescued")
+        mass = F.lit(0.0)
+    else:
+        raise ValueError(f"emitted or split: {mode!r}")
+    return out.withColumn("rescue_mass", mass).withColumn("called", c("called") | c("rescued"))
+
+
+def guarded_allocator(rows: DataFrame, raw: str, guard_xny: bool = False) -> DataFrame:
+    """``allocated``: in genera of two or more eligible rows a small part of the mass goes by mass times depth of hits times breadth.
+
+    It acts only if enough of the called mass lies in such genera (and, if asked, the
+    calls' median support is large). Rescued rows keep their mass.
+    """
+    c = F.col
+    rescued = c("rescued") if "rescued" in rows.columns else F.lit(False)
+    rows = rows.withColumn("_on", c("called") & (c(raw) > 0)).withColumn("_eligible", c("_on") & ~rescued)
+    rows = rows.withColumn("_many", F.count("*").over(Window.partitionBy("genus", "_on")) > 1)
+    mass = lambda x: F.coalesce(F.sum(F.when(x, c(raw))), F.lit(0.0))
+    guard = rows.agg(mass(c("_on")).alias("_all"), mass(c("_on") & c("_many")).alias("_multi"), F.coalesce(F.median(F.when(c("called"), c("s_xny").cast("double"))), F.lit(0.0)).alias("_xny"))
+    passed = (c("_all") > 0) & (c("_multi") / c("_all") >= ALLOCATOR_MULTI_GENUS)
+    if guard_xny:
+        passed = passed & (c("_xny") >= ALLOCATOR_XNY)
+    rows = rows.join(F.broadcast(guard))  # one row
+    by = Window.partitionBy("genus", "_eligible")
+    quality = F.greatest(c("s_hit_mean_depth") * c("s_breadth"), c("u_hit_mean_depth") * c("u_breadth"))
+    rows = rows.withColumn("_w", c(raw) * quality)
+    total, weighted, n = F.sum(raw).over(by), F.sum("_w").over(by), F.count("*").over(by)
+    moved = (1 - ALLOCATOR_ALPHA) * c(raw) + ALLOCATOR_ALPHA * c("_w") / weighted * total
+    out = rows.withColumn("allocated", F.when(passed & c("_eligible") & (n > 1) & (weighted > 0), moved).otherwise(F.greatest(c(raw), F.lit(0.0))))
+    return out.drop("_on", "_eligible", "_many", "_all", "_multi", "_xny", "_w")
+
+
+def exact_pass_decision(gated: DataFrame, for_abundance: bool) -> DataFrame:
+    """One row: whether the extra share of probability calls asks for the exact pass (low for calls, high for abundance)."""
+    base = (F.col("u_xny") >= 10) & (F.col("u_ani") >= 0.95) & (F.col("u_min_af") >= 0.05)
+    extra = F.sum((~base & F.col("called")).cast("double")) / F.greatest(F.sum(F.col("called").cast("double")), F.lit(1.0))
+    share = gated.agg(F.coalesce(extra, F.lit(0.0)).alias("extra"))
+    return share.select("extra", (F.col("extra") >= EXACT_ABUNDANCE_TRIGGER if for_abundance else F.col("extra") <= EXACT_CALL_TRIGGER).alias("rerun"))

@@ -735,3 +735,27 @@ query(
     "threshold_grid",
     "WITH a AS (SELECT s_acctbal / 10000 AS score, (s_suppkey % 3 <> 0)::INTEGER AS label FROM supplier), g AS (SELECT unnest([" + ", ".join(map(str, _GRID)) + "])::DOUBLE AS threshold), m AS (SELECT threshold, coalesce(sum(label) FILTER (WHERE score >= threshold), 0)::BIGINT AS tp, count(*) FILTER (WHERE score >= threshold) AS called, sum(label) AS p FROM g, a GROUP BY threshold) SELECT threshold, tp, called, round(CASE WHEN called > 0 THEN tp / called ELSE 0 END, 9) AS precision, round(CASE WHEN p > 0 THEN tp / p ELSE 0 END, 9) AS recall, round(CASE WHEN called + p > 0 THEN 2 * tp / (called + p) ELSE 0 END, 9) AS f1 FROM m",
 )(lambda s, d: C.threshold_grid(_t(s, d, "supplier").select((F.col("s_acctbal") / 10000).alias("score"), (F.col("s_suppkey") % 3 != 0).cast("int").alias("label")), "score", "label", _GRID).select("threshold", "tp", "called", *[r9(c).alias(c) for c in ("precision", "recall", "f1")]))
+query(
+    "candidate_rescue_emitted",
+    W(
+        "SELECT taxid, r AS rescued, called OR r AS called, round(CASE WHEN r THEN 2 * greatest(s_normalized_depth, u_normalized_depth) ELSE 0 END, 7) AS rescue_mass FROM (SELECT *, NOT called AND greatest(s_latent_ani, u_latent_ani) >= 0.9 AND greatest(s_xny, u_xny) >= 100 AND greatest(s_breadth, u_breadth) >= 0.01 AND greatest(s_min_af, u_min_af) >= 0.7 AS r FROM gt)",
+        _JOINED, _GATE,
+    ),
+)(lambda s, d: C.candidate_rescue(gated(s, d), "emitted").select("taxid", "rescued", "called", F.round("rescue_mass", 7).alias("rescue_mass")))
+query(
+    "candidate_rescue_split",
+    W(
+        "SELECT taxid, k AND row_number() OVER (PARTITION BY genus, k ORDER BY greatest(s_mean_depth, 0) * greatest(s_breadth, 1e-6) * greatest(s_ani, 0) * greatest(s_xny, 1) DESC, taxid) <= 1 AS rescued FROM (SELECT *, NOT called AND probability >= 0.02 AND s_xny >= 300 AND s_ani >= 0.95 AND s_min_af >= 0.6 AND s_breadth >= 0.25 AND s_mean_depth >= 1 AS k FROM gt)",
+        _JOINED, _GATE,
+    ),
+)(lambda s, d: C.candidate_rescue(gated(s, d), "split").select("taxid", "rescued"))
+query(
+    "guarded_allocator",
+    W(
+        "SELECT taxid, round(CASE WHEN (SELECT sum(p) FILTER (WHERE act AND many) / sum(p) FILTER (WHERE act) FROM b2) >= 0.37501510201405147 AND act AND count(*) OVER w > 1 AND sum(p * q) OVER w > 0 THEN 0.98 * p + 0.02 * (p * q) / (sum(p * q) OVER w) * (sum(p) OVER w) ELSE greatest(p, 0) END, 6) AS allocated FROM b2 WINDOW w AS (PARTITION BY genus, act)",
+        _JOINED, _GATE, f"b AS (SELECT taxid, genus, {_PANEL} AS p, greatest(s_hit_mean_depth * s_breadth, u_hit_mean_depth * u_breadth) AS q, called AND {_PANEL} > 0 AS act FROM gt)", "b2 AS (SELECT *, count(*) OVER (PARTITION BY genus, act) > 1 AS many FROM b)",
+    ),
+)(lambda s, d: C.guarded_allocator(gated(s, d).withColumn("raw", C.panel_abundance()), "raw").select("taxid", F.round("allocated", 6).alias("allocated")))
+query("exact_pass_decision", W("SELECT round(x, 9) AS extra, x <= 0.1 AS rerun FROM (SELECT count(*) FILTER (WHERE called AND NOT base) / greatest(count(*) FILTER (WHERE called), 1) AS x FROM gt)", _JOINED, _GATE))(
+    lambda s, d: C.exact_pass_decision(gated(s, d), False).select(r9("extra").alias("extra"), "rerun")
+)
