@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from sketchlake.llm import kernels as K
 from sketchlake.llm.graph import components, local_roots
-from sketchlake.llm.runtime import checkpoint, lean, ship
+from sketchlake.llm.runtime import checkpoint, lean, release, ship
 
 _U = np.uint64
 SKETCH_BITS = 26
@@ -447,8 +447,9 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     packed, bits = token_counters(docs, join, characters)
     counters = spark.sparkContext.broadcast(packed.tobytes())
     buckets = int(min(1 << 24, max(8, characters // BUCKET_CHARACTERS)))
-    blocks = docs.mapInArrow(lean(_index(join, counters, bits, buckets)), "bucket int, kind byte, size int, data binary")
-    found = checkpoint(blocks.groupBy("bucket").applyInPandas(_candidates, _FOUND))
+    release(spark)
+    found = checkpoint(docs.mapInArrow(lean(_index(join, counters, bits, buckets)), "bucket int, kind byte, size int, data binary").groupBy("bucket").applyInPandas(_candidates, _FOUND))
+    release(spark)
 
     named = found.where("kind = 2").select(F.col("a").alias("doc_id"), F.col("b").alias("name"), "n", F.col("m").alias("name2"))
     classes = named.where("n > 0").groupBy("name", "name2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -458,9 +459,12 @@ def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     groups = groups.union(groups.select(F.col("label").alias("node"), "label").distinct())
     members = checkpoint(_assign(join, classes.join(groups, classes["name"] == groups["node"]).select("rep", "copies", "n", F.col("label").alias("comp"))))
 
-    texts = docs.join(members, docs["doc_id"] == members["rep"]).select("text", "rep", "copies", "sends")
-    sent = texts.mapInArrow(lean(_send(join)), "task long, part string, side int, two boolean, rep long, copies long, tokens binary")
+    release(spark)
+
+    sent = docs.join(members, docs["doc_id"] == members["rep"]).select("text", "rep", "copies", "sends").mapInArrow(lean(_send(join)), "task long, part string, side int, two boolean, rep long, copies long, tokens binary")
     links = checkpoint(sent.groupBy("task").applyInPandas(_verify(join), _LINKS))
+    del sent
+    release(spark)
 
     root = components(links.select("u", "v"))
     weight = links.groupBy(F.col("u").alias("rep")).agg(F.sum("weight").alias("weight"))

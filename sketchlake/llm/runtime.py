@@ -7,6 +7,7 @@ given, so the same code runs in local tests and on a cluster.
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -57,6 +58,16 @@ def store(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle and checkpoint files that no frame refers to any more.
+
+    Spark deletes them when the driver collects its garbage, which a driver with
+    little to do does seldom; after a large shuffle it is worth asking for.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(run: Callable) -> Callable:
     """A batch function that hands freed memory back when its task ends; workers are reused, and what allocators hold on to adds up."""
 
