@@ -258,9 +258,9 @@ def _few(s, d):
     return samples(s, d).where("gid <= 60")
 
 
-def matrix(s, d):
-    k = S.keep(sk(s, d), _few(s, d))
-    return P.full_matrix(P.features(P.matches(k, k, triangle=True), P.context_counts(k)), _few(s, d), F.round(P.metric_columns(SIZE)["mash"], 7))
+def matrix(s, d, of=_few):
+    k = S.keep(sk(s, d), of(s, d))
+    return P.full_matrix(P.features(P.matches(k, k, triangle=True), P.context_counts(k)), of(s, d), F.round(P.metric_columns(SIZE)["mash"], 7))
 
 
 query(
@@ -270,6 +270,13 @@ query(
         _PF, f"m AS (SELECT qry, ref, round({_MASH}, 7) AS distance FROM pf)",
     ),
 )(matrix)
+query(
+    "matrix_full_long_all",
+    W(
+        "SELECT a.s_suppkey::BIGINT AS row, b.s_suppkey::BIGINT AS col, CASE WHEN a.s_suppkey = b.s_suppkey THEN 0.0 ELSE coalesce(m.distance, 1.0) END::DOUBLE AS distance FROM supplier a CROSS JOIN supplier b LEFT JOIN m ON m.qry = greatest(a.s_suppkey, b.s_suppkey) AND m.ref = least(a.s_suppkey, b.s_suppkey)",
+        _PF, f"m AS (SELECT qry, ref, round({_MASH}, 7) AS distance FROM pf)",
+    ),
+)(lambda s, d: matrix(s, d, samples))
 #: An edge cut that leaves components of several sizes on these tables.
 CUT = 0.0335
 
@@ -503,6 +510,9 @@ query("default_calls", W("SELECT gid, call, xny, ani FROM cl", _CAND, _COV, _DP,
 query("normalized_abundance", W("SELECT gid, round(relative_depth / sum(relative_depth) OVER (), 9) AS share FROM cl WHERE gid % 2 = 0", _CAND, _COV, _DP, _PROFILE, _CALL))(
     lambda s, d: R.normalised(called(s, d).where("gid % 2 = 0"), "relative_depth", "share").select("gid", r9("share").alias("share"))
 )
+query("normalized_abundance_all", W("SELECT gid, round(relative_depth / sum(relative_depth) OVER (), 9) AS share FROM cl WHERE call IN ('major', 'low_abundance')", _CAND, _COV, _DP, _PROFILE, _CALL))(
+    lambda s, d: R.normalised(called(s, d).where("call in ('major', 'low_abundance')"), "relative_depth", "share").select("gid", r9("share").alias("share"))
+)
 
 
 def _sidecar(s, d):
@@ -670,12 +680,14 @@ ab AS (SELECT qry, ref, len(l) AS n, list_sum(l)::DOUBLE / len(l) AS mean, coale
   FROM (SELECT qry, ref, list_sort(list(cnt)) AS l FROM sh GROUP BY 1, 2 HAVING count(*) >= 6))"""
 
 
-def composite(s, d):
+def composite(s, d, which="gid <= 20"):
     k = sk(s, d)
-    return V.species_abundance(k.where("gid <= 20").withColumn("cnt", F.col("cnt") * F.col("obj")), k)
+    return V.species_abundance(k.where(which).withColumn("cnt", F.col("cnt") * F.col("obj")), k)
 
 
 query("composite_abundance", W("SELECT qry, ref, n, round(mean, 6) AS mean, round(range_mean, 6) AS range_mean, median, max FROM ab", _SHARE))(lambda s, d: composite(s, d).select("qry", "ref", "n", F.round("mean", 6).alias("mean"), F.round("range_mean", 6).alias("range_mean"), "median", "max"))
+_SHARE_ALL = _SHARE.replace(" WHERE q.gid <= 20", "")
+query("composite_abundance_all", W("SELECT qry, ref, n, round(mean, 6) AS mean, round(range_mean, 6) AS range_mean, median, max FROM ab", _SHARE_ALL))(lambda s, d: composite(s, d, "true").select("qry", "ref", "n", F.round("mean", 6).alias("mean"), F.round("range_mean", 6).alias("range_mean"), "median", "max"))
 _VEC = "vc AS (SELECT qry AS sample, ref AS dim, (range_mean - 1) * 100 / (sum(range_mean) OVER w - count(*) OVER w) AS pct FROM ab WHERE median > 1 AND n > 7 WINDOW w AS (PARTITION BY qry))"
 _SEARCH = {
     "cosine": "SELECT x.sample AS qry, y.sample AS ref, round(sum(x.pct * y.pct) / (any_value(a.n) * any_value(b.n)), 7) AS value FROM vc x JOIN vc y USING (dim) JOIN nm a ON a.sample = x.sample JOIN nm b ON b.sample = y.sample GROUP BY 1, 2",
@@ -683,9 +695,10 @@ _SEARCH = {
     "l2": "SELECT x.sample AS qry, y.sample AS ref, round(sqrt(sum((x.pct - y.pct) * (x.pct - y.pct))), 7) AS value FROM vc x JOIN vc y USING (dim) GROUP BY 1, 2",
 }
 for _measure, _body in _SEARCH.items():
-    query(f"{_measure}_search", W(_body, _SHARE, _VEC, "nm AS (SELECT sample, sqrt(sum(pct * pct)) AS n FROM vc GROUP BY sample)"))(
-        lambda s, d, m=_measure: V.search(V.to_vectors(composite(s, d)), V.to_vectors(composite(s, d)), m).select("qry", "ref", (F.round("value", 7) + 0.0).alias("value"))
-    )
+    for _name, _share, _which in ((f"{_measure}_search", _SHARE, "gid <= 20"), (f"{_measure}_search_all", _SHARE_ALL, "true")):
+        query(_name, W(_body, _share, _VEC, "nm AS (SELECT sample, sqrt(sum(pct * pct)) AS n FROM vc GROUP BY sample)"))(
+            lambda s, d, m=_measure, w=_which: V.search(V.to_vectors(composite(s, d, w)), V.to_vectors(composite(s, d, w)), m).select("qry", "ref", (F.round("value", 7) + 0.0).alias("value"))
+        )
 
 # --- sequences, models and grids -----------------------------------------------------------------------------------
 
