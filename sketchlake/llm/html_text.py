@@ -5,7 +5,12 @@ by weights learned from labelled pages: the log odds of a word in the article
 by its surroundings (zone, link, kind of block; bounded in foreign zones, which an article may go round), and for each tag how rarely it
 stands within the article. One linear scan finds the contiguous run with the
 highest sum. Its blocks are the text; parts of the run in the zones that an
-article never owns (menus, adverts, forms, comments ...) are left out.
+article never owns (menus, adverts, forms, comments ...) are left out. Such a zone costs
+nothing within an article element and at most FOREIGN_COST elsewhere, so a long one doesn't split the run.
+
+A class, id or role that only names foreign things makes its element foreign. One that
+also says other things does so unless the element holds at least half of the page's words (of those in article
+elements, if there are any); what follows "has", "no", "with" ... in a name says nothing of the element itself.
 
 The labelled pages are made here: LABELLED_PAGES pages of five layouts, each fragment
 marked as article or not.
@@ -30,37 +35,114 @@ from sketchlake.llm.runtime import ship
 
 LABELLED_PAGES = 150
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|\baria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-RAW = frozenset("script style title textarea template noscript iframe svg math object canvas noembed noframes xmp".split())
+RAW = frozenset("script style title textarea template noscript iframe svg annotation annotation-xml canvas noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 FOREIGN = frozenset("nav footer aside form button select menu dialog head search".split())
 FOREIGN_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs masthead header footer sidebar aside widget related recommended recommendations share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist reply replies respond disqus pagination pager skip copyright".split())
 OWN = frozenset("html body article main".split())
+#: After these, a part of a name is about what else is there or not.
+ABOUT_OTHERS = frozenset("has have no not non with without hide hides show shows".split())
+#: The most that one foreign zone outside article elements takes from a run; a few words of a paragraph.
+FOREIGN_COST = 40.0
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag by lower-cased name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, *value in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), "".join(value))
+    return found
+
+
+def hidden(own: dict[str, str]) -> bool:
+    return own.get("hidden", "false").lower() not in ("false", "until-found") or own.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(own.get("style", "")))
+
+
+def named_foreign(own: dict[str, str]) -> str:
+    """"only" if class, id and role name nothing but foreign things, "also" if other things too, else ""."""
+    foreign = other = False
+    for token in " ".join(own.get(a, "") for a in ("class", "id", "role")).split():
+        for part in _PART.findall(token):
+            if part.lower() in ABOUT_OTHERS:
+                other = True
+                break
+            foreign, other = (True, other) if part.lower() in FOREIGN_NAMES else (foreign, True)
+    return "" if not foreign else "also" if other else "only"
 
 
 class _Reader:
-    """Walks a page and gives its pieces: ("tag", name) and ("text", surroundings, string, block number)."""
+    """Walks a page and gives its pieces: ("tag", name, separator, block number, zone) and ("text", surroundings, string, block number, zone).
 
-    def __init__(self, forms: bool):
-        self.forms = forms
+    The zone is "" or, in a foreign part, "inner" within an article element and "outer" elsewhere.
+    """
+
+    def __init__(self, forms: bool, names: bool = True):
+        self.forms, self.names = forms, names
 
     def pieces(self, page: str) -> Iterator[tuple]:
-        stack: list[tuple[str, bool]] = []
+        named: list[tuple[str, int]] = []
+        walked = list(self._walk(page, named))
+        own = self._not_foreign(walked, named)
+        for what, name, text, block, (foreign, article, link, kind, within) in walked:
+            out = foreign or any(i not in own for i in within)
+            zone = "" if not out else "inner" if article else "outer"
+            yield what, ("foreign" if out else "article" if article else "none", link, kind) if what == "text" else name, text, block, zone
+
+    @staticmethod
+    def _not_foreign(walked: list[tuple], named: list[tuple[str, int]]) -> set[int]:
+        """Named elements that hold at least half of the words: of those in article elements opened within them, or else of all.
+
+        An element whose names are all foreign must hold half of all words and an article element.
+        """
+        if not named:
+            return set()
+        whole = [0, 0]  # all words, those in article elements; neither in what is surely foreign
+        everything = 0
+        held = {i: [0, 0, 0] for i in range(len(named))}
+        for what, _, text, _, (foreign, article, _, _, within) in walked:
+            if what != "text" or foreign:
+                continue
+            n = len(text.split())
+            sure = any(named[i][0] == "only" for i in within)
+            everything += n
+            whole[0] += n * (not sure)
+            whole[1] += n * (not sure and article > 0)
+            for i in within:
+                held[i][0] += n * (not sure)
+                held[i][1] += n * (not sure and article > named[i][1])
+                held[i][2] += n * (article > named[i][1])
+                if named[i][0] == "only":
+                    held[i][0] += n
+        own = set()
+        for i, (sort, outside) in enumerate(named):
+            if sort == "also":
+                k = 1 if whole[1] and not outside else 0
+                if whole[k] and 2 * held[i][k] >= whole[k]:
+                    own.add(i)
+            elif held[i][2] and 2 * held[i][0] >= everything:
+                own.add(i)
+        return own
+
+    def _walk(self, page: str, named: list[tuple[str, int]]) -> Iterator[tuple]:
+        """Pieces with what they stand in; ``named`` is filled with the sort of each element with a foreign name and the article elements around it."""
+        stack: list[tuple[str, bool, bool]] = []
         foreign = article = link = block = at = 0
         kind = "other"
+        within: tuple[int, ...] = ()
 
         def surroundings() -> tuple:
-            return ("foreign" if foreign else "article" if article else "none", link > 0, kind)
+            return foreign > 0, article, link > 0, kind, within
 
         while True:
             found = _MARKUP.search(page, at)
             text = page[at : found.start() if found else len(page)]
             if text:
-                yield "text", surroundings(), text, block
+                yield "text", "", text, block, surroundings()
             if not found:
                 return
             at = found.end()
@@ -76,7 +158,7 @@ class _Reader:
                 continue
             if name in BLOCK:
                 block += 1
-            yield "tag", name, "br" if name == "br" else "", block
+            yield "tag", name, "br" if name == "br" else "", block, surroundings()
             if closing:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if depth is None:
@@ -90,24 +172,22 @@ class _Reader:
                     if depth is not None and (stack[depth][0] == "p" or name == stack[depth][0] == "li"):
                         gone = stack[depth:]
                         del stack[depth:]
-            for _, was in gone:
-                foreign -= was
-            article -= sum(n in ("article", "main") for n, _ in gone)
-            link -= sum(n == "a" for n, _ in gone)
+            foreign -= sum(was for _, was, _ in gone)
+            within = within[: len(within) - sum(was for _, _, was in gone)]
+            article -= sum(n in ("article", "main") for n, _, _ in gone)
+            link -= sum(n == "a" for n, _, _ in gone)
             if not closing and name not in VOID and not rest.rstrip().endswith("/"):
-                own = name in OWN
-                is_foreign = not own and (
-                    name in FOREIGN and (name != "form" or self.forms)
-                    or name == "header" and not article
-                    or bool(_HIDDEN.search(rest))
-                    or any(p.lower() in FOREIGN_NAMES for m in _NAMED.findall(rest) for p in _PART.findall("".join(m)))
-                    and name in BLOCK | {"span", "a", "ins"}
-                )
-                stack.append((name, is_foreign))
+                given = attributes(rest) if name not in OWN else {}
+                is_foreign = name not in OWN and (name in FOREIGN and (name != "form" or self.forms) or name == "header" and not article or hidden(given))
+                sort = named_foreign(given) if self.names and not is_foreign and (name in BLOCK or name in ("span", "a", "ins")) else ""
+                stack.append((name, is_foreign, bool(sort)))
                 foreign += is_foreign
+                if sort:
+                    within += (len(named),)
+                    named.append((sort, article))
                 article += name in ("article", "main")
                 link += name == "a"
-            inner = next((n for n, _ in reversed(stack) if n in BLOCK), "")
+            inner = next((n for n, _, _ in reversed(stack) if n in BLOCK), "")
             kind = "heading" if inner[:1] == "h" and inner[1:].isdigit() else "text" if inner in ("p", "blockquote", "pre") else "item" if inner in ("li", "dt", "dd", "td", "th") else "other"
 
 
@@ -174,9 +254,14 @@ def weights() -> tuple[dict, dict]:
 def _run(pieces: list[tuple]) -> tuple[int, int]:
     """The first and last + 1 piece of the contiguous run with the highest sum; (0, 0) if no sum is positive."""
     score, cost = weights()
-    best, span, now, begin = 0.0, (0, 0), 0.0, 0
+    best, span, now, begin, lost = 0.0, (0, 0), 0.0, 0, 0.0
     for i, piece in enumerate(pieces):
-        gain = score[piece[1]] * len(piece[2].split()) if piece[0] == "text" else cost.get(piece[1], -0.5)
+        gain = 0.0 if piece[4] == "inner" else score[piece[1]] * len(piece[2].split()) if piece[0] == "text" else cost.get(piece[1], -0.5)
+        if piece[4] == "outer":
+            gain = max(gain, -FOREIGN_COST - lost)
+            lost += gain
+        elif not piece[4]:
+            lost = 0.0
         if now <= 0:
             now, begin = 0.0, i
         now += gain
@@ -187,8 +272,8 @@ def _run(pieces: list[tuple]) -> tuple[int, int]:
 
 def main_text(page: str | None) -> str:
     """The article's text: blocks in page order joined by an empty line, white space within a block made one space."""
-    for forms in (True, False):  # some pages are one form; only a page without text otherwise is read so
-        pieces = list(_Reader(forms).pieces(page or ""))
+    for forms, names in ((True, True), (False, True), (True, False), (False, False)):  # some pages are one form, or have foreign names all over; only a page without text otherwise is read so
+        pieces = list(_Reader(forms, names).pieces(page or ""))
         first, last = _run(pieces)
         blocks: list[str] = []
         now, held = -1, []

@@ -366,6 +366,26 @@ def test_main_text_of_pages(spark):
     assert extract_text(rows.where("false")).count() == 0
 
 
+def test_names_and_styles_of_wrappers_leave_the_article():
+    nav, body = "<nav><ul><li><a href='/a'>Home</a></li></ul></nav>", "<h1>A title</h1>" + "<p>Some words of the article stand here.</p>" * 4
+    want = "A title" + "\n\nSome words of the article stand here." * 4
+    wrappers = ['class="overflow-hidden"', 'style="overflow:hidden"', 'class="content has-sidebar"', 'class="post no-comments"', 'class="with-header"', 'class="layout-sidebar-left"', 'data-x="hidden"', "id='page-with-sidebar'"]
+    for attribute, inner in itertools.product(wrappers, (body, f"<article>{body}</article>")):
+        comments = f"<div id='comments'>{'<p>I like this a lot</p>' * 30}</div><footer>x</footer>"
+        assert main_text(f"<body>{nav}<div {attribute}>{inner}</div>{comments}") == want, attribute
+    assert main_text(f"<body><div class='modal'><article>{body}</article></div>") == want
+    for gone in ("<div hidden>", "<div aria-hidden='true'>", "<div style='color:red; display: none'>", "<div class='ad'>", "<div class='widget-area sidebar'>", "<div class='related-posts'>"):
+        assert main_text(f"<body>{nav}<article>{body}{gone}<p>Not of it</p></div></article>") == want, gone
+
+
+def test_long_foreign_blocks_and_formulas_stay_within_the_article():
+    advert = f"<div class='ad'>{'<p>buy this now </p>' * 200}</div>"
+    for tag in ("article", "div"):
+        got = main_text(f"<body><{tag}><p>A short lead of seven words only.</p>{advert}<p>{'And more text. ' * 30}</p></{tag}>")
+        assert got == "A short lead of seven words only.\n\n" + ("And more text. " * 30).strip(), tag
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.</p><object data='a'><p>See the table.</p></object></article>") == "Let x=1 be.\n\nSee the table."
+
+
 def test_articles_of_the_test_pages_are_whole(spark):
     """Held-out accuracy: the given pages mark their article, which the operator must find without that mark being a rule of its own."""
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
