@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sketchlake.llm.decontaminate import find_contamination
 from sketchlake.llm.jaccard_join import Join, join_documents
 from sketchlake.llm.packing import pack
-from sketchlake.llm.quality import FEATURES, base_features, calibrate, verdict
+from sketchlake.llm.quality import FEATURES, base_features, calibrate, with_verdict
 from sketchlake.llm.queries import SURROGATE_KEY, vocabulary
 from sketchlake.llm.runtime import checkpoint, store, table
 from sketchlake.llm.surrogates import replace_entities
@@ -18,8 +18,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base features and the rules calibrated on the labels."""
     features = base_features(docs).withColumn("stratum", F.coalesce(F.col("row.lang"), F.lit("")))
     counted = checkpoint(features.select("row.doc_id", "stratum", *FEATURES, "base_failed"))
-    cutoffs, alone = calibrate(counted, table(spark, sf_dir, "labels"))
-    return features.where(~F.col("base_failed") & verdict(cutoffs, alone)).select("row.*")
+    cutoffs, _ = calibrate(counted, table(spark, sf_dir, "labels"))
+    return with_verdict(features, cutoffs).where("kept").select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

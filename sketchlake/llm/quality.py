@@ -120,13 +120,11 @@ RULES = (
 class Policy:
     """alpha: share of good documents that all rules together may reject in a stratum; delta: chance that this fails anywhere.
 
-    A stratum of its own needs ``1 / max_strata`` of the holdout at least, so that there are at most so many; the others are pooled.
     ``price``: bad rejections that one good rejection must bring.
     """
 
     alpha: float = 0.05
     delta: float = 0.05
-    max_strata: int = 64
     price: float = 10.0
     rules: tuple[Rule, ...] = field(default=RULES)
 
@@ -149,53 +147,58 @@ def certified(good: int, rejected: list[int], alpha: float, delta: float) -> int
     return len(rejected)
 
 
+def least_good(policy: Policy) -> int:
+    """Good documents that a stratum needs for any step to be certified, even if it stood alone."""
+    share, level = policy.alpha / len(policy.rules), policy.delta / len(policy.rules)
+    return math.ceil(math.log(level) / math.log1p(-share))
+
+
 def calibrate(features: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> tuple[dict[str, dict[str, float]], list[str]]:
-    """Cutoffs by stratum and rule (an absent rule is off), and the strata that stand alone; the rest share the stratum "".
+    """Cutoffs by stratum and rule (an absent rule or stratum is off), and the strata that were tested, each from its own labels.
 
     ``features`` has doc_id, stratum and the base features; ``labels`` doc_id and
     quality (1 good, 0 bad; others are ignored; a document with contradicting labels counts as each).
+    Strata with fewer good documents than ``least_good`` can't be certified: their rules stay off, they don't share
+    the level, and their counts don't come to the driver.
     """
     holdout = features.where("not base_failed").join(labels.where("quality in (0, 1)").select("doc_id", "quality").distinct(), "doc_id")
-    totals = holdout.groupBy("stratum").agg(F.count("*").alias("n"))
-    everything = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    alone = sorted(r["stratum"] for r in totals.where(F.col("n") * policy.max_strata >= max(everything, 1)).collect() if r["stratum"])
-    stratum = F.when(F.col("stratum").isin(alone), F.col("stratum")).otherwise("") if alone else F.lit("")
-    counts = [F.count("*").alias("n")]
+    counts = [F.sum("quality").alias("good")]
     for rule in policy.rules:
-        counts += [F.sum(F.when(rule.beyond(c), 1).otherwise(0)).alias(f"{rule.name}_{i}") for i, c in enumerate(rule.steps)]
-    seen = {(r["s"], r["quality"]): r for r in holdout.groupBy(stratum.alias("s"), "quality").agg(*counts).collect()}
-    strata = sorted({s for s, _ in seen})
-    share, level = policy.alpha / len(policy.rules), policy.delta / max(1, len(strata) * len(policy.rules))
+        for i, c in enumerate(rule.steps):
+            counts += [F.sum(F.when(rule.beyond(c) & (F.col("quality") == q), 1).otherwise(0)).alias(f"{rule.name}_{i}_{q}") for q in (0, 1)]
+    seen = {r["stratum"]: r for r in holdout.groupBy("stratum").agg(*counts).where(F.col("good") >= least_good(policy)).collect()}
+    share, level = policy.alpha / len(policy.rules), policy.delta / max(1, len(seen) * len(policy.rules))
     cutoffs: dict[str, dict[str, float]] = {}
-    for s in strata:
-        good, bad = seen.get((s, 1)), seen.get((s, 0))
+    for s, row in seen.items():
         for rule in policy.rules:
-            lost = [good[f"{rule.name}_{i}"] for i in range(len(rule.steps))] if good else []
-            caught = [bad[f"{rule.name}_{i}"] if bad else 0 for i in range(len(rule.steps))]
-            steps = certified(good["n"] if good else 0, lost, share, level)
+            caught, lost = ([row[f"{rule.name}_{i}_{q}"] for i in range(len(rule.steps))] for q in (0, 1))
+            steps = certified(row["good"], lost, share, level)
             best = max(range(steps), key=lambda i: (caught[i] - policy.price * lost[i], -i), default=None)
             if best is not None and caught[best] - policy.price * lost[best] > 0:
                 cutoffs.setdefault(s, {})[rule.name] = rule.steps[best]
-    return cutoffs, alone
+    return cutoffs, sorted(seen)
 
 
-def verdict(cutoffs: dict[str, dict[str, float]], alone: list[str], policy: Policy = Policy()) -> Column:
-    """Whether a row of features with a stratum passes the rules."""
-    stratum = F.when(F.col("stratum").isin(alone), F.col("stratum")).otherwise("") if alone else F.lit("")
-    ok = F.lit(True)
-    for s, chosen in cutoffs.items():
-        for rule in policy.rules:
-            if rule.name in chosen:
-                ok = ok & ~((stratum == s) & rule.beyond(F.lit(chosen[rule.name])))
-    return ok
+def with_verdict(features: DataFrame, cutoffs: dict[str, dict[str, float]], policy: Policy = Policy()) -> DataFrame:
+    """The features with ``kept``: false where ``base_failed`` or beyond a cutoff of the row's stratum.
+
+    The cutoffs are broadcast, a row per stratum; each has at least ``least_good`` labelled documents.
+    """
+    names = [rule.name for rule in policy.rules]
+    rows = [(s, *[chosen.get(n) for n in names]) for s, chosen in cutoffs.items()]
+    table = features.sparkSession.createDataFrame(rows, ", ".join(["stratum string", *[f"_cut_{n} double" for n in names]]))
+    ok = ~F.col("base_failed")
+    for rule in policy.rules:
+        ok = ok & ~F.coalesce(rule.beyond(F.col(f"_cut_{rule.name}")), F.lit(False))
+    return features.join(F.broadcast(table), "stratum", "left").select(*[F.col(f"`{c}`") for c in features.columns], ok.alias("kept"))
 
 
 def judge(features: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The features with ``kept``: false where ``base_failed``, else the verdict of the calibrated rules.
 
-    ``features`` has doc_id, stratum (null: the pooled one) and the base
+    ``features`` has doc_id, stratum (null counts as "") and the base
     features. Without labels all rules are off. Empty features give no rows.
     """
     features = features.withColumn("stratum", F.coalesce(F.col("stratum"), F.lit("")))
-    cutoffs, alone = calibrate(features, labels, policy)
-    return features.withColumn("kept", ~F.col("base_failed") & verdict(cutoffs, alone, policy))
+    cutoffs, _ = calibrate(features, labels, policy)
+    return with_verdict(features, cutoffs, policy)

@@ -253,6 +253,19 @@ def test_cutoffs_are_certified_and_bound_false_rejection(spark):
     assert none.where("kept != (not base_failed)").isEmpty()
 
 
+def test_rare_and_unlabelled_strata_have_cutoffs_of_their_own(spark):
+    """Long words are bad in the hot and a rare language, and usual in a rarer and an unlabelled one, which the rare one's cutoff must not reach."""
+    schema = "doc_id long, stratum string, " + ", ".join(f"{f} long" for f in quality.FEATURES) + ", base_failed boolean, quality int"
+    make = lambda a, n, s, length, q: [(a + i, s, 100, 100 * length, 0, 0, 0, False, q) for i in range(n)]
+    rows = make(0, 80_000, "hot", 5, 1) + make(100_000, 900, "hot", 35, 0)
+    rows += make(200_000, 1000, "rare", 5, 1) + make(300_000, 100, "rare", 35, 0) + make(400_000, 2, "rarer", 35, 1) + make(500_000, 50, "none", 35, None)
+    rows += make(600_000, 30, None, 35, None)
+    frame_ = spark.createDataFrame(rows, schema).cache()
+    kept = quality.judge(frame_.drop("quality"), frame_.select("doc_id", "quality").where("quality is not null"))
+    got = {(r["stratum"], r["kept"], r["word_chars"] // 100): r["count"] for r in kept.groupBy("stratum", "kept", "word_chars").count().collect()}
+    assert got == {("hot", True, 5): 80_000, ("hot", False, 35): 900, ("rare", True, 5): 1000, ("rare", False, 35): 100, ("rarer", True, 35): 2, ("none", True, 35): 50, ("", True, 35): 30}
+
+
 def brute_hits(texts, items, window=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
     of = collections.defaultdict(set)
