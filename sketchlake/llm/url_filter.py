@@ -3,7 +3,7 @@
 Hosts are joined by the links of their pages. Trust starts at hosts whose pages
 the rules allow and flows along links (personalised PageRank); distrust starts
 at hosts whose pages the rules block and flows against them, to those that link
-there. A page that no rule judges is blocked if the distrust that its host receives
+there. A host without pages in the table stands with the addresses that are linked to, one for each link. A page that no rule judges is blocked if the distrust that its host receives
 passes a threshold and the host's trust by a factor. Everything per host: pages, links and rules
 are aggregated before any join on hosts.
 """
@@ -64,9 +64,8 @@ def host_rules(hosts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, how: Propagation) -> DataFrame:
-    """``host, trust, distrust`` from ``host, trusted, blocked`` (seed masses) and ``source, target, links``."""
+    """``host, trust, distrust`` from ``host, trusted, blocked`` (seed masses) and ``source, target, links`` between these hosts."""
     edges = edges.where("source <> target").groupBy("source", "target").agg(F.sum("links").cast("double").alias("links"))
-    edges = edges.join(hosts.select(F.col("host").alias("target")), "target", "left_semi").join(hosts.select(F.col("host").alias("source")), "source", "left_semi")
     out = edges.groupBy("source").agg(F.sum("links").alias("out"))
     into = edges.groupBy("target").agg(F.sum("links").alias("into"))
     edges = checkpoint(edges.join(out, "source").join(into, "target").select("source", "target", (F.col("links") / F.col("out")).alias("forward"), (F.col("links") / F.col("into")).alias("backward")))
@@ -95,12 +94,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], how: Propagation = Propa
     prefix; of equal lengths the alphabetically first), else null; ``verdict`` is ``allow`` or ``block``. A null url or one
     without ``://`` has an empty host and path and is allowed, as no rule or link
     reaches it. Null html has no links. Hosts that only appear as link targets
-    take no part. Repeated rows are judged each; an empty table gives no rows.
+    take part in the walks, but have no rows. Repeated rows are judged each; an empty table gives no rows.
     """
     host, path = split_url(F.col("url"))
     # one narrow pass over the pages; the html is only read for its links, which leave it as (source, target, count)
     at = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     counted = checkpoint(at.groupBy("host", "path").agg(F.count("*").alias("n")))
+    target, to = split_url(F.concat(F.lit("x:"), F.regexp_replace("link", r"^[^/]*", "")))
+    links = pages.select(host.alias("source"), F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(_LINK), 1)).alias("link")).select("source", target.alias("host"), to.alias("path"))
+    links = checkpoint(links.where("source <> '' and host <> '' and source <> host").groupBy("source", "host", "path").agg(F.count("*").alias("n")))
+    uncrawled = links.groupBy("host", "path").agg(F.sum("n").alias("n")).join(counted.select("host").distinct(), "host", "left_anti")
+    counted = checkpoint(counted.union(uncrawled.select("host", "path", "n")))
     fitting = checkpoint(host_rules(counted.select("host").distinct(), rules))
     first = F.try_element_at(F.filter("fitting", lambda r: F.col("path").startswith(r["path"])), F.lit(1))
     ruled = counted.join(fitting, "host", "left").withColumn("first", first)
@@ -110,9 +114,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], how: Propagation = Propa
     seeds = checkpoint(seeds.select("host", F.greatest((F.col("a") - F.col("b")) / F.col("n"), F.lit(0.0)).alias("trusted"), F.greatest((F.col("b") - F.col("a")) / F.col("n"), F.lit(0.0)).alias("blocked")))
     masses = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b"), F.count("*").alias("n")).first()
     share = lambda c, total: F.col(c) * F.lit((masses["n"] or 1) / total if total else 0.0)
-    target, _ = split_url(F.concat(F.lit("x:"), F.regexp_replace("link", r"^[^/]*", "")))
-    links = pages.select(host.alias("source"), F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(_LINK), 1)).alias("link")).select("source", target.alias("target"))
-    edges = links.where("source <> '' and target <> ''").groupBy("source", "target").agg(F.count("*").alias("links"))
+    edges = links.select("source", F.col("host").alias("target"), F.col("n").alias("links"))
     state = propagate(seeds.select("host", share("trusted", masses["t"]).alias("trusted"), share("blocked", masses["b"]).alias("blocked")), edges, how)
     mean = state.agg(F.avg("distrust").alias("mean")).first()["mean"] or 0.0
     received = F.col("distrust") - (1 - how.damping) * F.col("blocked")  # rules speak for a host's own blocked paths; links for the rest

@@ -424,6 +424,18 @@ def test_url_rules_and_propagation(spark):
     assert judge_urls(rows.where("page_id = 3"), [Rule("block", "net", "/de/")], Propagation(rounds=1)).first()["verdict"] == "block"
 
 
+def test_links_to_hosts_without_pages_count(spark):
+    """bad.com and ok.net have no page; rules judge the linked addresses."""
+    link = lambda *urls: "".join(f"<a href='{u}'>y</a>" for u in urls)
+    urls = [("http://fan.io/", link("http://bad.com/en/1")), ("http://plain.io/", link("//ok.net/de/1?q", "http://nowhere.io/x")), ("http://bad.io/", link("http://bad.com/es/1"))]
+    rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(urls)], "page_id long, url string, html string")
+    rules = [*URL_RULES, Rule("allow", "bad.com", "/es/")]
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(rows.where("page_id < 2"), rules).collect()}
+    assert got == {0: "block", 1: "allow"}
+    level = judge_urls(rows, rules)  # as many links to allowed addresses of bad.com as to blocked ones
+    assert {r["page_id"]: r["verdict"] for r in level.collect()} == {0: "allow", 1: "allow", 2: "allow"}
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 
 
