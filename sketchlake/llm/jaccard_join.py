@@ -12,7 +12,9 @@ both. Hence the index: single tokens for the rare class, of which a pair must
 share ``rare``, and combinations of ``run`` neighbours for the frequent class.
 Small sets, for which M would exceed t, treat all tokens as frequent and need no
 rare ones; sizes near the limit are indexed both ways, so that any two partners
-meet under one scheme.
+meet under one scheme. Where t is less than M even so (sizes 4 and 5 at 0.8), the at most D tokens
+that aren't shared leave ceil(t / (D + 1)) shared ones side by side, and both sets
+also send combinations of that length, of all their tokens.
 
 Classes come from counts over all documents: saturating counters of two bits,
 of a fixed number whatever the corpus, so that the broadcast is bounded by
@@ -86,6 +88,17 @@ def prefix_length(join: Join, n: int, rare: int) -> int:
     return int(min(n, (dx + (join.run - 1) * (dx + dy + 1) + rare).max()))
 
 
+@lru_cache(maxsize=1 << 16)
+def shorter_runs(join: Join, n: int) -> tuple[int, ...]:
+    """Lengths of the combinations that a set of n tokens sends for partners with which it shares too few for the other schemes."""
+    m = join.partners(n)
+    t = -(-join.num * (n + m) // (join.den + join.num))
+    parts = n + m - 2 * t + 1
+    enough = (join.run - 1) * parts + np.where((n > SMALL) & (m > SMALL), join.rare, 1)
+    lacking = (t < enough) & (t > 0) & (parts > 1)  # equal sets are one node
+    return tuple(sorted({int(r) for r in np.minimum(-(-t // parts), join.run)[lacking]}))
+
+
 def small_limit(join: Join) -> int:
     """Sizes up to this one are also indexed by the scheme for small sets."""
     return join.den * SMALL // join.num
@@ -199,6 +212,8 @@ def index_keys(join: Join, tokens: np.ndarray, is_rare) -> tuple[np.ndarray, np.
         rare = is_rare(prefix)
         neighbours(prefix[~rare])
         single = prefix[rare]
+    for length in shorter_runs(join, n):
+        keys.append(K.windows(tokens, length))
     return (np.concatenate(keys) if keys else np.zeros(0, _U)), single
 
 

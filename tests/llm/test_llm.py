@@ -131,6 +131,27 @@ def test_prefix_lemma_on_random_sets():
         assert len(np.intersect1d(ka, kb)) or len(np.intersect1d(sa, sb)) >= join.rare, (n, common)
 
 
+@pytest.mark.parametrize("join", [Join(), Join(4, 85, 100), Join(3, 60, 100, run=2)])
+def test_small_sets_share_a_combination_in_every_order(join):
+    """All orders of shared and other tokens of all size pairs up to 12 at the similarity, as far as at most two tokens aren't shared."""
+    none = lambda t: np.zeros(len(t), bool)
+    for n in range(1, 13):
+        for m in range(n, 13):
+            t = -(-join.num * (n + m) // (join.den + join.num))
+            if t > n or n + m - 2 * t > 2:
+                continue
+            for kinds in set(itertools.permutations("a" * (n - t) + "b" * (m - t) + "_" * 2, n + m - 2 * t)) or {()}:
+                for at in itertools.combinations(range(n + m - t), len(kinds)):
+                    if kinds.count("a") != n - t or kinds.count("b") != m - t:
+                        continue
+                    of = dict(zip(at, kinds))
+                    a, b = (np.array([i + 1 for i in range(n + m - t) if of.get(i, own) == own], np.uint64) for own in "ab")
+                    if len(a) >= 2 and len(b) >= 2 and not np.array_equal(a, b):
+                        assert len(np.intersect1d(index_keys(join, a, none)[0], index_keys(join, b, none)[0])), (n, m, of)
+    assert not any(jaccard_join.shorter_runs(Join(4, 85, 100), n) for n in range(1, 400))
+    assert [n for n in range(1, 400) if jaccard_join.shorter_runs(Join(), n)] == [4, 5]
+
+
 def test_join_of_odd_tables(spark):
     assert join_documents(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (1, None), (2, "a b c")], "doc_id long, text string")
