@@ -134,50 +134,73 @@ def filter_top_fraction(cov: DataFrame, fraction: float, scale: int = 1, median:
     return joined.select("gid", "hctx", F.when(hit, (F.col("median_cov") * scale).cast("long")).otherwise(F.col("cov")).alias("cov"), F.when(hit, F.col("median_diff")).otherwise(F.col("diff")).alias("diff"), "weight", hit.alias("adjusted"))
 
 
+#: Counts beyond this have the largest tail score.
+TAIL_LIMIT, TAIL_SCORE = 1024, 16.0
+#: In extended precision, as tails down to 1e-16 are told from 1.
+_LOG_FACTORIAL = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, TAIL_LIMIT + 1, dtype=np.longdouble)))))
+
+
+def _log_head(k: np.ndarray, log_pmf) -> np.ndarray:
+    """log P(X < k) of each row, from log_pmf(row numbers, values), summed over all (row, value) cells of a slice at once."""
+    out = np.empty(len(k), np.longdouble)
+    for lo in range(0, len(k), 2048):
+        n = k[lo : lo + 2048]
+        row = np.repeat(np.arange(lo, lo + len(n)), n)
+        first = np.cumsum(n) - n
+        cells = log_pmf(row, np.arange(len(row)) - np.repeat(first, n))
+        top = np.maximum.reduceat(cells, first)
+        out[lo : lo + len(n)] = top + np.log(np.add.reduceat(np.exp(cells - np.repeat(top, n)), first))
+    return np.minimum(out, 0.0)
+
+
+def _by_distinct(columns: list[np.ndarray], score) -> np.ndarray:
+    """``score`` of the distinct rows, dealt back to all."""
+    rows, back = np.unique(np.stack(columns, 1), axis=0, return_inverse=True)
+    return score(*rows.T)[back.ravel()]
+
+
+def _poisson_score(k: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    out = np.where(k > 0, TAIL_SCORE, 0.0)
+    summed = (k > 0) & (k <= TAIL_LIMIT) & np.isfinite(rate) & (rate > 0)
+    if summed.any():
+        n, lam = k[summed].astype(np.int64), rate[summed].astype(np.longdouble)
+        tail = -np.expm1(_log_head(n, lambda row, j: j * np.log(lam[row]) - lam[row] - _LOG_FACTORIAL[j]))
+        out[summed] = np.where(tail > 1e-16, -np.log10(np.maximum(tail, 1e-16)), TAIL_SCORE)
+    return out
+
+
 def poisson_tail(k: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """-log10 P(X >= k) of a Poisson; 0 for k = 0, at most 16, and 16 beyond k = 1024 or without a rate."""
-    out = np.zeros(len(k))
-    for i, (n, lam) in enumerate(zip(k.astype(np.int64), rate, strict=True)):
-        if n <= 0:
-            continue
-        if not np.isfinite(lam) or lam <= 0 or n > 1024:
-            out[i] = 16.0
-            continue
-        term = cdf = np.exp(-np.longdouble(lam))
-        for j in range(1, n):
-            term *= lam / j
-            cdf += term
-            if cdf >= 1:
-                break
-        out[i] = 0.0 if cdf >= 1 else 16.0 if 1 - cdf <= 1e-16 else float(-np.log10(1 - cdf))
+    """-log10 P(X >= k) of a Poisson; 0 for k = 0, at most 16, and 16 beyond k = 1024, without a rate or where the tail is lost in rounding."""
+    return _by_distinct([np.asarray(k, float), np.asarray(rate, float)], _poisson_score)
+
+
+def _negative_binomial_score(k: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    mean = np.where(np.isfinite(mean) & (mean > 0), mean, 1e-12)
+    wide = np.isfinite(variance) & (variance > mean)
+    size = mean * mean / np.where(wide, variance - mean, 1.0)
+    p = size / (size + mean)
+    wide &= (p > 0) & (p < 1)
+    out = np.where(k > TAIL_LIMIT, TAIL_SCORE, _poisson_score(k, mean))
+    summed = wide & (k > 0) & (k <= TAIL_LIMIT)
+    if summed.any():
+        n, r, chance = k[summed].astype(np.int64), size[summed].astype(np.longdouble), p[summed].astype(np.longdouble)
+        log_p, log_q = np.log(chance), np.log1p(-chance)
+        log_rising = np.cumsum(np.log1p((r[:, None] - 1) / np.arange(1, n.max() + 1)), 1) if n.max() * len(r) <= 1 << 22 else None
+        if log_rising is None:  # a slice at a time
+            half = len(r) // 2
+            out[summed] = np.concatenate([_negative_binomial_score(k[summed][s], mean[summed][s], variance[summed][s]) for s in (slice(half), slice(half, None))])
+            return out
+        log_rising = np.concatenate((np.zeros((len(r), 1)), log_rising), 1)
+        tail = -np.expm1(_log_head(n, lambda row, j: r[row] * log_p[row] + log_rising[row, j] + j * log_q[row]))
+        positive = -np.expm1(r * log_p)
+        given = np.where(positive > 0, tail / np.where(positive > 0, positive, 1.0), 2.0)
+        out[summed] = np.where(tail > 1e-16, -np.log10(np.maximum(np.where((given > 0) & (given <= 1), given, tail), 1e-300)), TAIL_SCORE)
     return out
 
 
 def negative_binomial_tail(k: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> np.ndarray:
     """-log10 P(X >= k | X > 0) of a negative binomial by moments; a Poisson where the variance isn't larger; 16 where the sum reaches 1."""
-    out = np.zeros(len(k))
-    for i, (n, m, v) in enumerate(zip(k.astype(np.int64), mean, variance, strict=True)):
-        if n <= 0:
-            continue
-        m = m if np.isfinite(m) and m > 0 else 1e-12
-        if n > 1024:
-            out[i] = 16.0
-            continue
-        size = m * m / (v - m) if np.isfinite(v) and v > m else 0.0
-        p = size / (size + m) if size > 0 else 1.0
-        if not 0 < p < 1:
-            out[i] = poisson_tail(np.array([n]), np.array([m]))[0]
-            continue
-        steps = np.arange(1, n)
-        log_pmf = size * np.log(p) + np.concatenate(([0.0], np.cumsum(np.log((steps - 1 + size) / steps) + np.log1p(-p))))
-        cdf = np.exp(np.logaddexp.reduce(log_pmf))
-        if cdf >= 1 or 1 - cdf <= 1e-16:
-            out[i] = 16.0
-            continue
-        positive = -np.expm1(size * np.log(p))
-        given = (1 - cdf) / positive if positive > 0 else 2.0
-        out[i] = -np.log10(given) if 0 < given <= 1 else -np.log10(1 - cdf)
-    return out
+    return _by_distinct([np.asarray(c, float) for c in (k, mean, variance)], _negative_binomial_score)
 
 
 def product_moments(cov: DataFrame, scale: int = 1) -> DataFrame:
