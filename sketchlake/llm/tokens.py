@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from sketchlake.llm.runtime import lean, ship
 
-CHUNK, OVERLAP, BATCH_CHARACTERS = 1 << 17, 512, 1 << 20
+CHUNK, OVERLAP, BATCH_CHARACTERS = 1 << 13, 512, 1 << 20
 #: Characters after a boundary that the splitting pattern may look at (contractions, white space runs), at most.
 LOOK_AHEAD = 4
 
