@@ -6,12 +6,14 @@ operation over the whole group. A single text is never split across groups,
 however long it is.
 
 Hashes have 64 bits. A word's hash is a polynomial over a random 64-bit value
-per byte, read off one running sum; it depends on the word's bytes and length
-alone, so that equal words have equal hashes in every task.
+per byte, read off one running sum; that of a word longer than LONG_WORD bytes, where
+patterns exist that such polynomials don't tell apart, is a BLAKE2 digest. It depends on
+the word's (lower-cased) bytes and length alone, so that equal words have equal hashes in every task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 GROUP_BYTES = 1 << 18
+LONG_WORD = 256
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -55,6 +58,7 @@ class Alphabet:
 
     word: np.ndarray
     value: np.ndarray
+    fold: bool
 
 
 def alphabet(separators: bytes, fold: bool) -> Alphabet:
@@ -65,7 +69,7 @@ def alphabet(separators: bytes, fold: bool) -> Alphabet:
         source = np.arange(256)
         source[65:91] += 32
         value = value[source]
-    return Alphabet(word, value)
+    return Alphabet(word, value, fold)
 
 
 #: [^\x20\x09-\x0D]+ ; the second also lower-cases A-Z; the third is [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z.
@@ -137,6 +141,9 @@ def words(group: Group, letters: Alphabet, kinds: np.ndarray | None = None, part
     total = np.zeros(n + 1, _U)
     np.cumsum(letters.value[data] * _UP.upto(n), out=total[1:])
     code = mix((total[end] - total[start]) * _DOWN.upto(n + 1)[start] ^ (end - start).astype(_U))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        own = data[start[i] : end[i]].tobytes()
+        code[i] = int.from_bytes(hashlib.blake2b(own.lower() if letters.fold else own, digest_size=8).digest(), "little")
     return Words(start, end, code, np.searchsorted(start, group.offsets, "left"))
 
 
