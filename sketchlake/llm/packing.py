@@ -14,6 +14,7 @@ often as that helps. The filling is used as many times as the counts allow.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,13 +26,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchlake.llm import kernels as K
-from sketchlake.llm.runtime import checkpoint, lean, ship, shuffle_width
+from sketchlake.llm.runtime import lean, ship, shuffle_width, store
 from sketchlake.llm.tokens import load
 
 #: Words and ids that a process keeps; beyond, it begins anew.
 KEPT_WORDS, KEPT_IDS = 3_000_000, 24_000_000
 #: Words that go to the tokenizer in one call, whose result it holds with much beside the ids.
 AT_ONCE = 8192
+#: How a tokenizer must read texts for its words to be encoded apart; others get whole texts.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
 #: What the tokenizer takes as one pre-token.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: Kinds of bytes of which the tokenizer begins anew at each change, given letters beyond ASCII only and no apostrophes.
@@ -69,16 +79,20 @@ def can_part(group: K.Group) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids as uint32, for a lower-casing tokenizer that never joins text across white space.
+    """Ids as uint32.
 
-    White-space-separated words, in most texts parted further into letters and
+    For a lower-casing tokenizer that never joins text across white space (``BY_WORDS``),
+    white-space-separated words, in most texts parted further into letters and
     others, are encoded once per process and kept by their 64-bit hash; a text's
     ids are then gathered by array operations. New words of letters are encoded
-    many at a time, as one text whose pre-tokens they are.
+    many at a time, as one text whose pre-tokens they are. Other tokenizers get every text whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        settings = json.loads(self.tokenizer.to_str()) if hasattr(self.tokenizer, "to_str") else {}
+        special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in settings.get("added_tokens", []))
+        self.by_words = bool(settings) and special and all(settings[k] == v for k, v in BY_WORDS.items())
         self.forget()
 
     def forget(self) -> None:
@@ -87,6 +101,8 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _raw(self, parts: list[str]) -> list[bytes]:
+        if not hasattr(self.tokenizer, "encode_batch_fast"):
+            return [np.array(ids, "<u4").tobytes() for ids in self.tokenizer.encode(parts, out_type=int, add_bos=False, add_eos=False, num_threads=1)] if parts else []
         return [np.array(e.ids, "<u4").tobytes() for lo in range(0, len(parts), AT_ONCE) for e in self.tokenizer.encode_batch_fast(parts[lo : lo + AT_ONCE], add_special_tokens=False)]
 
     def _letters(self, parts: list[str]) -> list[bytes]:
@@ -118,6 +134,8 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null is empty."""
+        if not self.by_words:
+            return [np.frombuffer(raw, "<u4") for raw in self._raw([t or "" for t in texts.to_pylist()])]
         if len(self.hash) > KEPT_WORDS or len(self.ids) > KEPT_IDS:
             self.forget()
         parts = []
@@ -154,10 +172,12 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _cut(path: str, capacity: int, end_id: int):
+def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
+    schema = _PIECES if with_ids else pa.schema(list(_PIECES)[:-1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(path, WordEncoder(path))
         end = np.array([end_id], "<u4").tobytes()
@@ -169,16 +189,19 @@ def _cut(path: str, capacity: int, end_id: int):
                     ids = found.tobytes() + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+                        rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<i4"))[: len(schema)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: every document's ids with ``end_id`` last, in pieces of up to ``capacity``."""
+_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``): every document's ids with ``end_id`` last, in pieces of up to ``capacity``."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_cut(path, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_cut(path, capacity, end_id, with_ids)), _COLUMNS + (", ids array<int>" if with_ids else ""))
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -278,8 +301,8 @@ def _place(places):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``; ``with_ids`` adds the piece's ``ids``.
 
     Only documents longer than ``capacity`` are cut, into full pieces and a
     rest. A null or empty text is its end id alone. Equal texts and repeated
@@ -289,7 +312,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> D
     many tasks.
     """
     spark = docs.sparkSession
-    pieces = checkpoint(cut_documents(docs, path, capacity, end_id))
+    pieces = store(cut_documents(docs, path, capacity, end_id, with_ids))
+    own = pieces.columns
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row per length
     places = spark.sparkContext.broadcast(Places.of(plan_bins(counts, capacity), capacity))
     parts = max(shuffle_width(spark), sum(counts.values()) // 100_000)
@@ -297,5 +321,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> D
     before = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = before.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     ranked = pieces.withColumn("within", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1).join(before, ["length", "part"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
-    return ranked.mapInArrow(_place(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.select(*own, (F.col("before") + F.col("within")).alias("rank"))
+    return ranked.mapInArrow(_place(places), _COLUMNS + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long")
