@@ -1,13 +1,13 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
 Groups of equal texts are the items. Those that make up a notable part of a
-shard are placed one by one; one larger than three quarters of a shard is first split
+shard are placed one by one; one larger than a whole shard, which no shard could take, is first split
 into pieces by a hash of the document id. The others are too many to place singly,
-so they are dealt by hash into bundles, of a fixed number per shard, that are
-items in turn. Items are placed in falling size, each on the shard where the dot
+so they are dealt by hash into bundles, of a fixed number per shard and at most about as large as the
+smallest of the former, that are items in turn: what is placed is every item, by one rule. Items are placed in falling size, each on the shard where the dot
 product of its (bytes, tokens, rows), as shares of the totals, with the shard's
 residual capacity is highest; a shard that an item would overfill in bytes is
-taken only if all would be. Moves and swaps of items then even out the bytes.
+taken only if all would be. Moves and swaps of items then even out the bytes, as far as the three measures together gain.
 The number of items has a bound that doesn't depend on the table.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from sketchlake.llm.runtime import checkpoint, shuffle_width
 
 BUNDLES = 512
-#: Groups of more than this part of a shard, in any measure, are items of their own; those of more than SPLIT are split.
-NOTABLE, SPLIT = 1 / 256, 3 / 4
+#: Groups of more than this part of a shard, in any measure, are items of their own; those of more than a whole one are split.
+NOTABLE, SPLIT = 1 / 256, 1.0
 
 
 def place(sizes: np.ndarray, shards: int) -> np.ndarray:
@@ -40,28 +40,28 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def even_out(sizes: np.ndarray, where: np.ndarray, shards: int, rounds: int = 400) -> np.ndarray:
-    """Moves or swaps between the fullest and the emptiest shard in bytes, while that narrows the range."""
+    """Moves or swaps of items between the fullest and the emptiest shard in bytes, while they narrow the range in bytes and bring all measures together nearer to even."""
     where = where.copy()
-    weight = sizes[:, 0].astype(np.float64)
+    share = sizes / np.maximum(sizes.sum(0), 1) * shards
+    load = np.stack([np.bincount(where, share[:, m], shards) for m in range(share.shape[1])], 1)
     for _ in range(rounds):
-        load = np.bincount(where, weight, shards)
-        high, low = int(load.argmax()), int(load.argmin())
+        high, low = int(load[:, 0].argmax()), int(load[:, 0].argmin())
         gap = load[high] - load[low]
-        a = np.flatnonzero(where == high)
-        b = np.append(np.flatnonzero(where == low), -1)
-        b = b[np.argsort(np.append(weight[b[:-1]], 0.0), kind="stable")]
-        light = np.where(b < 0, 0.0, weight[b])
-        target = weight[a] - gap / 2
-        near = np.clip(np.searchsorted(light, target), 1, len(light)) - 1
-        near = np.stack((near, np.minimum(near + 1, len(light) - 1)))
-        moved = weight[a][None, :] - light[near]
-        miss = np.where((moved > 0) & (moved < gap), np.abs(moved - gap / 2), np.inf)
-        row, column = np.unravel_index(miss.argmin(), miss.shape)
-        if not np.isfinite(miss[row, column]):
+        a, b = np.flatnonzero(where == high), np.append(np.flatnonzero(where == low), -1)
+        other = np.where(b[:, None] < 0, 0.0, share[b])
+        # moving d changes the sum of squares of the two shards' measures by 2 d (d - gap); all pairs of two shards' items, of bounded number
+        moved = share[a][:, None, :1] - other[None, :, :1]
+        gain = sum((share[a, m][:, None] - other[None, :, m]) * (gap[m] - share[a, m][:, None] + other[None, :, m]) for m in range(share.shape[1]))
+        gain = np.where((moved[:, :, 0] > 0) & (moved[:, :, 0] < gap[0]), gain, -np.inf)
+        i, j = np.unravel_index(gain.argmax(), gain.shape)
+        if not gain[i, j] > 1e-12:
             break
-        where[a[column]] = low
-        if (other := b[near[row, column]]) >= 0:
-            where[other] = high
+        step = share[a[i]] - other[j]
+        load[high] -= step
+        load[low] += step
+        where[a[i]] = low
+        if b[j] >= 0:
+            where[b[j]] = high
     return where
 
 
@@ -93,7 +93,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, tokens: Column | None = N
     part = F.greatest(*[F.col(m) / F.lit(float(w)) for m, w in zip(("bytes", "tokens", "n"), whole, strict=True)])
     groups = rows.groupBy("name", "name2", "text_crc32").agg(*measures).withColumn("part", part).where(F.col("part") > NOTABLE)
     groups = groups.select("name", "name2", "text_crc32", F.ceil(F.col("part") / F.lit(SPLIT)).cast("long").alias("pieces"))
-    notable = groups.collect()  # at most 3 * shards / NOTABLE rows
+    notable = groups.collect()  # at most 3 * shards / NOTABLE rows, of three measures
     keys = spark.createDataFrame([tuple(r) for r in notable], groups.schema)
     own = rows.join(F.broadcast(keys), ["name", "name2", "text_crc32"], "left")
     item = F.when(F.col("pieces").isNotNull(), F.concat_ws("/", F.lit("g"), "name", "name2", "text_crc32", F.pmod(F.xxhash64("doc_id"), "pieces")))
