@@ -43,7 +43,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchlake.llm import kernels as K
@@ -53,6 +53,8 @@ from sketchlake.llm.runtime import checkpoint, lean, release, ship
 _U = np.uint64
 SKETCH_BITS = 26
 SLICES = 64
+#: Rows of a candidate group's totals, at most.
+SALTS = 32
 FLUSH = 1_000_000
 #: Text whose combinations share a bucket of the index; a bucket is one task's.
 BUCKET_CHARACTERS = 4_000_000
@@ -241,6 +243,14 @@ def _index(join: Join, counters, bits: int, buckets: int):
                 key = np.concatenate([x[1] for x in held[kind]])
                 order = np.argsort(key, kind="stable")
                 key, node = key[order], node[order]
+                if kind == 0:  # of the sets that share a combination here one speaks for all; the others are joined to it now
+                    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                    name, at = np.unique(node, return_inverse=True)
+                    root = local_roots(np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key)))), at, len(name))
+                    far = np.flatnonzero(root != np.arange(len(name)))
+                    if len(far):
+                        rows.append((len(known) % buckets, 3, len(far), name[far].tobytes() + name[root[far]].tobytes()))
+                    key, node = key[begins], name[root[at[begins]]]
                 home = (key >> _U(40)).astype(np.int64) * buckets >> 24
                 edges = np.searchsorted(home, np.arange(buckets + 1))
                 for b in range(buckets):
@@ -296,12 +306,18 @@ _FOUND = "kind byte, a long, b long, n int, m long"
 
 
 def _candidates(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the documents' sizes and names (kind 2), edges of shared combinations (0), rare tokens shared by two nodes (1)."""
+    """Of one bucket: the documents' sizes and names (kind 2), edges of shared combinations (0), rare tokens shared by two nodes (1).
+
+    A combination has one posting for each time that a map task sends, however many sets have it; edges found there come as they are (3).
+    """
     out = [np.zeros((0, 5), np.int64)]
     of = {k: [(s, d) for s, d in zip(x["size"], x["data"], strict=True)] for k, x in group.groupby("kind")}
     if 2 in of:
         rows = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 4) for _, d in of[2]])
         out.append(np.stack((np.full(len(rows), 2), rows[:, 0], rows[:, 2], rows[:, 1], rows[:, 3]), 1))
+    for n, data in of.get(3, ()):
+        ends = np.frombuffer(data, np.int64).reshape(2, n)
+        out.append(np.stack((np.zeros(n, np.int64), ends[0], ends[1], np.zeros(n, np.int64), np.zeros(n, np.int64)), 1))
     if 0 in of:
         _, node, begins = _merge_keys(of[0])
         if len(node):
@@ -366,7 +382,7 @@ def _verify(join: Join):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows: list[np.ndarray] = []
         for _, part in group.groupby("part", sort=False):
-            part = part.reset_index(drop=True)
+            part = part.drop_duplicates("rep").reset_index(drop=True)  # rows of one id and text come once for each
             sides = [part[part["side"] == s].reset_index(drop=True) for s in (0, 1)]
             if not len(sides[0]) or (part["two"].iloc[0] and not len(sides[1])) or len(part) < 2:
                 continue
@@ -415,35 +431,42 @@ def _send(join: Join):
 
 
 def _assign(join: Join, members: DataFrame) -> DataFrame:
-    """Members (rep, copies, n, comp) with the tasks that each is sent to."""
-    totals = members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")).where("sets > 1")
-    members = members.join(totals, "comp")
+    """Members (rep, copies, n, comp) with the tasks that each is sent to.
+
+    Totals of a group meet its members by (group, salt), of which a group has at most SALTS rows
+    however large it is, so that a giant group is many keys and a small one costs no more than its size.
+    """
+    step = math.log(join.den / join.num)
+    members = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9))
+    parts = checkpoint(members.groupBy("comp", "salt", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens")))
+    bands = parts.groupBy("comp", "band").agg(F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens"))
+    salts = F.ceil(F.greatest(F.col("sets") / F.lit(BLOCK_SETS), F.col("tokens") / F.lit(BLOCK_TOKENS)))
+    # bands of a group: as many as sizes have powers of the similarity, a few dozen
+    totals = bands.groupBy("comp").agg(F.sum("sets").alias("sets"), F.sum("tokens").alias("tokens"), F.map_from_entries(F.collect_list(F.struct("band", salts.alias("salts")))).alias("bands")).where("sets > 1")
+    spread = parts.select("comp", "salt").distinct().join(totals, "comp")
+    members = members.join(spread, ["comp", "salt"])
     fits = (F.col("sets") <= BLOCK_SETS) & (F.col("tokens") <= BLOCK_TOKENS)
     held = members.where(fits).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bins = max(1, held // BLOCK_TOKENS + 1)
-    one = members.where(fits).select(
-        "rep", "copies", F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("task"), F.col("comp").cast("string").alias("part"), F.lit(0).alias("side"), F.lit(False).alias("two"))).alias("sends")
-    )
-    step = math.log(join.den / join.num)
-    big = members.where(~fits).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9))
-    bands = big.groupBy("comp", "band").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK_SETS), F.sum("n") / F.lit(BLOCK_TOKENS))).alias("salts"))
-    own = big.join(bands, ["comp", "band"]).withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
-    other = bands.select("comp", F.col("band").alias("band2"), F.col("salts").alias("salts2"))
-    near = own.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(other, ["comp", "band2"])
-    near = near.withColumn("salt2", F.explode(F.expr("sequence(0L, salts2 - 1)")))
-    first = (F.col("band") < F.col("band2")) | ((F.col("band") == F.col("band2")) & (F.col("salt") <= F.col("salt2")))
-    ends = [F.when(first, F.col(a)).otherwise(F.col(b)) for a, b in (("band", "band2"), ("salt", "salt2"), ("band2", "band"), ("salt2", "salt"))]
-    same = (F.col("band") == F.col("band2")) & (F.col("salt") == F.col("salt2"))
-    near = near.withColumn("part", F.concat_ws("/", "comp", *ends))
-    sends = F.collect_list(F.struct((F.xxhash64("part").bitwiseOR(F.lit(-(1 << 63)))).alias("task"), "part", F.when(first, 0).otherwise(1).alias("side"), (~same).alias("two"))).alias("sends")
-    many = near.groupBy("rep", "copies").agg(sends)
-    return one.unionByName(many)
+    own = F.struct(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("task"), F.col("comp").cast("string").alias("part"), F.lit(0).alias("side"), F.lit(False).alias("two"))
+    band, salt = F.col("band"), F.pmod(F.xxhash64("rep"), F.element_at("bands", F.col("band")))
+
+    def send(band2: Column, salt2: Column) -> Column:
+        first = (band < band2) | ((band == band2) & (salt <= salt2))
+        same = (band == band2) & (salt == salt2)
+        part = F.concat_ws("/", "comp", *[F.when(first, a).otherwise(b) for a, b in ((band, band2), (salt, salt2), (band2, band), (salt2, salt))])
+        return F.struct(F.xxhash64(part).bitwiseOR(F.lit(-(1 << 63))).alias("task"), part.alias("part"), F.when(first, 0).otherwise(1).alias("side"), (~same).alias("two"))
+
+    others = F.filter(F.array(band - 1, band, band + 1), lambda b: F.map_contains_key("bands", b))
+    near = F.flatten(F.transform(others, lambda b: F.transform(F.sequence(F.lit(0).cast("long"), F.element_at("bands", b) - 1), lambda s: send(b, s))))
+    return members.select("rep", "copies", F.when(fits, F.array(own)).otherwise(near).alias("sends"))
 
 
 def join_documents(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, n_links``.
 
-    ``docs`` has an integer ``doc_id`` (unique) and ``text``. Words are
+    ``docs`` has an integer ``doc_id`` and ``text``; rows with one id and text are copies of each other,
+    and where one id has different texts, its links are those of all of them. Words are
     ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. ``component_id`` is the
     smallest doc_id reachable by links; ``n_links`` counts the other documents
     that the document links with directly, copies included. A null or wordless
