@@ -20,6 +20,8 @@ from sketchlake.llm.runtime import checkpoint
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Absolute and scheme-relative addresses in attributes.
+#: Keys that a host's pages are dealt to, by path, where they meet what is known of the host.
+SALTS = 16
 _LINK = r"""(?i)\b(?:href|src|action)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -63,6 +65,12 @@ def host_rules(hosts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return found.groupBy("host").agg(F.sort_array(fitting).alias("fitting"))
 
 
+def with_host(rows: DataFrame, per_host: DataFrame) -> DataFrame:
+    """Rows (host, path ...) with what is known of their host, if anything; one host may have a third of all rows."""
+    copies = per_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(copies, ["host", "_salt"], "left").drop("_salt")
+
+
 def propagate(hosts: DataFrame, edges: DataFrame, how: Propagation) -> DataFrame:
     """``host, trust, distrust`` from ``host, trusted, blocked`` (seed masses) and ``source, target, links`` between these hosts."""
     edges = edges.where("source <> target").groupBy("source", "target").agg(F.sum("links").cast("double").alias("links"))
@@ -107,7 +115,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], how: Propagation = Propa
     counted = checkpoint(counted.union(uncrawled.select("host", "path", "n")))
     fitting = checkpoint(host_rules(counted.select("host").distinct(), rules))
     first = F.try_element_at(F.filter("fitting", lambda r: F.col("path").startswith(r["path"])), F.lit(1))
-    ruled = counted.join(fitting, "host", "left").withColumn("first", first)
+    ruled = with_host(counted, fitting).withColumn("first", first)
     seeds = ruled.where("host <> ''").groupBy("host").agg(
         F.sum(F.when(F.col("first.verdict") == "allow", F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("first.verdict") == "block", F.col("n")).otherwise(0)).alias("b"), F.sum("n").alias("n")
     )
@@ -120,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], how: Propagation = Propa
     received = F.col("distrust") - (1 - how.damping) * F.col("blocked")  # rules speak for a host's own blocked paths; links for the rest
     distrusted = state.where((received > 1e-12) & (received > how.level * mean) & (received > how.factor * F.col("trust"))).select("host", F.lit(True).alias("distrusted"))
     per_host = fitting.join(distrusted, "host", "full_outer")
-    judged = at.join(per_host, "host", "left").withColumn("first", first)
+    judged = with_host(at, per_host).withColumn("first", first)
     return judged.select(
         "page_id", "url", "host", "path", F.col("first.rule").alias("rule"), F.coalesce("first.verdict", F.when(F.col("distrusted"), "block").otherwise("allow")).alias("verdict")
     )
