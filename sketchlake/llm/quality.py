@@ -1,16 +1,17 @@
 """Quality rules whose cutoffs have a proven bound on false rejection.
 
 Base features are counted over every whole text. The rules compare ratios of
-them with cutoffs. A cutoff comes from labelled holdouts: for each stratum and
-rule, a fixed grid is walked from lenient to strict, and each step tests, by the
-exact binomial tail, the hypothesis that more than ``alpha`` of the good
-documents would be rejected. The walk ends at the first step that isn't
-rejected (fixed-sequence testing needs no correction along the grid); across
-strata and rules the level is shared out (Bonferroni). So with probability
-1 - delta no stratum loses more than its share of good documents to any rule.
-Among the certified steps the one taken has the best balance of bad against good
-rejections in the holdout, the more lenient on ties; where none rejects bad
-documents, or too few labels exist to certify any, the rule stays off.
+them with cutoffs from fixed grids. The cutoffs of a stratum come from its own labelled
+documents, dealt by a hash of the id into two holdouts. The first one chooses a path of
+rule sets, from no rule to ever stricter ones: each step makes one rule stricter, the one
+that loses the fewest good documents for bad ones worth it. The second one certifies: along the path, the
+hypothesis that more than ``alpha`` of the stratum's good documents would be rejected, by all
+rules together, is tested by the exact binomial tail, up to the first step where it
+can't be rejected (fixed-sequence testing needs no correction along a path that doesn't depend on the data tested);
+across strata the level is shared out (Bonferroni). So with probability 1 - delta no
+stratum loses more than alpha of its good documents. Of the certified rule sets the one with the best
+balance of bad against good rejections is taken, the more lenient on ties; a stratum with
+too few labels to certify any has no rules.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sketchlake.llm import kernels as K
-from sketchlake.llm.runtime import lean, ship
+from sketchlake.llm.runtime import checkpoint, lean, ship
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -130,17 +132,20 @@ class Policy:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), exactly up to rounding."""
+    """P(X <= k) for X ~ Binomial(n, p), exactly up to rounding.
+
+    Terms are summed downwards from k; those more than fifty standard deviations below are less than the smallest number.
+    """
     if k >= n:
         return 1.0
-    at = np.arange(k + 1)
-    head = math.lgamma(n + 1) + at * math.log(p) + (n - at) * math.log1p(-p)
-    terms = head - np.array([math.lgamma(i + 1) + math.lgamma(n - i + 1) for i in at])
-    return float(min(1.0, np.exp(terms - terms.max()).sum() * math.exp(terms.max())))
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    down = np.arange(k, max(0, min(k, math.ceil(n * p)) - math.ceil(50 * math.sqrt(n * p * (1 - p))) - 50), -1, dtype=np.float64)
+    terms = np.concatenate(([0.0], np.cumsum(np.log(down / (n - down + 1) * ((1 - p) / p)))))
+    return float(min(1.0, math.exp(top + terms.max()) * np.exp(terms - terms.max()).sum()))
 
 
 def certified(good: int, rejected: list[int], alpha: float, delta: float) -> int:
-    """How many steps of the grid, from the lenient end, are certified; tails that are too long to sum are cut by the first failure."""
+    """How many steps of the path, from the lenient end, are certified; a count over alpha fails without its tail."""
     for i, k in enumerate(rejected):
         if good == 0 or k > alpha * good or binomial_tail(k, good, alpha) > delta:
             return i
@@ -148,9 +153,52 @@ def certified(good: int, rejected: list[int], alpha: float, delta: float) -> int
 
 
 def least_good(policy: Policy) -> int:
-    """Good documents that a stratum needs for any step to be certified, even if it stood alone."""
-    share, level = policy.alpha / len(policy.rules), policy.delta / len(policy.rules)
-    return math.ceil(math.log(level) / math.log1p(-share))
+    """Good documents that a stratum's second holdout needs for any step to be certified, even if it stood alone."""
+    return math.ceil(math.log(policy.delta) / math.log1p(-policy.alpha))
+
+
+def choose_path(kept: np.ndarray, good: np.ndarray, bad: np.ndarray, policy: Policy) -> list[tuple[int, ...]]:
+    """Rule sets as numbers of steps taken by each rule, ever stricter.
+
+    Row by row, ``kept`` says how many steps of each rule, from the lenient end, keep the documents of a
+    cell, ``good`` and ``bad`` how many there are. A step may pass over some of a grid. Ties go to the earlier rule, then the lenient step.
+    """
+    state, path = [0] * len(policy.rules), []
+    left = np.ones(len(kept), bool)
+    while True:
+        best = None
+        for r, rule in enumerate(policy.rules):
+            lost, caught = (np.cumsum(np.bincount(kept[left, r], w[left], len(rule.steps) + 1)) for w in (good, bad))
+            for i in range(state[r], len(rule.steps)):
+                if caught[i] > policy.price * lost[i] and (best is None or (lost[i], -caught[i]) < best[:2]):
+                    best = (lost[i], -caught[i], r, i + 1)
+        if best is None:
+            return path
+        state[best[2]] = best[3]
+        left &= kept[:, best[2]] >= best[3]
+        path.append(tuple(state))
+
+
+def certified_rules(kept: np.ndarray, count: np.ndarray, quality: np.ndarray, second: np.ndarray, policy: Policy, level: float) -> dict[str, float]:
+    """The cutoffs of one stratum, by rule, from its cells: ``count`` documents each, of a quality and holdout."""
+    weight = lambda q, h: np.where((quality == q) & (second == h), count, 0)
+    path = choose_path(kept, weight(1, False), weight(0, False), policy)
+    rejects = [(kept < np.array(state)).any(1) for state in path]
+    lost, caught = ([int(weight(q, True)[r].sum()) for r in rejects] for q in (1, 0))
+    steps = certified(int(weight(1, True).sum()), lost, policy.alpha, level)
+    best = max(range(steps), key=lambda i: (caught[i] - policy.price * lost[i], -i), default=None)
+    if best is None or caught[best] - policy.price * lost[best] <= 0:
+        return {}
+    return {rule.name: rule.steps[n - 1] for rule, n in zip(policy.rules, path[best], strict=True) if n}
+
+
+def _certify(policy: Policy, level: float):
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        kept = cells[[rule.name for rule in policy.rules]].to_numpy(np.int64)
+        found = certified_rules(kept, cells["n"].to_numpy(), cells["quality"].to_numpy(), cells["second"].to_numpy(bool), policy, level)
+        return pd.DataFrame({"stratum": [cells["stratum"].iloc[0]] * len(found), "rule": list(found), "cutoff": list(found.values())})
+
+    return run
 
 
 def calibrate(features: DataFrame, labels: DataFrame, policy: Policy = Policy()) -> tuple[dict[str, dict[str, float]], list[str]]:
@@ -158,31 +206,31 @@ def calibrate(features: DataFrame, labels: DataFrame, policy: Policy = Policy())
 
     ``features`` has doc_id, stratum and the base features; ``labels`` doc_id and
     quality (1 good, 0 bad; others are ignored; a document with contradicting labels counts as each).
-    Strata with fewer good documents than ``least_good`` can't be certified: their rules stay off, they don't share
-    the level, and their counts don't come to the driver.
+    Documents that stand alike on all grids are counted as one cell first, so a stratum has at most as many cells as the grids'
+    product, whatever its labels. Strata with fewer good documents in the second holdout than ``least_good`` can't be certified: their rules stay off, they don't share
+    the level, and nothing of them comes to the driver.
     """
+    ship(features.sparkSession)
     holdout = features.where("not base_failed").join(labels.where("quality in (0, 1)").select("doc_id", "quality").distinct(), "doc_id")
-    counts = [F.sum("quality").alias("good")]
-    for rule in policy.rules:
-        for i, c in enumerate(rule.steps):
-            counts += [F.sum(F.when(rule.beyond(c) & (F.col("quality") == q), 1).otherwise(0)).alias(f"{rule.name}_{i}_{q}") for q in (0, 1)]
-    seen = {r["stratum"]: r for r in holdout.groupBy("stratum").agg(*counts).where(F.col("good") >= least_good(policy)).collect()}
-    share, level = policy.alpha / len(policy.rules), policy.delta / max(1, len(seen) * len(policy.rules))
+    keeps = [sum((F.when(rule.beyond(c), 0).otherwise(1) for c in rule.steps), F.lit(0)).alias(rule.name) for rule in policy.rules]
+    second = F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2)) == 1
+    names = [rule.name for rule in policy.rules]
+    cells = holdout.select("stratum", "quality", second.alias("second"), *keeps).groupBy("stratum", "quality", "second", *names).agg(F.count("*").alias("n"))
+    cells = checkpoint(cells)
+    good = F.sum(F.when((F.col("quality") == 1) & F.col("second"), F.col("n")).otherwise(0)).alias("good")
+    enough = cells.groupBy("stratum").agg(good).where(F.col("good") >= least_good(policy)).select("stratum")
+    tested = sorted(r["stratum"] for r in enough.collect())  # each has least_good labels
     cutoffs: dict[str, dict[str, float]] = {}
-    for s, row in seen.items():
-        for rule in policy.rules:
-            caught, lost = ([row[f"{rule.name}_{i}_{q}"] for i in range(len(rule.steps))] for q in (0, 1))
-            steps = certified(row["good"], lost, share, level)
-            best = max(range(steps), key=lambda i: (caught[i] - policy.price * lost[i], -i), default=None)
-            if best is not None and caught[best] - policy.price * lost[best] > 0:
-                cutoffs.setdefault(s, {})[rule.name] = rule.steps[best]
-    return cutoffs, sorted(seen)
+    found = cells.where(F.col("stratum").isin(tested)).groupBy("stratum").applyInPandas(_certify(policy, policy.delta / max(1, len(tested))), "stratum string, rule string, cutoff double")
+    for row in found.collect():  # a few rows for each stratum tested
+        cutoffs.setdefault(row["stratum"], {})[row["rule"]] = row["cutoff"]
+    return cutoffs, tested
 
 
 def with_verdict(features: DataFrame, cutoffs: dict[str, dict[str, float]], policy: Policy = Policy()) -> DataFrame:
     """The features with ``kept``: false where ``base_failed`` or beyond a cutoff of the row's stratum.
 
-    The cutoffs are broadcast, a row per stratum; each has at least ``least_good`` labelled documents.
+    The cutoffs are broadcast, a row per stratum; each stratum has at least ``least_good`` labelled documents.
     """
     names = [rule.name for rule in policy.rules]
     rows = [(s, *[chosen.get(n) for n in names]) for s, chosen in cutoffs.items()]

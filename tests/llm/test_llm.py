@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import itertools
+import math
 import random
 import re
 import time
@@ -269,12 +270,86 @@ def test_cutoffs_are_certified_and_bound_false_rejection(spark):
     kept = {(r["stratum"], r["quality"], r["kept"]): r["count"] for r in judged.where("not base_failed").groupBy("stratum", "quality", "kept").count().collect()}
     assert kept.get(("good", 1, False), 0) == 0 and kept.get(("good", 0, True), 0) < 10 and ("few", 1, False) not in kept
     assert quality.certified(100, [0, 0], 0.01, 0.05) == 0 and quality.certified(1000, [0, 1, 30], 0.01, 0.05) == 2
-    exact = sum(np.prod([1.0]) * __import__("math").comb(30, i) * 0.1**i * 0.9 ** (30 - i) for i in range(3))
+    exact = sum(np.prod([1.0]) * math.comb(30, i) * 0.1**i * 0.9 ** (30 - i) for i in range(3))
     assert abs(quality.binomial_tail(2, 30, 0.1) - exact) < 1e-12
     none = quality.judge(feats, docs.select("doc_id", "quality").where("false"))
     assert none.where("kept != (not base_failed)").isEmpty()
 
 
+def test_cutoffs_equal_a_plain_walk_over_documents(spark):
+    """Every document by itself, rule sets as dicts of cutoffs, tails from binomial coefficients."""
+    dice = random.Random(12)
+    rows = []
+    for i in range(1500):
+        q = int(dice.random() < 0.8)
+        n = dice.randint(60, 400)
+        noise = lambda good, bad, q=q, n=n: int(n * max(0.0, dice.gauss(good if q else bad, 0.08)))
+        rows.append((i, dice.choice(["a", "a", "a", "b", "c"]), n, int(n * dice.gauss(5 if q else 7, 1)), noise(0.02, 0.3), noise(0.0, 0.01) // 3, noise(0.05, 0.2), False, q))
+    rows.append((9999, "a", 100, 500, 90, 0, 0, True, 0))
+    schema = "doc_id long, stratum string, " + ", ".join(f"{f} long" for f in quality.FEATURES) + ", base_failed boolean, quality int"
+    docs = spark.createDataFrame(rows, schema)
+    second = {r["doc_id"]: r["s"] for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2)) == 1).alias("s")).collect()}
+    policy = quality.Policy(price=3.0)
+
+    def value(rule, r):
+        return {"symbols_per_word": r[4], "word_length": r[3], "short_words": r[3], "repeated_words": r[6], "repeated_lines": r[5]}[rule.name] / r[2]
+
+    def rejected(cuts, r):
+        return any(value(rule, r) > cuts[rule.name] if rule.upper else value(rule, r) < cuts[rule.name] for rule in policy.rules if rule.name in cuts)
+
+    strata = {s: [r for r in rows if r[1] == s and not r[7]] for s in "abc"}
+    tested = [s for s, own in strata.items() if sum(r[8] for r in own if second[r[0]]) >= quality.least_good(policy)]
+    want = {}
+    for s in tested:
+        first, other = ([r for r in strata[s] if second[r[0]] == h] for h in (False, True))
+        cuts, path = {}, []
+        while True:
+            options = []
+            for k, rule in enumerate(policy.rules):
+                for i, c in enumerate(rule.steps):
+                    if rule.name in cuts and i <= rule.steps.index(cuts[rule.name]):
+                        continue
+                    new = {**cuts, rule.name: c}
+                    more = [r for r in first if rejected(new, r) and not rejected(cuts, r)]
+                    lost = sum(r[8] for r in more)
+                    if len(more) - lost > policy.price * lost:
+                        options.append((lost, lost - len(more) + 0, k, i, new))
+            if not options:
+                break
+            cuts = min(options, key=lambda o: (o[0], o[1] - 0, o[2], o[3]))[4]
+            path.append(cuts)
+        n, best = sum(r[8] for r in other), None
+        for cuts in path:
+            gone = [r for r in other if rejected(cuts, r)]
+            k = sum(r[8] for r in gone)
+            if sum(math.comb(n, i) * policy.alpha**i * (1 - policy.alpha) ** (n - i) for i in range(k + 1)) > policy.delta / len(tested):
+                break
+            balance = len(gone) - k - policy.price * k
+            if balance > 0 and (best is None or balance > best[0]):
+                best = (balance, cuts)
+        if best:
+            want[s] = best[1]
+    got, seen = quality.calibrate(docs.drop("quality"), docs.select("doc_id", "quality"), policy)
+    assert seen == tested and got == want and want
+    judged = {r["doc_id"]: r["kept"] for r in quality.judge(docs.drop("quality"), docs.select("doc_id", "quality"), policy).collect()}
+    assert judged == {r[0]: not r[7] and not rejected(want.get(r[1], {}), r) for r in rows}
+
+
+def test_binomial_tails_of_large_holdouts():
+    for k, n, p in ((0, 10, 0.3), (12, 400, 0.05), (19, 400, 0.05), (400, 400, 0.2), (5, 5000, 0.01)):
+        exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert abs(quality.binomial_tail(k, n, p) - exact) < 1e-9 * max(exact, 1e-3)
+    assert 0 < quality.binomial_tail(49_900_000, 1_000_000_000, 0.05) < 1e-40
+
+
+def test_rules_are_certified_for_all_languages_of_the_given_table(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    feats = quality.base_features(docs.join(labels.select("doc_id"), "doc_id", "left_semi")).select("row.doc_id", F.col("row.lang").alias("stratum"), *quality.FEATURES, "base_failed")
+    cutoffs, tested = quality.calibrate(feats, labels)
+    assert tested == ["de", "en", "es", "fr"] == sorted(cutoffs) and all(cutoffs.values())
+
+
 def test_rare_and_unlabelled_strata_have_cutoffs_of_their_own(spark):
     """Long words are bad in the hot and a rare language, and usual in a rarer and an unlabelled one, which the rare one's cutoff must not reach."""
     schema = "doc_id long, stratum string, " + ", ".join(f"{f} long" for f in quality.FEATURES) + ", base_failed boolean, quality int"
