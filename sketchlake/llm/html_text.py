@@ -10,7 +10,8 @@ nothing within an article element and at most FOREIGN_COST elsewhere, so a long
 
 A class, id or role that only names foreign things makes its element foreign. One that
 also says other things does so unless the element holds at least half of the page's words (of those in article
-elements, if there are any); what follows "has", "no", "with" ... in a name says nothing of the element itself.
+elements, if there are any); what follows "has", "no", "with" ... in a name says nothing of the element itself,
+and a header of an entry, post, article ... is the article's. Time is linear in the page, however its tags nest.
 
 The labelled pages are made here: LABELLED_PAGES pages of five layouts, each fragment
 marked as article or not.
@@ -35,6 +36,7 @@ from sketchlake.llm.runtime import ship
 
 LABELLED_PAGES = 150
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+_UNCLOSED = re.compile("<[a-zA-Z/!?]")  # after the last ">", what follows is lost
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -47,6 +49,8 @@ FOREIGN_NAMES = frozenset("ad ads advert adverts advertisement advertising adsen
 OWN = frozenset("html body article main".split())
 #: After these, a part of a name is about what else is there or not.
 ABOUT_OTHERS = frozenset("has have no not non with without hide hides show shows".split())
+#: A header of these is the article's.
+OF_ARTICLE = frozenset("entry post article story content hentry headline".split())
 #: The most that one foreign zone outside article elements takes from a run; a few words of a paragraph.
 FOREIGN_COST = 40.0
 
@@ -67,14 +71,19 @@ def named_foreign(own: dict[str, str]) -> str:
     """"only" if class, id and role name nothing but foreign things, "also" if other things too, else ""."""
     foreign = other = False
     for token in " ".join(own.get(a, "") for a in ("class", "id", "role")).split():
-        for part in _PART.findall(token):
-            if part.lower() in ABOUT_OTHERS:
+        parts = [part.lower() for part in _PART.findall(token)]
+        for part in parts:
+            if part in ABOUT_OTHERS:
                 other = True
                 break
-            foreign, other = (True, other) if part.lower() in FOREIGN_NAMES else (foreign, True)
+            foreign, other = (True, other) if part in FOREIGN_NAMES and not (part == "header" and heads_article(parts)) else (foreign, True)
     return "" if not foreign else "also" if other else "only"
 
 
+def heads_article(parts: list[str]) -> bool:
+    return not OF_ARTICLE.isdisjoint(parts)
+
+
 class _Reader:
     """Walks a page and gives its pieces: ("tag", name, separator, block number, zone) and ("text", surroundings, string, block number, zone).
 
@@ -85,62 +94,74 @@ class _Reader:
         self.forms, self.names = forms, names
 
     def pieces(self, page: str) -> Iterator[tuple]:
-        named: list[tuple[str, int]] = []
+        named: list[tuple[str, int, int]] = []
         walked = list(self._walk(page, named))
-        own = self._not_foreign(walked, named)
+        out_of = self._foreign(walked, named)
         for what, name, text, block, (foreign, article, link, kind, within) in walked:
-            out = foreign or any(i not in own for i in within)
+            out = foreign or out_of[within]
             zone = "" if not out else "inner" if article else "outer"
             yield what, ("foreign" if out else "article" if article else "none", link, kind) if what == "text" else name, text, block, zone
 
     @staticmethod
-    def _not_foreign(walked: list[tuple], named: list[tuple[str, int]]) -> set[int]:
-        """Named elements that hold at least half of the words: of those in article elements opened within them, or else of all.
+    def _foreign(walked: list[tuple], named: list[tuple[str, int, int]]) -> list[bool]:
+        """Of each named element (sort, article elements around it, named element around it; the last entry: none), whether what it holds is foreign.
 
+        It is not if it holds at least half of the words: of those in article elements opened within it, or else of all.
         An element whose names are all foreign must hold half of all words and an article element.
         """
-        if not named:
-            return set()
-        whole = [0, 0]  # all words, those in article elements; neither in what is surely foreign
-        everything = 0
-        held = {i: [0, 0, 0] for i in range(len(named))}
+        n = len(named)
+        sure = [False] * (n + 1)  # in an element whose names are all foreign
+        for i, (sort, _, around) in enumerate(named):
+            sure[i] = sort == "only" or sure[around]
+        unsure_words, unsure_in_article = 0, 0
+        # of each element: words, those in article elements opened within it, and of both those not surely foreign
+        words, inner, free, free_inner = ([0] * (n + 1) for _ in range(4))
         for what, _, text, _, (foreign, article, _, _, within) in walked:
             if what != "text" or foreign:
                 continue
-            n = len(text.split())
-            sure = any(named[i][0] == "only" for i in within)
-            everything += n
-            whole[0] += n * (not sure)
-            whole[1] += n * (not sure and article > 0)
-            for i in within:
-                held[i][0] += n * (not sure)
-                held[i][1] += n * (not sure and article > named[i][1])
-                held[i][2] += n * (article > named[i][1])
-                if named[i][0] == "only":
-                    held[i][0] += n
-        own = set()
-        for i, (sort, outside) in enumerate(named):
+            k = len(text.split())
+            deeper = within != -1 and article > named[within][1]
+            words[within] += k
+            inner[within] += k * deeper
+            if not sure[within]:
+                free[within] += k
+                free_inner[within] += k * deeper
+                unsure_words += k
+                unsure_in_article += k * (article > 0)
+        for i in range(n - 1, -1, -1):
+            _, outside, around = named[i]
+            beyond = around != -1 and outside > named[around][1]  # an article element lies between the two
+            words[around] += words[i]
+            inner[around] += words[i] if beyond else inner[i]
+            free[around] += free[i]
+            free_inner[around] += free[i] if beyond else free_inner[i]
+        everything = words[-1]
+        out = [False] * (n + 1)
+        for i, (sort, outside, around) in enumerate(named):
             if sort == "also":
-                k = 1 if whole[1] and not outside else 0
-                if whole[k] and 2 * held[i][k] >= whole[k]:
-                    own.add(i)
-            elif held[i][2] and 2 * held[i][0] >= everything:
-                own.add(i)
-        return own
-
-    def _walk(self, page: str, named: list[tuple[str, int]]) -> Iterator[tuple]:
-        """Pieces with what they stand in; ``named`` is filled with the sort of each element with a foreign name and the article elements around it."""
+                whole, held = (unsure_in_article, free_inner[i]) if unsure_in_article and not outside else (unsure_words, free[i])
+                ours = whole > 0 and 2 * held >= whole
+            else:
+                ours = inner[i] > 0 and 2 * words[i] >= everything
+            out[i] = not ours or out[around]
+        return out
+
+    def _walk(self, page: str, named: list[tuple[str, int, int]]) -> Iterator[tuple]:
+        """Pieces with what they stand in, at last the innermost named element (-1: none); ``named`` is filled with them."""
         stack: list[tuple[str, bool, bool]] = []
+        where: dict[str, list[int]] = {}  # places on the stack by name
+        blocks: list[int] = []  # and of block elements
         foreign = article = link = block = at = 0
         kind = "other"
-        within: tuple[int, ...] = ()
+        within = -1
+        last = page.rfind(">") + 1
 
         def surroundings() -> tuple:
             return foreign > 0, article, link > 0, kind, within
 
         while True:
-            found = _MARKUP.search(page, at)
-            text = page[at : found.start() if found else len(page)]
+            found = _MARKUP.search(page, at, last)
+            text = page[at : found.start()] if found else _UNCLOSED.split(page[at:], 1)[0]
             if text:
                 yield "text", "", text, block, surroundings()
             if not found:
@@ -148,6 +169,8 @@ class _Reader:
             at = found.end()
             closing, name, rest = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
             if not name:
+                if found[0].startswith(("<!--", "<![CDATA[")) and at == last and not found[0].endswith(("-->", "]]>")):
+                    return
                 continue
             name = name.lower()
             if name in RAW and not closing:
@@ -159,35 +182,39 @@ class _Reader:
             if name in BLOCK:
                 block += 1
             yield "tag", name, "br" if name == "br" else "", block, surroundings()
+            depth = len(stack)
             if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is None:
+                if not where.get(name):
                     continue
-                gone = stack[depth:]
-                del stack[depth:]
-            else:
-                gone = []
-                if name in BLOCK and name != "p" or name == "p":
-                    depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), None)
-                    if depth is not None and (stack[depth][0] == "p" or name == stack[depth][0] == "li"):
-                        gone = stack[depth:]
-                        del stack[depth:]
-            foreign -= sum(was for _, was, _ in gone)
-            within = within[: len(within) - sum(was for _, _, was in gone)]
-            article -= sum(n in ("article", "main") for n, _, _ in gone)
-            link -= sum(n == "a" for n, _, _ in gone)
+                depth = where[name][-1]
+            elif name in BLOCK and blocks and (stack[blocks[-1]][0] == "p" or name == stack[blocks[-1]][0] == "li"):
+                depth = blocks[-1]
+            while len(stack) > depth:
+                gone, was_foreign, was_named = stack.pop()
+                where[gone].pop()
+                if gone in BLOCK:
+                    blocks.pop()
+                foreign -= was_foreign
+                if was_named:
+                    within = named[within][2]
+                article -= gone in ("article", "main")
+                link -= gone == "a"
             if not closing and name not in VOID and not rest.rstrip().endswith("/"):
                 given = attributes(rest) if name not in OWN else {}
-                is_foreign = name not in OWN and (name in FOREIGN and (name != "form" or self.forms) or name == "header" and not article or hidden(given))
+                heads = name == "header" and not article and not heads_article([p.lower() for a in ("class", "id") for p in _PART.findall(given.get(a, ""))])
+                is_foreign = name not in OWN and (name in FOREIGN and (name != "form" or self.forms) or heads or hidden(given))
                 sort = named_foreign(given) if self.names and not is_foreign and (name in BLOCK or name in ("span", "a", "ins")) else ""
+                where.setdefault(name, []).append(len(stack))
+                if name in BLOCK:
+                    blocks.append(len(stack))
                 stack.append((name, is_foreign, bool(sort)))
                 foreign += is_foreign
                 if sort:
-                    within += (len(named),)
-                    named.append((sort, article))
+                    named.append((sort, article, within))
+                    within = len(named) - 1
                 article += name in ("article", "main")
                 link += name == "a"
-            inner = next((n for n, _, _ in reversed(stack) if n in BLOCK), "")
+            inner = stack[blocks[-1]][0] if blocks else ""
             kind = "heading" if inner[:1] == "h" and inner[1:].isdigit() else "text" if inner in ("p", "blockquote", "pre") else "item" if inner in ("li", "dt", "dd", "td", "th") else "other"
 
 

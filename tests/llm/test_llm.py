@@ -595,6 +595,43 @@ def test_names_and_styles_of_wrappers_leave_the_article():
         assert main_text(f"<body>{nav}<article>{body}{gone}<p>Not of it</p></div></article>") == want, gone
 
 
+def test_headers_of_articles_and_of_sites():
+    body = "<p>Some words of the article stand here.</p>" * 4
+    want = "A title" + "\n\nSome words of the article stand here." * 4
+    for head in ("<div class='entry-header'><h1>A title</h1></div>", "<header class='post-header'><h1>A title</h1></header>", "<div id='articleHeader'><h1>A title</h1></div>"):
+        assert main_text(f"<body><header><a href='/'>Site name here</a></header><div class='content'>{head}{body}</div><footer>x</footer>") == want, head
+    assert main_text(f"<body><header class='site-header'><p>Site name</p></header><main><h1>A title</h1>{body}</main>") == want
+
+
+def test_time_is_linear_in_nesting_and_broken_markup():
+    for page, end in (("<span>" * 100_000 + "deep words", "deep words"), ("<div class='ad'>" * 50_000 + "x", None), ("<div class='post comments'>" * 50_000 + "<p>some words", None), ("<a " * 200_000, None), ("</b>" * 100_000 + "end", "end"), ("<p>" * 50_000 + "</i>" * 50_000 + "tail", "tail"), ("<a href=\"" * 100_000, None), ("<!-- " * 100_000, "")):
+        began = time.perf_counter()
+        got = main_text(page)
+        assert time.perf_counter() - began < 5, page[:20]
+        assert end is None or got == end, page[:20]
+
+
+def test_held_out_layouts():
+    """Layouts that the labelled pages don't have: tables, nested sections, list articles, inline adverts, comments in lists, unclosed tags."""
+    dice = random.Random(21)
+    words = lambda n: " ".join("".join(dice.choice("bcdfgaeiou") for _ in range(dice.randint(2, 8))) for _ in range(n))
+    right = 0
+    for i in range(60):
+        title, paragraphs = words(6), [words(dice.randint(8, 60)) for _ in range(dice.randint(2, 8))]
+        links = "".join(f"<li><a href='/{k}'>{words(2)}</a>" for k in range(dice.randint(4, 20)))
+        comments = "".join(f"<li class='comment'><b>{words(1)}</b><p>{words(20)}</p></li>" for _ in range(dice.randint(0, 9)))
+        inner = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs)
+        page = [
+            f"<table><tr><td class='menu'>{links}</td><td>{inner}</td></tr></table><div id=footer>{words(9)}</div>",
+            f"<div class='top-bar navigation'>{links}</div><section><section>{inner}</section></section><ol class='commentlist'>{comments}</ol>",
+            f"<ul>{links}</ul><div role='main' class='post hentry'><header class='entry-header'><h1>{title}</h1></header>{''.join(f'<p>{x}' for x in paragraphs)}<aside>{words(30)}</aside></div><div class='sidebar widget-area'>{words(40)}</div>",
+            f"<div class='cookie-consent'>{words(30)}<button>{words(1)}</button></div><main><div class='story'>{inner}<div class='newsletter-signup'><p>{words(12)}</p><form><input></form></div></div></main><section id='comments'>{comments}</section>",
+            f"<header><nav>{links}</nav></header><article>{inner}<div class='share social'>{links}</div></article><div class='related-posts'><ul>{links}</ul></div><footer><p>{words(25)}</p></footer>",
+        ][i % 5]
+        right += main_text(f"<!doctype html><html><body>{page}</body></html>") == "\n\n".join([title, *paragraphs])
+    assert right >= 57, right
+
+
 def test_long_foreign_blocks_and_formulas_stay_within_the_article():
     advert = f"<div class='ad'>{'<p>buy this now </p>' * 200}</div>"
     for tag in ("article", "div"):
