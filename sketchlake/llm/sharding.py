@@ -24,8 +24,8 @@ BUNDLES = 512
 NOTABLE, SPLIT = 1 / 256, 1.0
 
 
-def place(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item; ``sizes`` has a row of non-negative measures per item, bytes first."""
+def greedy(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each item by dot products alone; ``sizes`` has a row of non-negative measures per item, bytes first."""
     total = np.maximum(sizes.sum(0), 1)
     share = sizes / total * shards
     left = np.ones((shards, sizes.shape[1]))
@@ -36,7 +36,11 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
         score = score if full.all() else np.where(full, -np.inf, score)
         out[i] = int(score.argmax())
         left[out[i]] -= share[i]
-    return even_out(sizes, out, shards)
+    return out
+
+
+def place(sizes: np.ndarray, shards: int) -> np.ndarray:
+    return even_out(sizes, greedy(sizes, shards), shards)
 
 
 def even_out(sizes: np.ndarray, where: np.ndarray, shards: int, rounds: int = 400) -> np.ndarray:

@@ -700,4 +700,112 @@ def test_pipeline_keeps_what_its_stages_say(spark):
     masked = pipeline.replace_private_data(spark, clean, sf)
     assert masked.columns == docs.columns and masked.where(F.col("text").rlike(r"mail\d\.example\.com")).isEmpty() and masked.where(F.length("text") != F.col("n_chars")).isEmpty()
     packed = pipeline.run(spark, sf)
+    assert packed.where(F.size("ids") != F.col("length")).isEmpty()
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in clean.collect()}
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    word = lambda i, n=80: " ".join(f"word{i}x{k}" for k in range(n))
+    texts = [(1, word(1)), (1, word(1)), (1, word(2)), (None, word(3)), (5, None), (6, ""), (7, word(4)), (8, word(4)), (9, word(5) + " a@b.org"), (10, word(6, 9000)), (11, "two words")]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], source.schema)
+    for name, docs in (("empty", source.where("false")), ("odd", odd)):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{other}.parquet").where("false" if name == "empty" else "true").write.parquet(f"{folder}/{other}.parquet")
+        got = sorted(((r["doc_id"], r["piece"]) for r in pipeline.run(spark, folder).collect()), key=str)
+        assert [x for x, p in got if p == 0] == ([] if name == "empty" else [1, 1, 10, 7, 9, None])
+
+
+def test_long_words_that_polynomials_confuse():
+    """The Thue-Morse word and its swap have one value under any polynomial modulo 2**64."""
+    for n in (1024, 4096):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        texts = [a, a.translate(str.maketrans("ab", "ba")), a.upper(), "x" + a]
+        group = next(kernels.groups(pa.array(texts)))
+        h = kernels.words(group, kernels.FOLDED).hash
+        assert len(set(h.tolist())) == 3 and h[0] == h[2] and len(set(kernels.words(group, kernels.PLAIN).hash.tolist())) == 4
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_pieces_have_the_librarys_ids_whatever_the_tokenizer(spark, name):
+    texts = ["Hello  World it's\n\n42 É naïve", None, "", "a b " * 60]
+    tokenizer = tokens.load(vocabulary(name))
+    encode = (lambda t: tokenizer.encode(t, out_type=int)) if name.endswith(".model") else (lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
+    want = {i: [*encode(t or ""), 7] for i, t in enumerate(texts)}
+    rows = packing.pack(frame(spark, texts), vocabulary(name), capacity=50, end_id=7, with_ids=True).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r["start"]):
+        got[r["doc_id"]] += r["ids"]
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    assert got == want
+
+
+def test_long_documents_of_the_given_table_are_spliced(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    long = docs.where(F.length("text") > tokens.CHUNK)
+    tokenizer = tokens.load(vocabulary("byte_bpe_50k.json"))
+    got = {r["row"]["doc_id"]: r["n_tokens"] for r in tokens.token_counts(long, vocabulary("byte_bpe_50k.json")).collect()}
+    assert len(got) > 10 and got == {r["doc_id"]: len(tokenizer.encode(r["text"], add_special_tokens=False).ids) for r in long.collect()}
+
+
+def test_placement_equals_a_plain_one():
+    """Items in falling size, each to the shard of the highest dot product with the room left, as plain Python."""
+    dice = random.Random(3)
+    for shards in (1, 4, 16):
+        sizes = [[dice.randint(1, 9) ** 4, dice.randint(0, 900), dice.randint(1, 20)] for _ in range(300)]
+        total = [sum(s[m] for s in sizes) for m in range(3)]
+        share = [[s[m] / total[m] * shards for m in range(3)] for s in sizes]
+        left, want = [[1.0] * 3 for _ in range(shards)], [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: (-max(share[i]), i)):
+            room = [k for k in range(shards) if left[k][0] >= share[i][0]] or range(shards)
+            want[i] = max(room, key=lambda k: (round(sum(a * b for a, b in zip(left[k], share[i])), 12), -k))
+            left[want[i]] = [a - b for a, b in zip(left[want[i]], share[i])]
+        got = sharding.greedy(np.array(sizes, float), shards)
+        load = lambda where: [[sum(share[i][m] for i in range(len(sizes)) if where[i] == k) for m in range(3)] for k in range(shards)]
+        assert (got == np.array(want)).mean() > 0.95 and abs(np.array(load(got)) - np.array(load(want))).max() < 0.05
+        even = sharding.even_out(np.array(sizes, float), got, shards)
+        before, after = np.array(load(got)), np.array(load(even))
+        assert np.ptp(after[:, 0]) <= np.ptp(before[:, 0]) + 1e-9 and ((after - 1) ** 2).sum() <= ((before - 1) ** 2).sum() + 1e-9
+
+
+def test_repeated_rows_are_copies_in_the_join(spark):
+    t = " ".join(f"w{i}" for i in range(100))
+    texts = [(1, t), (1, t), (2, t + " more"), (3, "something else of five words")]
+    rows = join_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in rows) == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0)]
+
+
+def test_propagation_equals_plain_personalised_pagerank(spark):
+    from sketchlake.llm.url_filter import propagate
+
+    dice = random.Random(8)
+    hosts = [f"h{i}" for i in range(30)]
+    seeds = {h: (dice.choice([0, 0, 1]) * dice.random(), dice.choice([0, 0, 1]) * dice.random()) for h in hosts}
+    links = [(dice.choice(hosts), dice.choice(hosts), dice.randint(1, 4)) for _ in range(120)]
+    how = Propagation(rounds=7, every=3)
+    weight = collections.Counter()
+    for a, b, n in links:
+        weight[a, b] += n * (a != b)
+    trust, distrust = ({h: seeds[h][k] for h in hosts} for k in (0, 1))
+    out, into = collections.Counter(), collections.Counter()
+    for (a, b), n in weight.items():
+        out[a] += n
+        into[b] += n
+    for _ in range(how.rounds):
+        trust = {h: 0.15 * seeds[h][0] + 0.85 * sum(trust[a] * n / out[a] for (a, b), n in weight.items() if b == h and n) for h in hosts}
+        distrust = {h: 0.15 * seeds[h][1] + 0.85 * sum(distrust[b] * n / into[b] for (a, b), n in weight.items() if a == h and n) for h in hosts}
+    table = spark.createDataFrame([(h, *map(float, s)) for h, s in seeds.items()], "host string, trusted double, blocked double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in propagate(table, spark.createDataFrame(links, "source string, target string, links long"), how).collect()}
+    assert all(abs(got[h][0] - trust[h]) < 1e-9 and abs(got[h][1] - distrust[h]) < 1e-9 for h in hosts)
+
+
+def test_repeated_rows_and_clashing_columns_of_urls(spark):
+    rows = [(1, "http://a.com/en/1", None, "x", "y", "z")] * 2 + [(2, "http://b.io/q", "<a href='//a.com/en/2'>", "x", "y", "z")] * 3
+    rows += [(3 + i, f"http://other{i}.io/", None, "x", "y", "z") for i in range(4)]  # the mean distrust is a threshold
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, verdict string"), URL_RULES).collect()
+    assert sorted((r["page_id"], r["host"], r["verdict"]) for r in got) == [(1, "a.com", "block")] * 2 + [(2, "b.io", "block")] * 3 + [(3 + i, f"other{i}.io", "allow") for i in range(4)]
