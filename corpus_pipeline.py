@@ -15,7 +15,11 @@ from sketchlake.llm.surrogates import replace_entities
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base features and the rules calibrated on the labels."""
+    """Documents that pass the base features and the rules calibrated on the labels, a language being a stratum.
+
+    A null text has no words and goes; a null language is a stratum of its own; rows with a null or repeated id are
+    judged each by their own text (labels join by id). An empty table, or one without labels, meets no rules.
+    """
     features = base_features(docs).withColumn("stratum", F.coalesce(F.col("row.lang"), F.lit("")))
     counted = checkpoint(features.select("row.doc_id", "stratum", *FEATURES, "base_failed"))
     cutoffs, _ = calibrate(counted, table(spark, sf_dir, "labels"))
@@ -23,25 +27,31 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a five-word shingle Jaccard similarity of 0.8, the one with the smallest id; those without an id stay."""
-    kept = join_documents(docs, Join()).where("doc_id = component_id").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of documents connected by a five-word shingle Jaccard similarity of 0.8, the one with the smallest id.
+
+    Documents without words are alone and stay, as do those without an id. Rows with one id and
+    text are one document; different texts under the id that stays all stay, as nothing tells which is meant.
+    """
+    kept = join_documents(docs, Join()).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by the benchmark; null texts have no words and stay, rows are judged each."""
     return find_contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select("row.*")
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates; n_chars is theirs."""
+    """Texts with surrogates; n_chars is theirs. Null texts stay null, all rows and other columns stay as they are."""
     done = replace_entities(docs, SURROGATE_KEY)
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return done.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary("word_bpe_49k.json"))
+    """The training data: every document's pieces with their ids and places in sequences. A null text is an end id alone."""
+    return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
