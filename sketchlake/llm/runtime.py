@@ -47,6 +47,8 @@ def checkpoint(frame: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.getConf().get("spark.checkpoint.dir") and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
     return context.getCheckpointDir()
 
