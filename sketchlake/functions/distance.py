@@ -105,11 +105,20 @@ def _rational(features: Sequence[Column], denominators: Sequence[Sequence[float]
     return _total(terms)
 
 
-def mixture_distance(xny: Column, n_diff_obj: Column, n_diff_section: Column, n_mut2: Column, sketch_size: int = MODEL_SKETCH_SIZE) -> Column:
-    """The context mixture model; counts are scaled from ``sketch_size`` to the size it was fitted at."""
+def mixture_far(xny: Column, n_diff_obj: Column, n_diff_section: Column, n_mut2: Column, sketch_size: int = MODEL_SKETCH_SIZE) -> Column:
+    """The mixture model's estimate for distant pairs."""
+    scale = MODEL_SKETCH_SIZE / sketch_size
+    return _rational([f * scale for f in (xny, n_diff_section, n_mut2, n_diff_obj)], MOE_DENOMINATORS, MOE_COEFFICIENTS, 3)
+
+
+def mixture_distance(xny: Column, n_diff_obj: Column, n_diff_section: Column, n_mut2: Column, sketch_size: int = MODEL_SKETCH_SIZE, far: Column | None = None) -> Column:
+    """The context mixture model; counts are scaled from ``sketch_size`` to the size it was fitted at.
+
+    ``far`` is ``mixture_far`` of the same, where a projection has it already; it is used twice here.
+    """
     scale = MODEL_SKETCH_SIZE / sketch_size
     features = [f * scale for f in (xny, n_diff_section, n_mut2, n_diff_obj)]
-    far = _rational(features, MOE_DENOMINATORS, MOE_COEFFICIENTS, 3)
+    far = mixture_far(xny, n_diff_obj, n_diff_section, n_mut2, sketch_size) if far is None else far
     near = _rational(features, MOE_NEAR_DENOMINATORS, MOE_NEAR_COEFFICIENTS, 3)
     return F.when(xny <= 0, F.lit(1.0)).when(n_diff_obj <= 0, F.lit(0.0)).otherwise(F.greatest(F.when(far < MOE_NEAR, near).otherwise(far), F.lit(0.0)))
 

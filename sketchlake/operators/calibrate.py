@@ -160,7 +160,7 @@ def ambiguity_em(edges: DataFrame, marker: DataFrame, alpha: float = 1.0, power:
     """``gid, share``: expectation-maximisation of shares over ambiguous (unit, hctx) groups, from marker shares.
 
     A candidate's weight is its share to ``power`` times exp(-alpha (d - best)). Each
-    round is two grouped sums; lineage is cut every few rounds.
+    round is a sum per group and one per reference, which is written.
     """
     from sketchlake.session import checkpoint
 
@@ -171,10 +171,11 @@ def ambiguity_em(edges: DataFrame, marker: DataFrame, alpha: float = 1.0, power:
     rows = checkpoint(rows)
     if rows.isEmpty():
         return state
+    whole = F.sum("w").over(Window.partitionBy("unit", "hctx"))
     for i in range(iterations):
-        weighted = rows.join(state, "gid").withColumn("w", F.pow("share", F.lit(power)) * F.col("likelihood"))
-        posterior = weighted.join(weighted.groupBy("unit", "hctx").agg(F.sum("w").alias("whole")), ["unit", "hctx"]).where("whole > 0")
-        counted = posterior.groupBy("gid").agg(F.sum(F.col("w") / F.col("whole")).alias("n"))
+        weighted = rows.join(state, "gid").select("unit", "hctx", "gid", (F.pow("share", F.lit(power)) * F.col("likelihood")).alias("w"))
+        counted = weighted.withColumn("whole", whole).where("whole > 0").groupBy("gid").agg(F.sum(F.col("w") / F.col("whole")).alias("n"))
+        counted = checkpoint(counted)  # a row per reference; read for the total and for the shares
         total = counted.agg(F.sum("n").alias("total"))
         state = state.select("gid").join(counted, "gid", "left").join(F.broadcast(total)).select("gid", (F.coalesce("n", F.lit(0.0)) / F.col("total")).alias("share"))
         if (i + 1) % every == 0 or i + 1 == iterations:

@@ -75,8 +75,12 @@ def edges(pairs: DataFrame, metric: str, sketch_size: int, cut: float, ctx_cut:
     return scored.where((F.col("distance") < cut) & (F.col("xny") >= ctx_cut) & (F.col("max_af") >= max_af)).select(F.col("qry").alias("a"), F.col("ref").alias("b"), "distance", "xny", "max_af")
 
 
-def candidates(sketch: DataFrame, max_frequency: int = 256, min_votes: int = 1, step: int = 1) -> DataFrame:
-    """``qry, ref, votes``: pairs nominated by shared contexts, with the lossy options of a vote index (off: 0, 1, 1)."""
+def candidates(sketch: DataFrame, max_frequency: int = 0, min_votes: int = 1, step: int = 1) -> DataFrame:
+    """``qry, ref, votes``: pairs nominated by shared contexts.
+
+    Exact by default: every pair that shares a context. A vote index loses pairs by leaving out
+    contexts that more than ``max_frequency`` samples have, or taking every ``step``-th context of a query only.
+    """
     side = without_common(sketch, max_frequency) if max_frequency else sketch
     q = side.select(F.col("gid").alias("qry"), "hctx").distinct()
     if step > 1:
@@ -86,6 +90,18 @@ def candidates(sketch: DataFrame, max_frequency: int = 256, min_votes: int = 1,
     return q.join(r, "hctx").where("ref < qry").groupBy("qry", "ref").agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
 
 
+def verified(nominated: DataFrame, sketch: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Exact features of nominated pairs ``qry, ref`` from all their contexts, also those that the nomination left out.
+
+    The work follows the nominated pairs and their sketches, not the frequencies of contexts.
+    """
+    pairs = nominated.select("qry", "ref").distinct()
+    q = sketch.select(F.col("gid").alias("qry"), "hctx", F.col("obj").alias("_q"))
+    r = sketch.select(F.col("gid").alias("ref"), "hctx", F.col("obj").alias("_r"))
+    joined = pairs.join(q, "qry").join(r, ["ref", "hctx"])
+    return features(joined.select("qry", "ref", "hctx", D.object_distance(F.col("_q"), F.col("_r")).alias("d")), context_counts(sketch) if counts is None else counts)
+
+
 def full_matrix(pairs: DataFrame, samples: DataFrame, distance: Column, diagonal: float = 0.0, missing: float = 1.0) -> DataFrame:
     """``row, col, distance`` of every ordered pair of samples, for presentation of small sets: triangle pairs mirrored, others ``missing``.
 

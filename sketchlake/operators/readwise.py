@@ -310,9 +310,15 @@ def track(assigned: DataFrame, max_refs: int = 64, max_contexts: int = 256) -> D
     )
 
 
-def ambiguity_edges(assigned_all: DataFrame, limit_candidates: int = 64) -> DataFrame:
-    """Candidates of contexts that several references share, each with the context's best difference and whether it is selected."""
-    return assigned_all.where((F.col("n_candidates") > 1) & (F.col("n_candidates") <= limit_candidates)).select("unit", "hctx", "gid", "d", "best", "n_candidates", "n_best", (F.col("d") == F.col("best")).alias("selected"))
+def ambiguity_edges(assigned_all: DataFrame, limit_candidates: int | None = None) -> DataFrame:
+    """Candidates of contexts that several references share, each with the context's best difference and whether it is selected.
+
+    A report may leave out contexts with more than ``limit_candidates`` references; by default none are.
+    """
+    shared = assigned_all.where("n_candidates > 1")
+    if limit_candidates is not None:
+        shared = shared.where(F.col("n_candidates") <= limit_candidates)
+    return shared.select("unit", "hctx", "gid", "d", "best", "n_candidates", "n_best", (F.col("d") == F.col("best")).alias("selected"))
 
 
 def unknown_fraction(found: DataFrame, reads: DataFrame, ref_density: DataFrame, query_density: float) -> DataFrame:
@@ -327,17 +333,46 @@ def unknown_fraction(found: DataFrame, reads: DataFrame, ref_density: DataFrame,
     return both.select("contexts", "observed", "present", F.greatest(1 - F.col("present") / F.col("contexts"), F.lit(0.0)).alias("unknown"))
 
 
-def _blocks(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, block = 0, 0
-        for rows in batches:
-            out = np.empty(len(rows), np.int64)
-            for i, n in enumerate(rows["n_ctx"].to_numpy()):
-                out[i] = block
-                held += n
-                if held >= size:
-                    held, block = 0, block + 1
-            yield rows.assign(block=out)[["sample", "read_ord", "block"]]
+#: Reads of a sample that one task walks through.
+BLOCK_READS = 1 << 17
+
+
+def _carries(size: int):
+    """Of one range of reads: for every number of contexts held before it, those held after it and the blocks closed in it."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        held, closed = np.arange(size), np.zeros(size, np.int64)
+        for n in group.sort_values("read_ord")["n_ctx"].to_numpy():
+            held = held + n
+            full = held >= size
+            closed += full
+            held[full] = 0
+        return pd.DataFrame({"sample": [group["sample"].iloc[0]], "part": [group["part"].iloc[0]], "after": [held.tolist()], "closed": [closed.tolist()]})
+
+    return run
+
+
+def _chain(group: pd.DataFrame) -> pd.DataFrame:
+    """What each range of a sample finds: contexts held and blocks closed before it."""
+    rows, held, block = [], 0, 0
+    for part, after, closed in group.sort_values("part")[["part", "after", "closed"]].itertuples(index=False):
+        rows.append((part, held, block))
+        held, block = int(after[held]), block + int(closed[held])
+    parts, before, blocks = zip(*rows, strict=True)
+    return pd.DataFrame({"sample": group["sample"].iloc[0], "part": parts, "held": before, "first": blocks})
+
+
+def _walk(size: int):
+    def run(reads: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        held, block = int(found["held"].iloc[0]), int(found["first"].iloc[0])
+        rows = reads.sort_values("read_ord")
+        out = np.empty(len(rows), np.int64)
+        for i, n in enumerate(rows["n_ctx"].to_numpy()):
+            out[i] = block
+            held += n
+            if held >= size:
+                held, block = 0, block + 1
+        return rows.assign(block=out)[["sample", "read_ord", "block"]]
 
     return run
 
@@ -345,12 +380,11 @@ def _blocks(size: int):
 def density_blocks(reads: DataFrame, size: int = 100) -> DataFrame:
     """``sample, read_ord, block``: consecutive reads joined until a block has ``size`` contexts.
 
-    Only the counts per read travel, one sample in one group in read order, as the
-    result depends on that order; exact mode (one read, one unit) has no such need and is the default elsewhere.
+    Where blocks end depends on all reads before, but only through the number of contexts held, under ``size``.
+    So ranges of at most BLOCK_READS ordinals first say what they do to any such number, these small tables are chained per sample,
+    and every range is then walked from what it finds. No task has more reads than a range.
     """
-    run = _blocks(size)
-
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        return next(run(iter([group.sort_values("read_ord")])))
-
-    return reads.groupBy("sample").applyInPandas(of, "sample long, read_ord long, block long")
+    dealt = reads.withColumn("part", F.floor(F.col("read_ord") / F.lit(BLOCK_READS)))
+    tables = dealt.groupBy("sample", "part").applyInPandas(_carries(size), "sample long, part long, after array<int>, closed array<long>")
+    starts = tables.groupBy("sample").applyInPandas(_chain, "sample long, part long, held long, first long")
+    return dealt.groupBy("sample", "part").cogroup(starts.groupBy("sample", "part")).applyInPandas(_walk(size), "sample long, read_ord long, block long")

@@ -27,9 +27,10 @@ def positions(rows: DataFrame, order: str) -> DataFrame:
 
 
 def drop_conflicts(sketch: DataFrame) -> DataFrame:
-    """Without all entries of a sample's context that has two or more objects."""
-    objects = F.count("*").over(Window.partitionBy("gid", "hctx"))
-    return sketch.withColumn("_objects", objects).where("_objects = 1").drop("_objects")
+    """Without all entries of a sample's context that has two or more objects; entries are distinct, so one row is one object."""
+    others = [c for c in sketch.columns if c not in ("gid", "hctx")]
+    counted = sketch.groupBy("gid", "hctx").agg(F.count("*").alias("_objects"), *[F.min(c).alias(c) for c in others])
+    return counted.where("_objects = 1").select(*sketch.columns)
 
 
 def bottom_k(sketch: DataFrame, k: int) -> DataFrame:
@@ -80,15 +81,13 @@ def context_densities(before: DataFrame, k: int, hash_bits: int = HASH_BITS) ->
 
     The threshold is the last kept context, or the whole range if nothing was cut.
     """
-    objects = F.count("*").over(Window.partitionBy("gid", "hctx"))
-    marked = before.withColumn("clean", objects == 1)
-    kept = F.when(F.col("clean"), F.row_number().over(Window.partitionBy("gid", "clean").orderBy("hctx", "obj")))
-    marked = marked.withColumn("rank", kept)
-    total = F.sum(F.col("clean").cast("long")).over(Window.partitionBy("gid"))
-    last = F.max(F.when(F.col("rank") <= k, F.col("hctx"))).over(Window.partitionBy("gid"))
-    threshold = F.when(total <= k, F.lit(2**hash_bits - 1)).otherwise(last)
-    within = marked.withColumn("threshold", threshold).where(F.col("hctx") <= F.col("threshold"))
-    counted = within.groupBy("gid", "threshold").agg(F.count_distinct("hctx").alias("pre"), F.count_distinct(F.when(F.col("clean"), F.col("hctx"))).alias("post"))
+    contexts = before.groupBy("gid", "hctx").agg((F.count("*") == 1).alias("clean"))
+    first = F.row_number().over(Window.partitionBy("gid").orderBy("hctx"))  # each map task passes on k of a sample at most
+    last = contexts.where("clean").withColumn("_rank", first).where(F.col("_rank") <= k).groupBy("gid").agg(F.max("hctx").alias("last"))
+    sizes = contexts.groupBy("gid").agg(F.sum(F.col("clean").cast("long")).alias("n")).join(last, "gid", "left")
+    threshold = F.when(F.col("n") <= k, F.lit(2**hash_bits - 1)).otherwise(F.col("last"))
+    within = contexts.join(sizes.select("gid", threshold.alias("threshold")), "gid").where(F.col("hctx") <= F.col("threshold"))
+    counted = within.groupBy("gid", "threshold").agg(F.count("*").alias("pre"), F.sum(F.col("clean").cast("long")).alias("post"))
     estimate = lambda c: density_estimate(F.col(c), F.col("threshold"), hash_bits).cast("long")
     return counted.select("gid", "threshold", F.col("pre").alias("observed_pre"), estimate("pre").alias("estimate_pre"), F.col("post").alias("observed_post"), estimate("post").alias("estimate_post"))
 

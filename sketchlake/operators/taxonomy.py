@@ -27,18 +27,18 @@ def match_keys(refs: DataFrame, taxmap: DataFrame) -> DataFrame:
 def lca(members: DataFrame, group: str, path: str, separator: str = "|") -> DataFrame:
     """``group, depth, rank, name``: the longest common lineage of each group's members; missing and NA lineages are ignored.
 
-    Lineages become one row per level, and a level is common while its smallest and
-    largest prefix agree, so no group is collected.
+    What all lineages of a group share, its smallest and largest share, so two of them
+    are all that an aggregate keeps of a group.
     """
     tokens = F.split(F.col(path), rf"\{separator}")
-    levels = members.where(F.col(path).isNotNull() & ~F.col(path).isin("", "NA")).select(group, tokens.alias("t")).distinct()
-    per = levels.select(group, "t", F.posexplode("t").alias("at", "name")).select(group, (F.col("at") + 1).alias("depth"), F.array_join(F.slice("t", 1, F.col("at") + 1), separator).alias("prefix"), "name")
-    n = levels.groupBy(group).agg(F.count("*").alias("n"))
-    same = per.groupBy(group, "depth").agg(F.min("prefix").alias("lo"), F.max("prefix").alias("hi"), F.count("*").alias("k"), F.min("name").alias("name")).join(n, group)
-    deep = same.where((F.col("lo") == F.col("hi")) & (F.col("k") == F.col("n"))).groupBy(group).agg(F.max(F.struct("depth", "name")).alias("best"))
-    depth = F.coalesce(F.col("best.depth"), F.lit(0))
-    rank = F.element_at(F.array(*[F.lit(r) for r in RANKS]), F.least(depth, F.lit(len(RANKS) - 1)) + 1)
-    return n.select(group).join(deep, group, "left").select(group, depth.cast("long").alias("depth"), rank.alias("rank"), F.coalesce(F.col("best.name"), F.lit("NA")).alias("name"))
+    levels = members.where(F.col(path).isNotNull() & ~F.col(path).isin("", "NA")).select(group, tokens.alias("t"))
+    ends = levels.groupBy(group).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    same = F.zip_with("lo", "hi", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    differ = F.array_position(same, F.lit(False))
+    depth = F.when(differ > 0, differ - 1).otherwise(F.size(same)).cast("int")
+    ends = ends.select(group, depth.alias("depth"), "lo")
+    rank = F.element_at(F.array(*[F.lit(r) for r in RANKS]), F.least(F.col("depth"), F.lit(len(RANKS) - 1)) + 1)
+    return ends.select(group, F.col("depth").cast("long").alias("depth"), rank.alias("rank"), F.coalesce(F.try_element_at("lo", F.nullif(F.col("depth"), F.lit(0))), F.lit("NA")).alias("name"))
 
 
 def profile(abundance: DataFrame, matched: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ _DIST = "bit_count((xor({a}, {b}) | (xor({a}, {b}) >> 1)) & 1431655765)"
 
 
 def W(body: str, *more: str) -> str:
-    return "WITH " + ",\n".join([_HASH, *more]) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join([_HASH, *more]) + "\n" + body
 
 
 def _features_sql(q: str, r: str, on: str, name: str = "pf", grouped: bool = False) -> str:
@@ -226,10 +226,15 @@ def metric(name):
     return lambda s, d: pf(s, d).select("qry", "ref", F.round(P.metric_columns(SIZE)[name], 7).alias("distance"))
 
 
+def mixture(pairs):
+    counts = [F.col(c) for c in ("xny", "n_diff_obj", "n_diff_section", "n_mut2")]
+    return pairs.withColumn("_far", D.mixture_far(*counts, SIZE)).withColumn("distance", D.mixture_distance(*counts, SIZE, F.col("_far")))
+
+
 query("mash_distance", W(f"SELECT qry, ref, round({_MASH}, 7) AS distance FROM pf", _PF))(metric("mash"))
 query("aaf_distance", W(f"SELECT qry, ref, round({_AAF}, 7) AS distance FROM pf", _PF))(metric("aaf"))
 query("naive_distance", W(f"SELECT qry, ref, round({_NAIVE}, 7) AS distance FROM pf", _PF))(metric("ctx-naive"))
-query("ctx_moe_distance", W(f"SELECT qry, ref, round({_MOE}, 6) AS distance FROM pf", _PF))(lambda s, d: pf(s, d).select("qry", "ref", F.round(P.metric_columns(SIZE)["ctx-moe"], 6).alias("distance")))
+query("ctx_moe_distance", W(f"SELECT qry, ref, round({_MOE}, 6) AS distance FROM pf", _PF))(lambda s, d: mixture(pf(s, d)).select("qry", "ref", F.round("distance", 6).alias("distance")))
 query("blastn_af", W(f"SELECT qry, ref, round({_AF}, 5) AS af FROM pf", _PF))(
     lambda s, d: pf(s, d).select("qry", "ref", F.round(D.aligned_fraction_model(F.col("xny"), F.col("n_diff_obj"), F.col("n_diff_section"), F.col("n_mut2"), F.col("x_ctx"), SIZE), 5).alias("af"))
 )
@@ -254,29 +259,18 @@ query(
 query("matrix_triangle", W(f"SELECT qry, ref, xny, round({_AAF}, 7) AS distance FROM pf", _PF))(lambda s, d: pf(s, d).select("qry", "ref", "xny", F.round(P.metric_columns(SIZE)["aaf"], 7).alias("distance")))
 
 
-def _few(s, d):
-    return samples(s, d).where("gid <= 60")
-
-
-def matrix(s, d, of=_few):
-    k = S.keep(sk(s, d), of(s, d))
-    return P.full_matrix(P.features(P.matches(k, k, triangle=True), P.context_counts(k)), of(s, d), F.round(P.metric_columns(SIZE)["mash"], 7))
+def matrix(s, d):
+    k = sk(s, d)
+    return P.full_matrix(P.features(P.matches(k, k, triangle=True), P.context_counts(k)), samples(s, d), F.round(P.metric_columns(SIZE)["mash"], 7))
 
 
 query(
     "matrix_full_long",
-    W(
-        "SELECT a.s_suppkey::BIGINT AS row, b.s_suppkey::BIGINT AS col, CASE WHEN a.s_suppkey = b.s_suppkey THEN 0.0 ELSE coalesce(m.distance, 1.0) END::DOUBLE AS distance FROM supplier a JOIN supplier b ON a.s_suppkey <= 60 AND b.s_suppkey <= 60 LEFT JOIN m ON m.qry = greatest(a.s_suppkey, b.s_suppkey) AND m.ref = least(a.s_suppkey, b.s_suppkey)",
-        _PF, f"m AS (SELECT qry, ref, round({_MASH}, 7) AS distance FROM pf)",
-    ),
-)(matrix)
-query(
-    "matrix_full_long_all",
     W(
         "SELECT a.s_suppkey::BIGINT AS row, b.s_suppkey::BIGINT AS col, CASE WHEN a.s_suppkey = b.s_suppkey THEN 0.0 ELSE coalesce(m.distance, 1.0) END::DOUBLE AS distance FROM supplier a CROSS JOIN supplier b LEFT JOIN m ON m.qry = greatest(a.s_suppkey, b.s_suppkey) AND m.ref = least(a.s_suppkey, b.s_suppkey)",
         _PF, f"m AS (SELECT qry, ref, round({_MASH}, 7) AS distance FROM pf)",
     ),
-)(lambda s, d: matrix(s, d, samples))
+)(matrix)
 #: An edge cut that leaves components of several sizes on these tables.
 CUT = 0.0335
 
@@ -294,12 +288,13 @@ query(
         "u AS (SELECT DISTINCT gid, hctx FROM sk WHERE hctx IN (SELECT hctx FROM sk GROUP BY hctx HAVING count(DISTINCT gid) <= 256))",
     ),
 )(lambda s, d: P.candidates(sk(s, d), 256, 2))
-_RC = "RECURSIVE"
+query("indexed_candidates_exact", W("SELECT q.gid AS qry, r.gid AS ref, count(*) AS votes FROM sk q JOIN sk r ON q.hctx = r.hctx AND r.gid < q.gid GROUP BY 1, 2"))(lambda s, d: P.candidates(sk(s, d)))
+query("nominated_pair_features", W(f"SELECT {_ILIST} FROM pf WHERE xny >= 90", _PF))(lambda s, d: P.verified(P.candidates(sk(s, d), min_votes=90), sk(s, d)).select(*_INTS))
 _COMP = """node AS (SELECT s_suppkey::BIGINT AS gid FROM supplier),
 bi AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
 reach AS (SELECT gid, gid AS other FROM node UNION SELECT r.gid, bi.b FROM reach r JOIN bi ON bi.a = r.other),
 comp AS (SELECT gid, min(other) AS component FROM reach GROUP BY gid)"""
-query("connected_components", W("SELECT gid, component FROM comp", _PF, _EDGES, _COMP).replace("WITH ", "WITH RECURSIVE ", 1))(lambda s, d: G.components(samples(s, d), edge_rows(s, d)))
+query("connected_components", W("SELECT gid, component FROM comp", _PF, _EDGES, _COMP))(lambda s, d: G.components(samples(s, d), edge_rows(s, d)))
 
 
 def quality(s, d):
@@ -312,12 +307,47 @@ query(
     W(
         "SELECT c.gid, c.component, count(*) OVER (PARTITION BY c.component) AS size, first_value(c.gid) OVER (PARTITION BY c.component ORDER BY m.is_fasta DESC, m.asm_level DESC, m.total_bp DESC, m.n_records ASC, m.median_bp DESC, m.len_cv ASC, c.gid) AS representative FROM comp c JOIN meta m ON m.gid = c.gid",
         _PF, _EDGES, _COMP, _META.replace("l_extendedprice::BIGINT", "round(l_extendedprice)::BIGINT"),
-    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    ),
 )(lambda s, d: G.representatives(quality(s, d), edge_rows(s, d)))
-query("greedy_dedup")(lambda s, d: G.greedy(quality(s, d), edge_rows(s, d)))
+_ORDERED = [
+    _PF, _EDGES, _META.replace("l_extendedprice::BIGINT", "round(l_extendedprice)::BIGINT"),
+    """ql AS (SELECT s_suppkey::BIGINT AS gid, coalesce(total_bp, 0) AS total_bp, is_fasta, asm_level, coalesce(m.n_records, 0) AS n_records, coalesce(median_bp, 0) AS median_bp, len_cv, coalesce(e.n, 0) AS n_entries,
+  coalesce(total_bp, 0) > 0 AS ok FROM supplier LEFT JOIN meta m ON m.gid = s_suppkey LEFT JOIN (SELECT gid, count(*) AS n FROM sk GROUP BY gid) e ON e.gid = s_suppkey)""",
+    """pl AS (SELECT *, row_number() OVER (ORDER BY ok DESC, CASE WHEN ok THEN is_fasta END DESC, CASE WHEN ok THEN asm_level END DESC NULLS LAST, CASE WHEN ok THEN total_bp END DESC,
+  CASE WHEN ok AND n_records > 0 THEN n_records END ASC NULLS LAST, CASE WHEN ok THEN median_bp END DESC, CASE WHEN ok THEN len_cv END ASC NULLS LAST, n_entries DESC, gid) AS place FROM ql)""",
+    "nb AS (SELECT x.place, list(y.place) AS near FROM (SELECT a, b FROM ed UNION SELECT b, a FROM ed) t JOIN pl x ON x.gid = t.a JOIN pl y ON y.gid = t.b GROUP BY 1)",
+    "al AS (SELECT pl.place, coalesce(near, []) AS near FROM pl LEFT JOIN nb USING (place))",
+    "gr AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT al.place, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, al.place) END FROM gr JOIN al ON al.place = gr.i + 1)",
+    "kp AS (SELECT unnest(kept) AS place FROM (SELECT kept FROM gr ORDER BY i DESC LIMIT 1))",
+    """gd AS (SELECT p.gid, r.gid AS representative FROM (SELECT al.place, CASE WHEN al.place IN (SELECT place FROM kp) THEN al.place ELSE (SELECT min(n) FROM (SELECT unnest(al.near) AS n) WHERE n IN (SELECT place FROM kp)) END AS rep FROM al) t
+  JOIN pl p ON p.place = t.place JOIN pl r ON r.place = t.rep)""",
+]
+query("greedy_dedup", W("SELECT gid, representative, gid <> representative AS removed FROM gd", *_ORDERED))(lambda s, d: G.greedy(quality(s, d), edge_rows(s, d)))
 query("full_linkage_dedup")(lambda s, d: G.full_linkage(quality(s, d), edge_rows(s, d)))
-query("dedup_plan")(lambda s, d: G.dedup_plan(quality(s, d), G.greedy(quality(s, d), edge_rows(s, d))))
-query("predicted_markers_after_dedup")(lambda s, d: S.context_markers(S.keep(sk(s, d), G.greedy(quality(s, d), edge_rows(s, d)).where("not removed"))).groupBy("gid").agg(F.count("*").alias("n_markers")))
+_RULE = "CASE WHEN x.gid = y.gid THEN 'representative' WHEN x.ok <> y.ok THEN 'metadata' " + " ".join(f"WHEN x.ok AND x.{c} <> y.{c} THEN '{c}'" for c in ("is_fasta", "asm_level", "total_bp", "n_records", "median_bp", "len_cv")) + " WHEN x.n_entries <> y.n_entries THEN 'n_entries' ELSE 'gid' END"
+query(
+    "dedup_plan",
+    W(
+        f"SELECT gd.gid, 'cluster_' || lpad(n::VARCHAR, 6, '0') AS cluster, cluster_size, gd.representative, gd.gid = gd.representative AS kept, {_RULE} AS rule FROM gd JOIN cz USING (representative) JOIN ql x ON x.gid = gd.gid JOIN ql y ON y.gid = gd.representative",
+        *_ORDERED, "cz AS (SELECT representative, count(*) AS cluster_size, row_number() OVER (ORDER BY min(gid)) AS n FROM gd GROUP BY representative)",
+    ),
+)(lambda s, d: G.dedup_plan(quality(s, d), G.greedy(quality(s, d), edge_rows(s, d))))
+
+
+def markers_after_dedup(s, d):
+    """Every kept sample, also one without markers."""
+    kept = checkpoint(G.greedy(quality(s, d), edge_rows(s, d)).where("not removed").select("gid"))
+    n = S.context_markers(S.keep(sk(s, d), kept)).groupBy("gid").agg(F.count("*").alias("n_markers"))
+    return kept.join(n, "gid", "left").fillna(0, ["n_markers"])
+
+
+query(
+    "predicted_markers_after_dedup",
+    W(
+        "SELECT k.gid, coalesce(n, 0) AS n_markers FROM ks k LEFT JOIN (SELECT gid, count(*) AS n FROM km WHERE hctx IN (SELECT hctx FROM km GROUP BY hctx HAVING count(DISTINCT gid) = 1) GROUP BY gid) c USING (gid)",
+        *_ORDERED, "ks AS (SELECT gid FROM gd WHERE gid = representative)", "km AS (SELECT sk.* FROM sk JOIN ks USING (gid))",
+    ),
+)(markers_after_dedup)
 
 # --- set operations ------------------------------------------------------------------------------------------------
 
@@ -352,8 +382,8 @@ def listed(s, d):
     return _t(s, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").cast("long").alias("gid"))
 
 
-query("keep_samples", W("SELECT gid, hctx, obj FROM sk WHERE gid IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)"))(lambda s, d: S.keep(sk(s, d), listed(s, d)).select(*_COLS))
-query("remove_samples", W("SELECT gid, hctx, obj FROM sk WHERE gid NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)"))(lambda s, d: S.remove(sk(s, d), listed(s, d)).select(*_COLS))
+query("keep_samples", W("SELECT gid, hctx, obj FROM sk WHERE gid IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)"))(lambda s, d: S.keep(sk(s, d), listed(s, d), samples(s, d)).select(*_COLS))
+query("remove_samples", W("SELECT gid, hctx, obj FROM sk WHERE gid NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)"))(lambda s, d: S.remove(sk(s, d), listed(s, d), samples(s, d)).select(*_COLS))
 query("group_samples", W("SELECT DISTINCT s_nationkey::BIGINT AS taxid, hctx, obj FROM sk JOIN supplier ON s_suppkey = gid WHERE s_nationkey <> 0"))(
     lambda s, d: S.group_samples(sk(s, d), _t(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("gid"), F.col("s_nationkey").cast("long").alias("taxid")))
 )
@@ -447,7 +477,16 @@ query("product_nb_filter")(lambda s, d: R.filter_product_nb(split_cov(s, d), R.t
 query("context_filter_scores")(
     lambda s, d: R.score_contexts(split_cov(s, d), depths(s, d), 2.0, R.SPLIT_SCALE).groupBy("gid").agg(F.round(F.avg("fake_probability"), 9).alias("fake"), *[F.sum(F.col(f"reject_{m}").cast("long")).alias(m) for m in ("poisson_diff", "poisson_depth", "poisson_product")])
 )
-_LATENT = "mean_depth * (1 - exp(-1.0))"
+
+
+def _zip_sql(dp: str) -> str:
+    """The latent breadth by bisection, a row per reference of a depth table."""
+    return f"""b48_{dp} AS (SELECT gid, breadth, mean_depth, breadth::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM {dp} WHERE breadth > 0 AND breadth < 1 UNION ALL
+  SELECT gid, breadth, mean_depth, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END, i + 1 FROM (
+    SELECT *, (CASE WHEN mean_depth / mid > 700 THEN mid ELSE mid * (1 - exp(-mean_depth / mid)) END) < breadth AS low FROM (SELECT *, (lo + hi) / 2 AS mid FROM b48_{dp})) WHERE i < 48),
+zip_{dp} AS (SELECT t.gid, CASE WHEN t.breadth <= 0 THEN 0 WHEN t.breadth >= 1 THEN 1 WHEN t.mean_depth <= 0 THEN t.breadth
+  WHEN t.breadth <= t.breadth * (1 - exp(-t.mean_depth / t.breadth)) + 1e-12 THEN t.breadth WHEN t.breadth >= 1 - exp(-t.mean_depth) - 1e-12 THEN 1 ELSE (z.lo + z.hi) / 2 END AS latent
+  FROM {dp} t LEFT JOIN b48_{dp} z ON z.gid = t.gid AND z.i = 48)"""
 
 
 def latent(s, d):
@@ -455,32 +494,21 @@ def latent(s, d):
     return rows.withColumn("latent_ani", D.containment_identity(F.col("latent_af")))
 
 
-query(
-    "zip_af",
-    (
-        "WITH RECURSIVE " + ",\n".join([_HASH, _CAND, _COV, _DP])
-        + """, z AS (SELECT gid, breadth, mean_depth, breadth AS lo, 1.0::DOUBLE AS hi, 0 AS i FROM dp WHERE breadth > 0 AND breadth < 1 UNION ALL
-  SELECT gid, breadth, mean_depth, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END, i + 1 FROM (
-    SELECT *, (CASE WHEN mean_depth / mid > 700 THEN mid ELSE mid * (1 - exp(-mean_depth / mid)) END) < breadth AS low FROM (SELECT *, (lo + hi) / 2 AS mid FROM z)) WHERE i < 48)
-SELECT dp.gid, round(CASE WHEN dp.breadth <= 0 THEN 0 WHEN dp.breadth >= 1 THEN 1 WHEN dp.mean_depth <= 0 THEN dp.breadth
-  WHEN dp.breadth <= dp.breadth * (1 - exp(-dp.mean_depth / dp.breadth)) + 1e-12 THEN dp.breadth WHEN dp.breadth >= 1 - exp(-dp.mean_depth) - 1e-12 THEN 1 ELSE (z.lo + z.hi) / 2 END, 7) AS latent_af
-FROM dp LEFT JOIN z ON z.gid = dp.gid AND z.i = 48"""
-    ),
-)(lambda s, d: latent(s, d).select("gid", F.round("latent_af", 7).alias("latent_af")))
-_MEDIANS = "SELECT gid, median_cov FROM tf"
+query("zip_af", W("SELECT gid, round(latent, 7) AS latent_af FROM zip_dp", _CAND, _COV, _DP, _zip_sql("dp")))(lambda s, d: latent(s, d).select("gid", F.round("latent_af", 7).alias("latent_af")))
 query(
     "effective_depth",
     W(
-        "SELECT dp.gid, round(CASE WHEN median_cov >= 20 THEN median_cov WHEN mean_depth <= 0 THEN 0 WHEN breadth <= 0 THEN mean_depth ELSE mean_depth / pow(breadth, 1.05) END, 7) AS effective FROM dp JOIN tf USING (gid)",
-        _CAND, _COV, _DP, _TOP,
+        "SELECT dp.gid, round(CASE WHEN median_cov >= 20 THEN median_cov WHEN mean_depth <= 0 THEN 0 WHEN latent <= 0 THEN mean_depth ELSE mean_depth / pow(latent, 1.05) END, 7) AS effective FROM dp JOIN tf USING (gid) JOIN zip_dp USING (gid)",
+        _CAND, _COV, _DP, _TOP, _zip_sql("dp"),
     ),
-)(lambda s, d: depths(s, d).join(R.top_fraction(split_cov(s, d), 0.25, R.SPLIT_SCALE), "gid").select("gid", F.round(D.effective_depth(F.col("median_cov"), F.col("mean_depth"), F.col("breadth")), 7).alias("effective")))
+)(lambda s, d: latent(s, d).join(R.top_fraction(split_cov(s, d), 0.25, R.SPLIT_SCALE), "gid").select("gid", F.round(D.effective_depth(F.col("median_cov"), F.col("mean_depth"), F.col("latent_af")), 7).alias("effective")))
 
 
-def profile(s, d, mode="best-diff-split"):
+def profile(s, d, mode="best-diff-split", found=None, total=None):
+    """``found``: candidates, and ``total``: contexts of references, where several profiles share them."""
     scale = R.SPLIT_SCALE if mode == "best-diff-split" else 1
-    cov = checkpoint(R.coverage(assigned(s, d, mode)))
-    rows = R.depth(cov, R.totals(sk(s, d)), scale).join(R.features(cov), "gid", "left").fillna(0, ["xny", "n_diff_obj", "n_diff_section", "n_mut2"])
+    cov = checkpoint(R.coverage(assigned(s, d, mode) if found is None else R.assign(found, mode)))
+    rows = R.depth(cov, R.totals(sk(s, d)) if total is None else total, scale).join(R.features(cov), "gid", "left").fillna(0, ["xny", "n_diff_obj", "n_diff_section", "n_mut2"])
     ani = 1 - D.naive_distance(F.col("xny"), F.col("n_diff_obj"), F.col("n_diff_section"))
     return rows.withColumn("ani", F.when(F.col("xny") > 0, F.round(ani, 9)).otherwise(F.lit(0.0))).withColumn("min_af", F.col("xny") / F.col("total"))
 
@@ -507,10 +535,7 @@ _CALL = """cl AS (SELECT *, CASE WHEN gid % 4 = 0 THEN
   ELSE CASE WHEN breadth >= 0.5 AND relative_depth >= 1e-4 AND xny >= least(total, greatest(100, ceil(total / 100))) AND ani >= 0.95 THEN 'major'
   WHEN breadth >= 0.5 AND relative_depth >= 1e-5 AND xny >= least(total, greatest(100, ceil(total / 100))) AND ani >= 0.95 THEN 'low_abundance' ELSE 'weak' END END AS call FROM po)"""
 query("default_calls", W("SELECT gid, call, xny, ani FROM cl", _CAND, _COV, _DP, _PROFILE, _CALL))(lambda s, d: called(s, d).select("gid", "call", "xny", "ani"))
-query("normalized_abundance", W("SELECT gid, round(relative_depth / sum(relative_depth) OVER (), 9) AS share FROM cl WHERE gid % 2 = 0", _CAND, _COV, _DP, _PROFILE, _CALL))(
-    lambda s, d: R.normalised(called(s, d).where("gid % 2 = 0"), "relative_depth", "share").select("gid", r9("share").alias("share"))
-)
-query("normalized_abundance_all", W("SELECT gid, round(relative_depth / sum(relative_depth) OVER (), 9) AS share FROM cl WHERE call IN ('major', 'low_abundance')", _CAND, _COV, _DP, _PROFILE, _CALL))(
+query("normalized_abundance", W("SELECT gid, round(relative_depth / sum(relative_depth) OVER (), 9) AS share FROM cl WHERE call IN ('major', 'low_abundance')", _CAND, _COV, _DP, _PROFILE, _CALL))(
     lambda s, d: R.normalised(called(s, d).where("call in ('major', 'low_abundance')"), "relative_depth", "share").select("gid", r9("share").alias("share"))
 )
 
@@ -582,39 +607,56 @@ def keyed(s, d):
 
 
 query("taxonomy_key_fallback", "WITH " + _LIN + " SELECT gid, CASE WHEN gid % 3 = 2 THEN r_name ELSE n_name END AS taxid FROM ln")(keyed)
-query("ambiguity_edges", W("SELECT gid, count(*) AS n_edges, count(*) FILTER (WHERE d = best) AS n_selected, sum(n_best)::BIGINT AS best_sum FROM mb WHERE n_candidates > 1 AND n_candidates <= 64 GROUP BY gid", _CAND))(
+query("ambiguity_edges", W("SELECT gid, count(*) AS n_edges, count(*) FILTER (WHERE d = best) AS n_selected, sum(n_best)::BIGINT AS best_sum FROM mb WHERE n_candidates > 1 GROUP BY gid", _CAND))(
     lambda s, d: R.ambiguity_edges(assigned(s, d, "all")).groupBy("gid").agg(F.count("*").alias("n_edges"), F.sum(F.col("selected").cast("long")).alias("n_selected"), F.sum("n_best").alias("best_sum"))
 )
-query("edge_em")(lambda s, d: C.ambiguity_em(R.ambiguity_edges(assigned(s, d, "all")), depths(s, d).select("gid", F.col("relative_depth").alias("share")), iterations=4).select("gid", F.round("share", 6).alias("share")))
-query("density_blocks")(lambda s, d: R.density_blocks(reads(s, d).select(F.lit(0).cast("long").alias("sample"), "unit", "hctx").distinct().groupBy("sample", F.col("unit").alias("read_ord")).agg(F.count("*").alias("n_ctx")), 100).groupBy("block").agg(F.count("*").alias("reads")))
+_EM = ["ee AS (SELECT unit, hctx, gid, exp(-greatest(d - best, 0)::DOUBLE) AS lk FROM mb WHERE n_candidates > 1)", "s0 AS (SELECT gid, greatest(relative_depth, 1e-12) / sum(greatest(relative_depth, 1e-12)) OVER () AS share FROM dp)"]
+for _i in range(4):
+    _EM.append(f"c{_i} AS (SELECT gid, sum(w / whole) AS n FROM (SELECT ee.gid, share * lk AS w, sum(share * lk) OVER (PARTITION BY unit, hctx) AS whole FROM ee JOIN s{_i} USING (gid)) WHERE whole > 0 GROUP BY gid)")
+    _EM.append(f"s{_i + 1} AS (SELECT gid, coalesce(n, 0) / (SELECT sum(n) FROM c{_i}) AS share FROM s{_i} LEFT JOIN c{_i} USING (gid))")
+query("edge_em", W("SELECT gid, round(share, 6) AS share FROM s4", _CAND, _COV, _DP, *_EM))(
+    lambda s, d: C.ambiguity_em(R.ambiguity_edges(assigned(s, d, "all")), depths(s, d).select("gid", F.col("relative_depth").alias("share")), iterations=4).select("gid", F.round("share", 6).alias("share"))
+)
+query(
+    "density_blocks",
+    W(
+        "SELECT block, least(coalesce(nx, n + 1), n + 1) - start AS reads FROM bl, (SELECT max(i) AS n FROM rc) WHERE start <= n",
+        "rc AS (SELECT unit, row_number() OVER (ORDER BY unit) AS i, n, sum(n) OVER (ORDER BY unit) AS upto FROM (SELECT unit, count(DISTINCT hctx) AS n FROM rows0 GROUP BY unit))",
+        "jp AS (SELECT a.i, b.i + 1 AS nx FROM (SELECT i, upto - n + 100 AS goal FROM rc) a ASOF LEFT JOIN rc b ON a.goal <= b.upto)",
+        "bl AS (SELECT 0::BIGINT AS block, 1::BIGINT AS start, (SELECT nx FROM jp WHERE i = 1) AS nx UNION ALL SELECT block + 1, bl.nx, jp.nx FROM bl JOIN jp ON jp.i = bl.nx)",
+    ),
+)(lambda s, d: R.density_blocks(reads(s, d).select(F.lit(0).cast("long").alias("sample"), "unit", "hctx").distinct().groupBy("sample", F.col("unit").alias("read_ord")).agg(F.count("*").alias("n_ctx")), 100).groupBy("block").agg(F.count("*").alias("reads")))
 
 # --- calibrated calls ----------------------------------------------------------------------------------------------
 
 
-def calibrated_rows(s, d, mode):
-    rows = profile(s, d, mode).join(lineages(s, d).select("gid", "taxid"), "gid")
-    return rows.withColumns({"normalized_depth": F.col("relative_depth"), "latent_af": F.col("breadth"), "latent_ani": D.containment_identity(F.col("breadth"))})
+def calibrated_rows(s, d, mode, found=None, total=None):
+    rows = profile(s, d, mode, found, total).join(lineages(s, d).select("gid", "taxid"), "gid")
+    rows = rows.withColumns({"normalized_depth": F.col("relative_depth"), "latent_af": D.latent_breadth(F.col("breadth"), F.col("mean_depth"))})
+    return rows.withColumn("latent_ani", D.containment_identity(F.col("latent_af")))
 
 
-_ID = "CASE WHEN breadth > 0 THEN least(greatest(1 + ln(least(breadth, 1)) / 22.0, 0), 1) ELSE 0 END"
-_MEAS = {"ani": "ani", "xny": "xny::DOUBLE", "min_af": "min_af", "breadth": "breadth", "mean_depth": "mean_depth", "hit_mean_depth": "hit_mean_depth", "depth_cv": "depth_cv", "normalized_depth": "relative_depth", "latent_af": "breadth", "latent_ani": _ID}
+_ID = "CASE WHEN latent > 0 THEN least(greatest(1 + ln(least(latent, 1)) / 22.0, 0), 1) ELSE 0 END"
+_MEAS = {"ani": "ani", "xny": "xny::DOUBLE", "min_af": "min_af", "breadth": "breadth", "mean_depth": "mean_depth", "hit_mean_depth": "hit_mean_depth", "depth_cv": "depth_cv", "normalized_depth": "relative_depth", "latent_af": "latent::DOUBLE", "latent_ani": _ID}
 
 
-def _tax_sql(view: str, p: str) -> str:
+def _tax_sql(view: str, p: str, dp: str) -> str:
     cols = ", ".join(f"max({e}) AS {p}_{m}" for m, e in _MEAS.items())
-    return f"tx_{p} AS (SELECT n_nationkey::VARCHAR AS taxid, count(*) AS {p}_rows, max((xny >= 10 AND ani >= 0.95 AND min_af >= 0.05)::INTEGER) AS {p}_direct, {cols}, min(depth_cv) AS {p}_depth_cv_min FROM {view} JOIN ln USING (gid) GROUP BY 1)"
+    return f"tx_{p} AS (SELECT n_nationkey::VARCHAR AS taxid, count(*) AS {p}_rows, max((xny >= 10 AND ani >= 0.95 AND min_af >= 0.05)::INTEGER) AS {p}_direct, {cols}, min(depth_cv) AS {p}_depth_cv_min FROM {view} JOIN ln USING (gid) JOIN zip_{dp} USING (gid) GROUP BY 1)"
 
 
 _JOINED = ",\n".join(
     [
-        _CAND, _COV, _UCOV, _DP, _depth_sql("cu", "sk", 1, "du"), _PROFILE, _profile_sql("cu", "du", "pu"), _LIN, _tax_sql("pu", "u"), _tax_sql("po", "s"),
+        _CAND, _COV, _UCOV, _DP, _depth_sql("cu", "sk", 1, "du"), _PROFILE, _profile_sql("cu", "du", "pu"), _LIN, _zip_sql("du"), _zip_sql("dp"), _tax_sql("pu", "u", "du"), _tax_sql("po", "s", "dp"),
         "jf AS (SELECT coalesce(u.taxid, s.taxid) AS taxid, " + ", ".join(f"coalesce({p}_{m}, 0) AS {p}_{m}" for p in "us" for m in ("rows", "direct", *_MEAS, "depth_cv_min")) + " FROM tx_u u FULL JOIN tx_s s ON u.taxid = s.taxid)",
     ]
 )
 
 
 def joined(s, d):
-    return checkpoint(C.joined(calibrated_rows(s, d, "best-diff-unique"), calibrated_rows(s, d, "best-diff-split")))
+    ref = checkpoint(sk(s, d))
+    found, total = checkpoint(R.candidates(reads(s, d), ref)), checkpoint(R.totals(ref))
+    return checkpoint(C.joined(*[calibrated_rows(s, d, mode, found, total) for mode in ("best-diff-unique", "best-diff-split")]))
 
 
 _JF = [f"{p}_{m}" for p in "us" for m in ("ani", "xny", "min_af", "breadth", "mean_depth", "depth_cv", "depth_cv_min")]
@@ -675,19 +717,17 @@ query(
 
 # --- abundance vectors ---------------------------------------------------------------------------------------------
 
-_SHARE = """sh AS (SELECT q.gid AS qry, r.gid AS ref, q.cnt * q.obj AS cnt FROM sk q JOIN sk r ON q.hctx = r.hctx WHERE q.gid <= 20),
+_SHARE = """sh AS (SELECT q.gid AS qry, r.gid AS ref, q.cnt * q.obj AS cnt FROM sk q JOIN sk r ON q.hctx = r.hctx),
 ab AS (SELECT qry, ref, len(l) AS n, list_sum(l)::DOUBLE / len(l) AS mean, coalesce(list_sum(l[floor(len(l) * 0.98)::BIGINT + 1:ceil(len(l) * 0.99)::BIGINT]), 0)::DOUBLE / floor(len(l) * 0.99 - floor(len(l) * 0.98) + 1) AS range_mean, l[len(l) // 2 + 1] AS median, l[-1] AS max
   FROM (SELECT qry, ref, list_sort(list(cnt)) AS l FROM sh GROUP BY 1, 2 HAVING count(*) >= 6))"""
 
 
-def composite(s, d, which="gid <= 20"):
+def composite(s, d):
     k = sk(s, d)
-    return V.species_abundance(k.where(which).withColumn("cnt", F.col("cnt") * F.col("obj")), k)
+    return V.species_abundance(k.withColumn("cnt", F.col("cnt") * F.col("obj")), k)
 
 
 query("composite_abundance", W("SELECT qry, ref, n, round(mean, 6) AS mean, round(range_mean, 6) AS range_mean, median, max FROM ab", _SHARE))(lambda s, d: composite(s, d).select("qry", "ref", "n", F.round("mean", 6).alias("mean"), F.round("range_mean", 6).alias("range_mean"), "median", "max"))
-_SHARE_ALL = _SHARE.replace(" WHERE q.gid <= 20", "")
-query("composite_abundance_all", W("SELECT qry, ref, n, round(mean, 6) AS mean, round(range_mean, 6) AS range_mean, median, max FROM ab", _SHARE_ALL))(lambda s, d: composite(s, d, "true").select("qry", "ref", "n", F.round("mean", 6).alias("mean"), F.round("range_mean", 6).alias("range_mean"), "median", "max"))
 _VEC = "vc AS (SELECT qry AS sample, ref AS dim, (range_mean - 1) * 100 / (sum(range_mean) OVER w - count(*) OVER w) AS pct FROM ab WHERE median > 1 AND n > 7 WINDOW w AS (PARTITION BY qry))"
 _SEARCH = {
     "cosine": "SELECT x.sample AS qry, y.sample AS ref, round(sum(x.pct * y.pct) / (any_value(a.n) * any_value(b.n)), 7) AS value FROM vc x JOIN vc y USING (dim) JOIN nm a ON a.sample = x.sample JOIN nm b ON b.sample = y.sample GROUP BY 1, 2",
@@ -695,10 +735,9 @@ _SEARCH = {
     "l2": "SELECT x.sample AS qry, y.sample AS ref, round(sqrt(sum((x.pct - y.pct) * (x.pct - y.pct))), 7) AS value FROM vc x JOIN vc y USING (dim) GROUP BY 1, 2",
 }
 for _measure, _body in _SEARCH.items():
-    for _name, _share, _which in ((f"{_measure}_search", _SHARE, "gid <= 20"), (f"{_measure}_search_all", _SHARE_ALL, "true")):
-        query(_name, W(_body, _share, _VEC, "nm AS (SELECT sample, sqrt(sum(pct * pct)) AS n FROM vc GROUP BY sample)"))(
-            lambda s, d, m=_measure, w=_which: V.search(V.to_vectors(composite(s, d, w)), V.to_vectors(composite(s, d, w)), m).select("qry", "ref", (F.round("value", 7) + 0.0).alias("value"))
-        )
+    query(f"{_measure}_search", W(_body, _SHARE, _VEC, "nm AS (SELECT sample, sqrt(sum(pct * pct)) AS n FROM vc GROUP BY sample)"))(
+        lambda s, d, m=_measure: V.search(V.to_vectors(composite(s, d)), V.to_vectors(composite(s, d)), m).select("qry", "ref", (F.round("value", 7) + 0.0).alias("value"))
+    )
 
 # --- sequences, models and grids -----------------------------------------------------------------------------------
 
@@ -733,12 +772,17 @@ def qc(s, d):
 query("reads_qc_range")(qc)
 
 
+#: Labelled pairs that the ensemble is fitted to; the documented bound of a random sample.
+FIT_PAIRS = 5000
+
+
 def recalibrated(s, d):
     from sketchlake.functions import trees
 
-    pairs = pf(s, d).withColumn("ani", 1 - P.metric_columns(SIZE)["ctx-naive"])
-    sample = pairs.orderBy("qry", "ref").limit(5000).toPandas()  # the labelled sample that the ensemble is fitted to
-    model = trees.fit_trees(trees.features(sample), 1 - 0.3 * (1 - sample["ani"].to_numpy()), n_trees=20)
+    pairs = mixture(pf(s, d)).withColumn("ani", 1 - P.metric_columns(SIZE)["ctx-naive"])
+    # the label is another measure of the same pairs, the mixture model's; of FIT_PAIRS pairs drawn by hash
+    sample = pairs.orderBy(F.xxhash64("qry", "ref"), "qry", "ref").limit(FIT_PAIRS).toPandas()
+    model = trees.fit_trees(trees.features(sample), 1 - sample["distance"].to_numpy(), n_trees=20)
     return trees.recalibrate(pairs, model).select("qry", "ref", F.round("calibrated_ani", 6).alias("calibrated_ani"), D.confidence(F.col("ani"), F.col("calibrated_ani"), F.col("af_ref")).alias("confidence"))
 
 

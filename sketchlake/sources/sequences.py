@@ -39,12 +39,12 @@ def entries(found: DataFrame) -> DataFrame:
 
 
 def split_records(records: DataFrame) -> DataFrame:
-    """Each record its own sample, numbered by path and order."""
+    """Each record its own sample, numbered by path and order (``record_ord`` counts a file's records from 0)."""
     from pyspark.sql import Window
 
-    # one row per record travels here, without its sequence
-    ids = records.select("path", "record_ord").withColumn("gid", F.row_number().over(Window.orderBy("path", "record_ord")).cast("long") - 1)
-    return records.join(ids, ["path", "record_ord"])
+    files = records.groupBy("path").agg((F.max("record_ord") + 1).alias("_n"))  # what meets in one task is a row per file
+    files = files.select("path", (F.sum("_n").over(Window.orderBy("path")) - F.col("_n")).alias("_before"))
+    return records.join(files, "path").withColumn("gid", (F.col("_before") + F.col("record_ord")).cast("long")).drop("_before")
 
 
 def as_one(records: DataFrame) -> DataFrame:

@@ -230,3 +230,61 @@ def test_em_moves_shares_to_the_supported_reference(spark):
 def test_density_blocks_follow_the_read_order(spark):
     reads = spark.createDataFrame([(0, i, n) for i, n in enumerate([60, 50, 10, 10, 90, 5])], "sample long, read_ord long, n_ctx long")
     assert [r["block"] for r in R.density_blocks(reads, 100).orderBy("read_ord").collect()] == [0, 0, 1, 1, 1, 2]
+
+
+@pytest.mark.parametrize("seed", range(3, 9))
+def test_a_removed_sample_goes_to_its_best_keeper(spark, seed):
+    """Dense graphs, where a keeper that decides in a later round may come first in the quality order."""
+    edges, n = graph(seed, 18, 0.3)
+    samples = spark.createDataFrame([(g, 100 + g, True, 0.5, 1, 10, 0.1, 1) for g in range(n)], "gid long, total_bp long, is_fasta boolean, asm_level double, n_records long, median_bp long, len_cv double, n_entries long")
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    keeper = {}
+    for g in range(n - 1, -1, -1):  # longest first
+        if g not in keeper:
+            keeper[g] = g
+            for o in near[g]:
+                keeper.setdefault(o, g)
+    assert {r["gid"]: r["representative"] for r in G.greedy(samples, spark.createDataFrame(edges, "a long, b long")).collect()} == keeper
+
+
+def test_a_long_chain_settles(spark):
+    n = 60
+    samples = spark.createDataFrame([(g, 1000 - g, True, 0.5, 1, 10, 0.1, 1) for g in range(n)], "gid long, total_bp long, is_fasta boolean, asm_level double, n_records long, median_bp long, len_cv double, n_entries long")
+    found = G.greedy(samples, spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")).collect()
+    assert {r["gid"]: r["representative"] for r in found} == {g: g - g % 2 for g in range(n)}
+
+
+def test_density_blocks_of_many_ranges_equal_one_walk(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_READS", 16)
+    dice = random.Random(5)
+    rows = [(s, i, dice.choice([0, 3, 20, 150])) for s in (1, 2) for i in range(200) if dice.random() < 0.8]
+    got = {(r["sample"], r["read_ord"]): r["block"] for r in R.density_blocks(spark.createDataFrame(rows, "sample long, read_ord long, n_ctx long"), 40).collect()}
+    want, held, block, last = {}, 0, 0, None
+    for s, i, n in rows:
+        if s != last:
+            held, block, last = 0, 0, s
+        want[s, i] = block
+        held += n
+        if held >= 40:
+            held, block = 0, block + 1
+    assert got == want
+
+
+def test_verified_features_of_a_lossy_nomination_are_exact(spark):
+    _, frame = sketch_rows(spark, seed=4)
+    clean = K.drop_conflicts(frame)
+    whole = {(r["qry"], r["ref"]): tuple(r) for r in P.features(P.matches(clean, clean, triangle=True), P.context_counts(clean)).collect()}
+    some = P.candidates(clean, max_frequency=3, min_votes=1)
+    found = {(r["qry"], r["ref"]): tuple(r) for r in P.verified(some, clean).collect()}
+    assert found and set(found) <= set(whole) and all(whole[k] == v for k, v in found.items())
+    assert {(r["qry"], r["ref"]): r["votes"] for r in P.candidates(clean).collect()} == {k: v[2] for k, v in whole.items()}
+
+
+def test_read_qc_runs_and_moments():
+    counts = np.array([1, 2, 3, 5, 6, 9])
+    assert reads_qc._run_around(counts, np.array([True] * 6), 1).tolist() == [0, 1, 2]
+    assert reads_qc._run_around(counts, np.array([False] * 6), 4).tolist() == [4]
+    assert reads_qc._moments(np.array([4, 4, 4]), np.array([1.0, 1.0, 1.0])) == (4.0, 0.0)
