@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchlake.llm import kernels as K
-from sketchlake.llm.runtime import lean, ship, shuffle_width, store
+from sketchlake.llm.runtime import checkpoint, lean, ship, shuffle_width, store
 from sketchlake.llm.tokens import load
 
 #: Words and ids that a process keeps; beyond, it begins anew.
@@ -312,7 +312,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with
     many tasks.
     """
     spark = docs.sparkSession
-    pieces = store(cut_documents(docs, path, capacity, end_id, with_ids))
+    pieces = cut_documents(docs, path, capacity, end_id, with_ids)
+    pieces = store(pieces) if with_ids else checkpoint(pieces)
     own = pieces.columns
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row per length
     places = spark.sparkContext.broadcast(Places.of(plan_bins(counts, capacity), capacity))
