@@ -46,3 +46,14 @@ def profile(abundance: DataFrame, matched: DataFrame) -> DataFrame:
     rows = abundance.where("abundance > 0").join(matched, "gid").groupBy("taxid", "rank", "taxpath").agg(F.sum("abundance").alias("abundance"))
     whole = rows.groupBy("rank").agg(F.sum("abundance").alias("whole"))
     return rows.join(whole, "rank").select("taxid", "rank", "taxpath", (100 * F.col("abundance") / F.col("whole")).alias("percentage"))
+
+
+def deepest(matched: DataFrame) -> DataFrame:
+    """Of each reference's records (``gid, taxid, rank, taxpath``), the one of the deepest rank, then of the longest lineage; the smaller taxid on ties.
+
+    Ranks that aren't known lie above all others.
+    """
+    rank = F.array_position(F.array(*[F.lit(r) for r in RANKS]), F.lower(F.coalesce("rank", F.lit(""))))
+    length = F.size(F.split(F.coalesce("taxpath", F.lit("")), r"\|"))
+    first = F.min(F.struct((-rank).alias("r"), (-length).alias("l"), "taxid", "rank", "taxpath"))
+    return matched.groupBy("gid").agg(first.alias("b")).select("gid", "b.taxid", "b.rank", "b.taxpath")

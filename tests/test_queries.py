@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
+import sketchlake.report_queries  # noqa: F401  (adds its queries)
 from sketchlake.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["sketch_counts", "weighted_percentile_cutoff", "ctx_density_estimate", "pair_features_conflict_min", "ctx_moe_distance", "topn_per_query", "connected_components", "pairwise_ctx_markerdb", "best_diff_split", "depth_abundance", "topfrac_median", "zip_af", "lca", "adaptive_gate", "composite_abundance"]
+CHOSEN = ["sketch_counts", "weighted_percentile_cutoff", "ctx_density_estimate", "pair_features_conflict_min", "ctx_moe_distance", "topn_per_query", "connected_components", "pairwise_ctx_markerdb", "best_diff_split", "depth_abundance", "topfrac_median", "zip_af", "lca", "adaptive_gate", "composite_abundance", "identity_report", "profile_report", "read_track_report", "read_track_summary", "latent_solvers", "profile_universal", "best_threshold"]
 
 
 def rounded(rows):
