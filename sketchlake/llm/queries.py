@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchlake.llm.alignment import NUMBERS, align_tokenizers
 from sketchlake.llm.decontaminate import find_contamination
+from sketchlake.llm.filter_audit import audit, failures
 from sketchlake.llm.html_text import extract_text
 from sketchlake.llm.jaccard_join import Join, join_documents
 from sketchlake.llm.licenses import scan_licenses
+from sketchlake.llm.line_dedup import drop_repeated_lines
 from sketchlake.llm.packing import pack
 from sketchlake.llm.quality import FEATURES, base_features, judge
 from sketchlake.llm.runtime import checkpoint, table
@@ -76,6 +79,21 @@ def op10_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    return found.select("row.doc_id", *NUMBERS, digest.alias("groups_sha256"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), documents=10, characters=1)
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_bin_sharding": op1_vector_bin_sharding,
     "op2_best_two_fit_packing": op2_best_two_fit_packing,
@@ -87,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_link_graph_url_filter": op8_link_graph_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_surrogate_generation": op10_surrogate_generation,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _OP4_SQL = r"""
@@ -130,4 +151,35 @@ SELECT f.doc_id, len(f.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM f LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op9_decontamination": _OP9_SQL, "op4_ngram_jaccard_join": _OP4_SQL}
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, (len(w) < 100)::INTEGER + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INTEGER
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INTEGER
+    + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER + 16 * (d.doc_id > min(d.doc_id) OVER (PARTITION BY t))::INTEGER AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d LEFT JOIN m USING (doc_id)
+), c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM x p, x q, x r, x s, x t WHERE p.b | q.b | r.b | s.b | t.b = 31),
+s AS (SELECT filter_order, i AS step, bits[i] AS own, coalesce(list_sum(bits[:i - 1]), 0)::INTEGER AS before FROM o, (SELECT unnest(range(1, 6)) AS i)),
+r AS (
+  SELECT part, filter_order, step::INTEGER AS step, own, coalesce(sum(n) FILTER (mask & (before | own) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+_OP13_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r.key IS NOT NULL) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op9_decontamination": _OP9_SQL, "op4_ngram_jaccard_join": _OP4_SQL, "op11_filter_interaction_audit": _OP11_SQL, "op13_line_dedup": _OP13_SQL}

@@ -17,6 +17,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -84,6 +85,19 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def frequency_floor(counts: DataFrame, name: str, limit: int) -> int:
+    """The smallest power of two such that at most ``limit`` rows have a count of at least that; what comes to the driver is a row per power."""
+    power = F.floor(F.log2(F.col(name).cast("double") + 0.5)).cast("int")  # the half keeps rounding from a power's own edge
+    rows = counts.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()
+    held = floor = 0
+    for p, n in sorted(rows, reverse=True):
+        held += n
+        if held > limit:
+            return floor or 1 << (p + 1)
+        floor = 1 << p
+    return 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
