@@ -42,44 +42,55 @@ def truncated_fraction(breadth: Column, mean_positive: Column) -> Column:
     return F.when(b <= 0, F.lit(0.0)).when(seen <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), b / F.when(seen > 0, seen).otherwise(F.lit(1.0))))
 
 
-def _grid_search(breadth: Column, error, usable: Column) -> Column:
-    """The grid point between the breadth and 1 with the smallest ``error`` (null: not possible); the first one on ties, the breadth if none is possible."""
-    start = F.struct(F.lit(None).cast("double").alias("err"), breadth.alias("pi"))
+def _zero_share(x: Column, rate: Column, variance: Column | None, mean: Column) -> Column:
+    """The chance that a present context has no count, if the fraction ``x`` is present at ``rate`` = mean / x.
 
-    def step(s: Column, i: Column) -> Column:
-        pi = F.greatest(breadth + (1 - breadth) * (i / F.lit(float(GRID - 1))), F.lit(1e-12))
-        e = error(pi)
-        better = e.isNotNull() & (s["err"].isNull() | (e < s["err"]))
-        return F.struct(F.when(better, e).otherwise(s["err"]).alias("err"), F.when(better, pi).otherwise(s["pi"]).alias("pi"))
+    Poisson: exp(-rate). Negative binomial: (k / (k + rate)) ** k, where the moments of the mixture give 1 / k = (variance - mean) x / mean**2 - (1 - x);
+    null where that isn't positive.
+    """
+    if variance is None:
+        return F.exp(-rate)
+    spread = (variance - mean) * x / (mean * mean) - (1 - x)
+    return F.when(spread > 1e-9, F.exp(-F.log1p(rate * spread) / spread))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(GRID - 1)), start, step, lambda s: s["pi"])
-    return F.when(usable, F.least(found, F.lit(1.0))).otherwise(F.least(F.greatest(breadth, F.lit(0.0)), F.lit(1.0)))
 
+def _on_grid(breadth: Column, mean: Column, variance: Column | None = None) -> Column:
+    """The grid point x between the breadth and 1 at which x (1 - zero share) comes nearest to the breadth.
 
-def poisson_grid(breadth: Column, mean: Column) -> Column:
-    """The zero-inflated Poisson fraction on the grid: pi (1 - exp(-mean / pi)) nearest to the breadth."""
+    The expected breadth rises with x (more contexts, each at a lower rate) up to a single crossing, so the last grid point that doesn't exceed the observed
+    breadth is bracketed by halving the grid's numbers; it or the next one is nearest. Points without a dispersion lie below all others and count as not exceeding.
+    """
     b, m = F.least(F.greatest(_clean(breadth), F.lit(0.0)), F.lit(1.0)), F.greatest(_clean(mean), F.lit(0.0))
+    v = None if variance is None else F.greatest(_clean(variance), F.lit(0.0))
+    point = lambda i: b + (1 - b) * (i.cast("double") / F.lit(float(GRID - 1)))
+    gap = lambda i: point(i) * (1 - _zero_share(point(i), m / point(i), v, m)) - b
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        under = F.coalesce(gap(mid) <= 0, F.lit(True))
+        return F.struct(F.when(under, mid).otherwise(s["lo"]).alias("lo"), F.when(under, s["hi"]).otherwise(mid - 1).alias("hi"))
 
-    def error(pi: Column) -> Column:
-        gap = pi * (1 - F.exp(-F.least(m / pi, F.lit(700.0)))) - b
-        return gap * gap
+    start = F.struct(F.lit(0).alias("lo"), F.lit(GRID - 1).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit((GRID - 1).bit_length()))
+    at = F.aggregate(steps, start, halve, lambda s: s["lo"])
 
-    return _grid_search(b, error, (b > 0) & (b < 1) & (m > 0))
+    def nearer(i: Column) -> Column:
+        after = F.least(i + 1, F.lit(GRID - 1))
+        here, there = F.abs(gap(i)), F.abs(gap(after))
+        return F.when(here.isNull() & there.isNull(), b).when(there.isNull() | (here <= there), point(i)).otherwise(point(after))
+
+    usable = (b > 0) & (b < 1) & (m > 0) if v is None else (b > 0) & (b < 1) & (m > 0) & (v > m)
+    return F.when(usable, nearer(at)).otherwise(b)
+
+
+def poisson_grid(breadth: Column, mean: Column) -> Column:
+    """The zero-inflated Poisson fraction on the grid; the breadth itself where it is 0 or 1, or without depth."""
+    return _on_grid(breadth, mean)
 
 
 def negative_binomial_grid(breadth: Column, mean: Column, variance: Column) -> Column:
-    """The zero-inflated negative binomial fraction on the grid, by moments; grid points without a positive dispersion aren't possible."""
-    b, m, v = F.least(F.greatest(_clean(breadth), F.lit(0.0)), F.lit(1.0)), F.greatest(_clean(mean), F.lit(0.0)), F.greatest(_clean(variance), F.lit(0.0))
-    square = F.greatest(m, F.lit(1e-12)) * F.greatest(m, F.lit(1e-12))
-
-    def error(pi: Column) -> Column:
-        inverse = (v - m) * pi / square - (1 - pi)
-        size = 1 / F.greatest(inverse, F.lit(1e-9))
-        empty = F.exp(F.greatest(size * (F.log(size) - F.log(size + m / pi)), F.lit(-745.0)))
-        gap = pi * (1 - empty) - b
-        return F.when(inverse > 1e-9, gap * gap)
-
-    return _grid_search(b, error, (b > 0) & (b < 1) & (m > 0) & (v > m))
+    """The zero-inflated negative binomial fraction on the grid, by moments; the breadth where the variance doesn't exceed the mean or no point has a dispersion."""
+    return _on_grid(breadth, mean, variance)
 
 
 def density(threshold: Column, hash_bits: int) -> Column:

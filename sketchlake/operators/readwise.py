@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchlake.functions import distance as D
+from sketchlake.session import ship
 
 MODES = ("all", "best-diff", "best-diff-unique", "best-diff-split")
 #: Split increments are in 1/1024, coverage saturates at 2**28 - 1, stored differences at 14.
@@ -233,6 +234,7 @@ def _reject_nb(threshold: float, scale: int, least: int):
 
 def filter_product_nb(cov: DataFrame, total: DataFrame, threshold: float = 2.0, scale: int = 1, least: int = 10) -> DataFrame:
     """Coverage with ``rejected``: contexts whose product is too large for the reference's negative binomial, corrected for its contexts."""
+    ship(cov.sparkSession)
     joined = cov.where("cov > 0").join(product_moments(cov, scale).select("gid", "n", "mean", "variance"), "gid", "left").join(total, "gid")
     return joined.mapInPandas(_reject_nb(threshold, scale, least), "gid long, hctx long, cov long, diff int, weight long, rejected boolean")
 
@@ -273,6 +275,7 @@ def _score_contexts(threshold: float, scale: int):
 
 def score_contexts(cov: DataFrame, depths: DataFrame, threshold: float = 2.0, scale: int = 1) -> DataFrame:
     """Coverage with the scores and verdicts of the Poisson context filters (difference, depth, product) and the fake probability."""
+    ship(cov.sparkSession)
     rows = cov.where("cov > 0").join(depths.select("gid", "total", "zero_fraction", "mean_depth"), "gid").join(product_moments(cov, scale).select("gid", F.col("sum").alias("product_sum")), "gid", "left")
     return rows.mapInPandas(_score_contexts(threshold, scale), "gid long, hctx long, cov long, diff int, weight long, score double, fake_probability double, reject_poisson_diff boolean, reject_poisson_depth boolean, reject_poisson_product boolean")
 
@@ -384,6 +387,7 @@ def density_blocks(reads: DataFrame, size: int = 100) -> DataFrame:
     So ranges of at most BLOCK_READS ordinals first say what they do to any such number, these small tables are chained per sample,
     and every range is then walked from what it finds. No task has more reads than a range.
     """
+    ship(reads.sparkSession)
     dealt = reads.withColumn("part", F.floor(F.col("read_ord") / F.lit(BLOCK_READS)))
     tables = dealt.groupBy("sample", "part").applyInPandas(_carries(size), "sample long, part long, after array<int>, closed array<long>")
     starts = tables.groupBy("sample").applyInPandas(_chain, "sample long, part long, held long, first long")

@@ -39,6 +39,34 @@ def bottom_k(sketch: DataFrame, k: int) -> DataFrame:
     return sketch.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def unsigned(hashed: Column | str) -> Column:
+    """A signed number that orders 64-bit hashes as unsigned ones."""
+    return (F.col(hashed) if isinstance(hashed, str) else hashed).bitwiseXOR(F.lit(-(2**63)))
+
+
+def wide_bottom_k(sketch: DataFrame, k: int) -> DataFrame:
+    """All entries of the first k contexts of each sample in the order of their unsigned 64-bit hashes."""
+    at = F.dense_rank().over(Window.partitionBy("gid").orderBy(unsigned("hctx")))
+    return sketch.withColumn("_rank", at).where(F.col("_rank") <= k).drop("_rank")
+
+
+def wide_build(sketch: DataFrame, k: int) -> DataFrame:
+    """A fixed-size sketch of the wide layout; contexts with two objects or more go first."""
+    return wide_bottom_k(drop_conflicts(sketch), k)
+
+
+def wide_densities(before: DataFrame, k: int) -> DataFrame:
+    """Of the wide layout, per sample: the last context's hash of its sketch of size k (2**64 - 1 if nothing was cut), as a decimal, and observed and estimated contexts up to there, before and after conflict removal."""
+    contexts = before.groupBy("gid", "hctx").agg((F.count("*") == 1).alias("clean")).withColumn("_at", unsigned("hctx"))
+    first = F.row_number().over(Window.partitionBy("gid").orderBy("_at"))
+    last = contexts.where("clean").withColumn("_rank", first).where(F.col("_rank") <= k).groupBy("gid").agg(F.max("_at").alias("_last"))
+    limits = contexts.groupBy("gid").agg(F.sum(F.col("clean").cast("long")).alias("n")).join(last, "gid").select("gid", F.when(F.col("n") <= k, F.lit(2**63 - 1)).otherwise(F.col("_last")).alias("_limit"))
+    counted = contexts.join(limits, "gid").where(F.col("_at") <= F.col("_limit")).groupBy("gid", "_limit").agg(F.count("*").alias("observed_pre"), F.sum(F.col("clean").cast("long")).alias("observed_post"))
+    threshold = (F.col("_limit").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    estimate = lambda c: F.when(F.col("_limit") == 2**63 - 1, F.col(c)).otherwise(F.floor(F.col(c) * F.lit(float(2**64)) / (threshold.cast("double") + 1.0) + 0.5).cast("long"))
+    return counted.select("gid", threshold.alias("threshold"), "observed_pre", estimate("observed_pre").alias("estimate_pre"), "observed_post", estimate("observed_post").alias("estimate_post"))
+
+
 def build(sketch: DataFrame, k: int, conflict: bool = False) -> DataFrame:
     """A fixed-size sketch: conflicts go first (unless kept), then the size is cut."""
     return bottom_k(sketch if conflict else drop_conflicts(sketch), k)

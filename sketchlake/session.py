@@ -1,8 +1,11 @@
-"""Sessions and lineage."""
+"""Sessions, lineage, and the package's code on executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +38,19 @@ def checkpoint(frame: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
     return frame.checkpoint(eager=True)
+
+
+_PACKAGE = Path(__file__).resolve().parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per context; every operator with Python functions calls it."""
+    context = spark.sparkContext
+    if getattr(context, "_sketchlake_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="ship"), f"{_PACKAGE.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(_PACKAGE.rglob("*.py")):
+            out.write(source, source.relative_to(_PACKAGE.parent))
+    context.addPyFile(archive)
+    context._sketchlake_shipped = True

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sketchlake.session import ship
+
 SCHEMA = "path string, record_ord long, name string, comment string, seq string, qual string"
 SUFFIXES = ("fna", "fas", "fasta", "fa", "fq", "fastq", "co")
 
@@ -116,4 +118,5 @@ def _of_binary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def records_of(spark: SparkSession, path: str) -> DataFrame:
     """The same rows through Spark's reader: any store that Spark reads, files up to 2 GB."""
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_of_binary, SCHEMA)
