@@ -93,12 +93,12 @@ def exact_hit_abundance(fallback: Column) -> Column:
     return F.when(F.col("s_hit_mean_depth") > 0, F.col("s_hit_mean_depth")).otherwise(fallback)
 
 
-def adaptive_filter(rows: DataFrame) -> DataFrame:
-    """Calls that survive the support filter: it acts only if the median support of the calls is large."""
+def adaptive_filter(rows: DataFrame, median: float = FILTER_MEDIAN, least: float = FILTER_MIN) -> DataFrame:
+    """Calls that survive the support filter: it acts only if the median support of the calls is ``median`` or more, on those with less than ``least``."""
     s, u = F.col("s_xny"), F.col("u_xny")
-    least = F.when((s > 0) & (u > 0), F.least(s, u)).otherwise(F.greatest(s, u))
-    median = rows.where("called").agg(F.coalesce(F.median(F.greatest("s_xny", "u_xny").cast("double")), F.lit(0.0)).alias("_median"))
-    return rows.join(F.broadcast(median)).withColumn("called", F.col("called") & ((F.col("_median") < FILTER_MEDIAN) | (least >= FILTER_MIN))).drop("_median")
+    held = F.when((s > 0) & (u > 0), F.least(s, u)).otherwise(F.greatest(s, u))
+    middle = rows.where("called").agg(F.coalesce(F.median(F.greatest("s_xny", "u_xny").cast("double")), F.lit(0.0)).alias("_median"))
+    return rows.join(F.broadcast(middle)).withColumn("called", F.col("called") & ((F.col("_median") < median) | (held >= least))).drop("_median")
 
 
 def reported_ani() -> Column:
@@ -203,23 +203,23 @@ ALLOCATOR_ALPHA, ALLOCATOR_MULTI_GENUS, ALLOCATOR_XNY = 0.02, 0.3750151020140514
 EXACT_CALL_TRIGGER, EXACT_ABUNDANCE_TRIGGER = 0.10, 0.30
 
 
-def candidate_rescue(rows: DataFrame, mode: str, alpha: float = 2.0) -> DataFrame:
+def candidate_rescue(rows: DataFrame, mode: str, alpha: float = 2.0, cuts: dict[str, float] | None = None) -> DataFrame:
     """Rows (with ``called``, ``genus``) plus ``rescued`` and ``rescue_mass``, and calls that include the rescued.
 
     ``emitted`` adds uncalled species with enough evidence in either profile; their own mass is
     dropped and ``alpha`` times the larger normalised depth takes its place. ``split`` adds the
-    best of each genus among those with strict split evidence; they keep their mass.
+    best of each genus among those with strict split evidence; they keep their mass. ``cuts`` override the fixed ones by name.
     """
     c = F.col
     if mode == "emitted":
         enough = F.lit(True)
-        for measure, cut in RESCUE_EMITTED.items():
+        for measure, cut in (RESCUE_EMITTED | (cuts or {})).items():
             enough = enough & (F.greatest(f"s_{measure}", f"u_{measure}") >= cut)
         out = rows.withColumn("rescued", ~c("called") & enough)
         mass = F.when(c("rescued"), alpha * F.greatest("s_normalized_depth", "u_normalized_depth")).otherwise(F.lit(0.0))
     elif mode == "split":
-        enough = c("probability") >= RESCUE_SPLIT_PROBABILITY
-        for measure, cut in RESCUE_SPLIT.items():
+        enough = F.lit(True)
+        for measure, cut in ({"probability": RESCUE_SPLIT_PROBABILITY} | RESCUE_SPLIT | (cuts or {})).items():
             enough = enough & (c(measure) >= cut)
         score = F.greatest("s_mean_depth", F.lit(0.0)) * F.greatest("s_breadth", F.lit(1e-6)) * F.greatest("s_ani", F.lit(0.0)) * F.greatest("s_xny", F.lit(1.0))
         out = _top(rows, ~c("called") & enough, score, 1, "rescued")

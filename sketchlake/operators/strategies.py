@@ -77,18 +77,20 @@ def reported(fallback: Column) -> tuple[Column, Column]:
     return F.when(unique, F.col("u_latent_ani")).otherwise(F.col("s_latent_ani")), F.when(unique, "unique").otherwise("split")
 
 
-def candidate_surface(unique_rows: DataFrame, split_rows: DataFrame, called_species: DataFrame, mode: str, with_mass: bool = False, max_called: int = 0) -> DataFrame:
+def candidate_surface(unique_rows: DataFrame, split_rows: DataFrame, called_species: DataFrame, mode: str, with_mass: bool = False, max_called: int = 0, rules: dict[str, tuple[float, float, float, float]] | None = None) -> DataFrame:
     """One accession of each uncalled species that passes a surface's rule, from both profiles.
 
     Rows have ``gid, taxid, species`` and measures; ``mode`` is current, strict or either. Of a species, the row with most
     shared contexts stays, then fraction, identity and breadth; the unique profile's and the smaller id on ties. With more than
     ``max_called`` called species (if given) there are no candidates. ``mass`` is in normalised depth, 0 unless asked for.
+    ``rules`` override the fixed cuts (identity, shared contexts, breadth, fraction) of a surface.
     """
-    if mode not in (*SURFACE, "either"):
-        raise ValueError(f"one of {(*SURFACE, 'either')}: {mode!r}")
+    cuts = SURFACE | (rules or {})
+    if mode not in (*cuts, "either"):
+        raise ValueError(f"one of {(*cuts, 'either')}: {mode!r}")
     passes = F.lit(False)
-    for name in SURFACE if mode == "either" else (mode,):
-        ani, xny, breadth, af = SURFACE[name]
+    for name in cuts if mode == "either" else (mode,):
+        ani, xny, breadth, af = cuts[name]
         passes = passes | ((F.col("ani") >= ani) & (F.col("xny") >= xny) & (F.col("breadth") >= breadth) & (F.col("min_af") >= af))
     keep = ["gid", "taxid", "species", "ani", "xny", "breadth", "min_af", "normalized_depth"]
     both = unique_rows.select(*keep, F.lit("unique").alias("profile")).unionByName(split_rows.select(*keep, F.lit("split").alias("profile")))

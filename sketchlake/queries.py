@@ -2,19 +2,21 @@
 
 The tables stand in for sketches: a supplier is a sample, a part a context and
 the ordered quantity its object; an order is a read. Nations and regions are the
-taxonomy.
+taxonomy. Reads differ from the references in a share of their objects that depends on the supplier's nation (``reads``).
+Cuts are taken from the table at hand (``edge_cut``, ``tenth_largest``), so that both sides of each occur at every scale.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sketchlake.functions import distance as D
 from sketchlake.functions.hashing import hash_contexts
 from sketchlake.operators import calibrate as C
+from sketchlake.operators import call_model as M
 from sketchlake.operators import clusters as G
 from sketchlake.operators import composite as V
 from sketchlake.operators import pairs as P
@@ -68,7 +70,12 @@ def samples(spark, d):
 
 
 def reads(spark, d):
-    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("unit"), F.col("l_partkey").cast("long").alias("ctx"), F.col("l_quantity").cast("int").alias("obj")).dropna()
+    """Orders as reads. Lines of a nation's suppliers have their objects altered by the nation's number: in none, every second one or all, in one to three bases that references don't use."""
+    c = F.col
+    kind = F.pmod(c("s_nationkey"), F.lit(5))
+    mask = F.when(kind == 0, 0).when(kind == 1, 64 * F.pmod(7 * c("l_suppkey") + c("l_orderkey"), F.lit(2))).when(kind == 2, 64).when(kind == 3, 320).otherwise(1344).cast("int")
+    lines = _t(spark, d, "lineitem").join(_t(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey"))
+    rows = lines.select(c("l_orderkey").cast("long").alias("unit"), c("l_partkey").cast("long").alias("ctx"), c("l_quantity").cast("int").bitwiseXOR(mask).alias("obj")).dropna()
     return hash_contexts(rows, "ctx").select("unit", "hctx", "obj")
 
 
@@ -271,15 +278,27 @@ query(
         _PF, f"m AS (SELECT qry, ref, round({_MASH}, 7) AS distance FROM pf)",
     ),
 )(matrix)
-#: An edge cut that leaves components of several sizes on these tables.
-CUT = 0.0335
+def edge_cut(pairs, distance, share=0.01):
+    """The distance, in steps of 1e-5, below which a share of the pairs lies (one pair at least), from a histogram of steps."""
+    steps = pairs.select(F.floor(F.round(distance, 7) * 100000).alias("step")).groupBy("step").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("step"))  # 100,000 rows at most
+    reached = steps.withColumn("reached", upto >= F.greatest(F.lit(1.0), F.lit(share) * F.sum("n").over(Window.partitionBy())))
+    return ((reached.where("reached").agg(F.min("step")).first()[0] or 0) + 1) / 100000
+
+
+def tenth_largest(rows, name):
+    found = rows.select(name).orderBy(F.desc(name)).limit(10).collect()
+    return found[-1][0] if found else 0
 
 
 def edge_rows(s, d):
-    return P.edges(pf(s, d), "mash", SIZE, CUT, 3)
+    pairs = checkpoint(pf(s, d))
+    return P.edges(pairs, "mash", SIZE, edge_cut(pairs, P.metric_columns(SIZE)["mash"]), 3)
 
 
-_EDGES = f"ed AS (SELECT qry AS a, ref AS b, {_MASH} AS distance, xny, greatest(af_qry, af_ref) AS max_af FROM pf WHERE {_MASH} < {CUT} AND xny >= 3)"
+_CUT = f"""cu AS (SELECT (min(step) FILTER (WHERE upto >= greatest(1, 0.01 * n)) + 1) / 100000.0::DOUBLE AS cut FROM (
+  SELECT step, sum(count(*)) OVER (ORDER BY step) AS upto, sum(count(*)) OVER () AS n FROM (SELECT floor(round({_MASH}, 7) * 100000)::BIGINT AS step FROM pf) GROUP BY step))"""
+_EDGES = f"{_CUT},\ned AS (SELECT qry AS a, ref AS b, {_MASH} AS distance, xny, greatest(af_qry, af_ref) AS max_af FROM pf WHERE {_MASH} < (SELECT cut FROM cu) AND xny >= 3)"
 query("sparse_edges", W("SELECT a, b, round(distance, 7) AS distance, xny, round(max_af, 9) AS max_af FROM ed", _PF, _EDGES))(lambda s, d: edge_rows(s, d).select("a", "b", F.round("distance", 7).alias("distance"), "xny", r9("max_af").alias("max_af")))
 query(
     "indexed_candidates",
@@ -289,7 +308,16 @@ query(
     ),
 )(lambda s, d: P.candidates(sk(s, d), 256, 2))
 query("indexed_candidates_exact", W("SELECT q.gid AS qry, r.gid AS ref, count(*) AS votes FROM sk q JOIN sk r ON q.hctx = r.hctx AND r.gid < q.gid GROUP BY 1, 2"))(lambda s, d: P.candidates(sk(s, d)))
-query("nominated_pair_features", W(f"SELECT {_ILIST} FROM pf WHERE xny >= 90", _PF))(lambda s, d: P.verified(P.candidates(sk(s, d), min_votes=90), sk(s, d)).select(*_INTS))
+_TENTH = "(SELECT min(xny) FROM (SELECT xny FROM pf ORDER BY xny DESC LIMIT 10))"
+
+
+def nominated(s, d):
+    """Pairs with as many votes as the tenth best, or more."""
+    votes = checkpoint(P.candidates(sk(s, d)))
+    return P.verified(votes.where(F.col("votes") >= tenth_largest(votes, "votes")), sk(s, d)).select(*_INTS)
+
+
+query("nominated_pair_features", W(f"SELECT {_ILIST} FROM pf WHERE xny >= {_TENTH}", _PF))(nominated)
 _COMP = """node AS (SELECT s_suppkey::BIGINT AS gid FROM supplier),
 bi AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
 reach AS (SELECT gid, gid AS other FROM node UNION SELECT r.gid, bi.b FROM reach r JOIN bi ON bi.a = r.other),
@@ -361,17 +389,24 @@ def pan(s, d):
 query("set_union", W("SELECT DISTINCT hctx, obj FROM sk"))(lambda s, d: S.union_pan(sk(s, d)))
 query("unique_union", W("SELECT hctx, obj FROM sk GROUP BY hctx, obj HAVING count(*) = 1"))(lambda s, d: S.unique_pan(sk(s, d)))
 query("markerdb", W("SELECT min(gid) AS gid, hctx, obj FROM sk GROUP BY hctx, obj HAVING count(*) = 1"))(lambda s, d: S.markers(sk(s, d)))
-query("ctx_markerdb", W("SELECT gid, hctx, obj FROM ent WHERE hctx IN (SELECT hctx FROM ent GROUP BY hctx HAVING count(DISTINCT gid) <= 1)"))(lambda s, d: S.context_markers(raw(s, d)))
+query("ctx_markerdb", W("SELECT gid, hctx, obj FROM tw WHERE hctx IN (SELECT hctx FROM tw GROUP BY hctx HAVING count(DISTINCT gid) <= 1)", "tw AS (SELECT * FROM ent WHERE cnt >= 2)"))(lambda s, d: S.context_markers(K.min_count(raw(s, d), 2)))
 query(
     "pairwise_ctx_markerdb",
     W(
         "SELECT gid, hctx, obj FROM sk WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.gid = sk.gid AND dr.hctx = sk.hctx)", _PF,
-        "nr AS (SELECT qry, ref FROM pf WHERE xny >= 95)", "sh AS (SELECT m.qry, m.ref, m.hctx FROM m_pf m JOIN nr USING (qry, ref))", "dr AS (SELECT qry AS gid, hctx FROM sh UNION SELECT ref, hctx FROM sh)",
+        f"nr AS (SELECT qry, ref FROM pf WHERE xny >= {_TENTH})", "sh AS (SELECT m.qry, m.ref, m.hctx FROM m_pf m JOIN nr USING (qry, ref))", "dr AS (SELECT qry AS gid, hctx FROM sh UNION SELECT ref, hctx FROM sh)",
     ),
-)(lambda s, d: S.pairwise_context_markers(sk(s, d), 95))
-query("small_marker_report", W("SELECT s.s_suppkey::BIGINT AS gid, coalesce(m.n, 0) AS n_markers FROM supplier s LEFT JOIN (SELECT gid, count(*) AS n FROM (SELECT min(gid) AS gid FROM sk GROUP BY hctx, obj HAVING count(*) = 1) GROUP BY gid) m ON m.gid = s.s_suppkey WHERE coalesce(m.n, 0) < 100"))(
-    lambda s, d: S.small_markers(samples(s, d), S.markers(sk(s, d)), 100)
-)
+)(lambda s, d: S.pairwise_context_markers(sk(s, d), tenth_largest(P.candidates(sk(s, d)), "votes")))
+_MK = "mk0 AS (SELECT s.s_suppkey::BIGINT AS gid, coalesce(m.n, 0) AS n_markers FROM supplier s LEFT JOIN (SELECT gid, count(*) AS n FROM (SELECT min(gid) AS gid FROM sk GROUP BY hctx, obj HAVING count(*) = 1) GROUP BY gid) m ON m.gid = s.s_suppkey)"
+
+
+def few_markers(s, d):
+    """Samples with fewer markers than the samples' mean, which is a whole number."""
+    found = checkpoint(S.markers(sk(s, d)))
+    return S.small_markers(samples(s, d), found, found.count() // max(1, samples(s, d).count()))
+
+
+query("small_marker_report", W("SELECT gid, n_markers FROM mk0 WHERE n_markers < (SELECT sum(n_markers) // count(*) FROM mk0)", _MK))(few_markers)
 query("intersect_pan", W("SELECT gid, hctx, obj FROM sk SEMI JOIN pan USING (hctx, obj)", _PAN))(lambda s, d: S.intersect(sk(s, d), pan(s, d)))
 query("subtract_pan", W("SELECT gid, hctx, obj FROM sk ANTI JOIN pan USING (hctx, obj)", _PAN))(lambda s, d: S.subtract(sk(s, d), pan(s, d)))
 query("downsample", W("SELECT gid, hctx, obj FROM sk QUALIFY row_number() OVER (PARTITION BY gid ORDER BY hctx, obj) <= 50"))(lambda s, d: S.downsample(sk(s, d), 50, SIZE).select(*_COLS))
@@ -390,7 +425,9 @@ query("group_samples", W("SELECT DISTINCT s_nationkey::BIGINT AS taxid, hctx, ob
 
 # --- read profiling ------------------------------------------------------------------------------------------------
 
-_CAND = f"""rd AS (SELECT DISTINCT unit, hctx, obj FROM rows0),
+_READS = """rd AS (SELECT DISTINCT unit, hctx, xor(obj, CASE s_nationkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 64 * ((7 * gid + unit) % 2) WHEN 2 THEN 64 WHEN 3 THEN 320 ELSE 1344 END)::INTEGER AS obj
+  FROM rows0 JOIN supplier ON s_suppkey = gid)"""
+_CAND = f"""{_READS},
 cd AS (SELECT q.unit, q.hctx, r.gid, min({_DIST.format(a="q.obj", b="r.obj")}) AS d FROM rd q JOIN sk r ON q.hctx = r.hctx GROUP BY 1, 2, 3),
 mk AS (SELECT *, min(d) OVER w AS best, count(*) OVER w AS n_candidates FROM cd WINDOW w AS (PARTITION BY unit, hctx)),
 mb AS (SELECT *, count(*) FILTER (WHERE d = best) OVER (PARTITION BY unit, hctx) AS n_best FROM mk),
@@ -666,14 +703,19 @@ query(
 )(lambda s, d: joined(s, d).select("taxid", "u_rows", "s_rows", *[F.round(c, 7).alias(c) for c in [*_JF, "xny_ratio", "breadth_ratio", "ani_delta"]]))
 
 
-def gated(s, d, threshold=0.35):
+def predicted(s, d, features=None):
+    """Joined features of species with their names and the probability that the package's trained model gives them."""
     names = lineages(s, d).select("taxid", F.concat_ws(" ", "r_name", "n_name").alias("name")).distinct()
-    rows = joined(s, d).join(names, "taxid").withColumn("probability", F.least(F.lit(1.0), F.round(F.col("u_breadth") * 1.2, 6)))
-    return C.adaptive_gate(rows, threshold)
+    return (joined(s, d) if features is None else features).join(names, "taxid").withColumn("probability", F.round(M.probability(M.bundled()), 6))
+
+
+def gated(s, d, threshold=0.35):
+    return C.adaptive_gate(predicted(s, d), threshold)
 
 
 _GATE = """na AS (SELECT DISTINCT n_nationkey::VARCHAR AS taxid, split_part(r_name, ' ', 1) AS genus FROM ln),
-g0 AS (SELECT jf.*, na.genus, least(1.0, round(u_breadth * 1.2, 6)) AS probability FROM jf JOIN na USING (taxid)),
+jr AS (SELECT *, CASE WHEN u_xny <> 0 THEN s_xny / u_xny ELSE 0 END AS xny_ratio, CASE WHEN u_breadth <> 0 THEN s_breadth / u_breadth ELSE 0 END AS breadth_ratio, s_ani - u_ani AS ani_delta FROM jf),
+g0 AS (SELECT jr.*, na.genus, round(<probability>, 6) AS probability FROM jr JOIN na USING (taxid)),
 g1 AS (SELECT *, u_xny >= 10 AND u_ani >= 0.95 AND u_min_af >= 0.05 AS base, probability >= 0.35 AS gate, s_xny >= 50 AND s_ani >= 0.95 AND s_min_af >= 0.05 AND s_breadth >= 0.05 AS strict,
   s_xny * greatest(s_breadth, 1e-6) * greatest(s_ani, 0) * greatest(probability, 0.01) AS score FROM g0),
 sc AS (SELECT coalesce(sum(s_normalized_depth) FILTER (WHERE base), 0) AS bm, coalesce(sum(s_normalized_depth) FILTER (WHERE gate AND NOT base), 0) AS em, count(*) FILTER (WHERE base) AS nb, count(*) FILTER (WHERE gate) AS ng, coalesce(median(u_min_af) FILTER (WHERE base), 0) AS uaf FROM g1),
@@ -684,14 +726,23 @@ g3 AS (SELECT *, CASE WHEN mr < 0.005 THEN CASE WHEN uaf < 0.45 AND bool_or(lowx
 g4 AS (SELECT *, CASE mode WHEN 'base' THEN base WHEN 'base_low_extra_split_rescue' THEN base OR lowx WHEN 'rescue' THEN base OR rescue WHEN 'strict_plain' THEN base OR (strict AND u_xny >= 50 AND u_ani >= 0.93) WHEN 'probability' THEN gate ELSE probability >= 0.25 END AS adaptive,
   mode = 'probability_high_extra_low_uaf_tail025' AND probability >= 0.25 AND NOT (base OR rescue) AS tail_added FROM g3),
 g5 AS (SELECT *, s_xny >= 300 AND s_ani >= 0.948 AND s_ani < 0.9505 AND s_min_af >= 0.05 AND s_breadth >= 0.2 AND s_hit_mean_depth >= 1.4 AND probability >= 0.2 AND u_ani >= 0.92 AND NOT adaptive AS nm FROM g4),
-gt AS (SELECT *, adaptive OR (nm AND row_number() OVER (PARTITION BY genus, nm ORDER BY probability * s_xny * greatest(s_breadth, 1e-6) * greatest(s_hit_mean_depth, 1) DESC, taxid) <= 1) AS called FROM g5)"""
+gt AS (SELECT *, adaptive OR (nm AND row_number() OVER (PARTITION BY genus, nm ORDER BY probability * s_xny * greatest(s_breadth, 1e-6) * greatest(s_hit_mean_depth, 1) DESC, taxid) <= 1) AS called FROM g5)""".replace("<probability>", M.probability_sql(M.bundled()))
+query("call_probability", W("SELECT taxid, probability FROM g0", _JOINED, _GATE))(lambda s, d: predicted(s, d).select("taxid", "probability"))
 _PANEL = "(CASE WHEN tail_added THEN s_mean_depth ELSE greatest(s_mean_depth / greatest(s_latent_af, 1e-6), u_mean_depth / greatest(u_latent_af, 1e-6)) END)"
+
+
+def filtered_calls(rows):
+    """The support filter with its cuts at the size of these sketches: the calls' mean of unique contexts."""
+    least = rows.where("called").agg(F.coalesce(F.avg("u_xny"), F.lit(0.0)).alias("m")).first()["m"]
+    return C.adaptive_filter(rows, median=25.0, least=least).select("taxid", "called")
+
+
 query("adaptive_gate", W("SELECT taxid, genus, mode, tail_added, called FROM gt", _JOINED, _GATE))(lambda s, d: gated(s, d).select("taxid", "genus", "mode", "tail_added", "called"))
 query("panel_abundance", W(f"SELECT taxid, round({_PANEL}, 6) AS raw, round(CASE WHEN s_hit_mean_depth > 0 THEN s_hit_mean_depth ELSE {_PANEL} END, 6) AS exact FROM gt", _JOINED, _GATE))(
     lambda s, d: gated(s, d).select("taxid", F.round(C.panel_abundance(), 6).alias("raw"), F.round(C.exact_hit_abundance(C.panel_abundance()), 6).alias("exact"))
 )
-query("adaptive_call_filter", W("SELECT taxid, called AND (md < 253 OR CASE WHEN s_xny > 0 AND u_xny > 0 THEN least(s_xny, u_xny) ELSE greatest(s_xny, u_xny) END >= 25) AS called FROM gt, (SELECT coalesce(median(greatest(s_xny, u_xny)) FILTER (WHERE called), 0) AS md FROM gt)", _JOINED, _GATE))(
-    lambda s, d: C.adaptive_filter(gated(s, d)).select("taxid", "called")
+query("adaptive_call_filter", W("SELECT taxid, called AND (md < 25 OR CASE WHEN s_xny > 0 AND u_xny > 0 THEN least(s_xny, u_xny) ELSE greatest(s_xny, u_xny) END >= mu) AS called FROM gt, (SELECT coalesce(median(greatest(s_xny, u_xny)) FILTER (WHERE called), 0) AS md, coalesce(avg(u_xny) FILTER (WHERE called), 0) AS mu FROM gt)", _JOINED, _GATE))(
+    lambda s, d: filtered_calls(checkpoint(gated(s, d)))
 )
 query(
     "ani_floor", W(f"SELECT taxid, round(CASE WHEN called AND {_PANEL} > 0 AND (CASE WHEN s_latent_ani <= 0 AND u_latent_ani > 0 THEN u_latent_ani ELSE s_latent_ani END) < 0.985 THEN 0 ELSE greatest({_PANEL}, 0) END, 6) AS raw FROM gt", _JOINED, _GATE)
@@ -802,10 +853,10 @@ query(
 query(
     "candidate_rescue_split",
     W(
-        "SELECT taxid, k AND row_number() OVER (PARTITION BY genus, k ORDER BY greatest(s_mean_depth, 0) * greatest(s_breadth, 1e-6) * greatest(s_ani, 0) * greatest(s_xny, 1) DESC, taxid) <= 1 AS rescued FROM (SELECT *, NOT called AND probability >= 0.02 AND s_xny >= 300 AND s_ani >= 0.95 AND s_min_af >= 0.6 AND s_breadth >= 0.25 AND s_mean_depth >= 1 AS k FROM gt)",
+        "SELECT taxid, k AND row_number() OVER (PARTITION BY genus, k ORDER BY greatest(s_mean_depth, 0) * greatest(s_breadth, 1e-6) * greatest(s_ani, 0) * greatest(s_xny, 1) DESC, taxid) <= 1 AS rescued FROM (SELECT *, NOT called AND probability >= 0 AND s_xny >= 30 AND s_ani >= 0.9 AND s_min_af >= 0.6 AND s_breadth >= 0.25 AND s_mean_depth >= 1 AS k FROM gt)",
         _JOINED, _GATE,
     ),
-)(lambda s, d: C.candidate_rescue(gated(s, d), "split").select("taxid", "rescued"))
+)(lambda s, d: C.candidate_rescue(gated(s, d), "split", cuts={"probability": 0.0, "s_xny": 30.0, "s_ani": 0.9}).select("taxid", "rescued"))
 query(
     "guarded_allocator",
     W(

@@ -9,6 +9,7 @@ from sketchlake.functions import distance as D
 from sketchlake.functions import latent as L
 from sketchlake.functions import trees
 from sketchlake.operators import calibrate as C
+from sketchlake.operators import call_model as M
 from sketchlake.operators import clusters as G
 from sketchlake.operators import detail as I
 from sketchlake.operators import evidence as E
@@ -34,11 +35,21 @@ ENSEMBLE = {
 _CAL = "least(greatest(0.9 + CASE WHEN ani <= 0.97 THEN CASE WHEN af_ref <= 0.3 THEN -0.02 ELSE 0.01 END WHEN n_diff_obj / xny <= 0.5 THEN 0.08 ELSE 0.06 END + CASE WHEN af_ref < 0.2 THEN -0.03 ELSE 0.005 END, 0), 1)"
 
 
+def related(s, d):
+    """Suppliers as samples that hand on a share of their lines to the next one, none to nine in ten by the number, one in seven with another object."""
+    c = F.col
+    lines = Q._t(s, d, "lineitem").select(c("l_suppkey").cast("long").alias("gid"), "l_orderkey", c("l_partkey"), c("l_quantity").cast("int").alias("obj"))
+    handed = lines.where(F.pmod(31 * c("l_orderkey") + c("gid"), F.lit(10)) < F.pmod("gid", F.lit(10)))
+    handed = handed.select((c("gid") + 1).alias("gid"), "l_orderkey", "l_partkey", F.when(F.pmod("l_orderkey", F.lit(7)) == 0, c("obj").bitwiseXOR(F.lit(1))).otherwise(c("obj")).alias("obj"))
+    return K.entries(lines.union(handed), "gid", "l_partkey", "obj")
+
+
 def with_density(s, d):
-    """Pairs with both fractions by density, and whether the query counts as nearly complete (every second one here)."""
-    den = K.context_densities(Q.raw(s, d), SIZE)
+    """Pairs of related samples with both fractions by density, and whether the query counts as nearly complete (every second one, as the tables have no assemblies)."""
+    raw = checkpoint(related(s, d))
+    k, den = K.build(raw, SIZE), K.context_densities(raw, SIZE)
     q, r = (den.select(F.col("gid").alias(n), F.col("threshold").alias(f"t_{n}"), F.col("estimate_post").alias(f"e_{n}")) for n in ("qry", "ref"))
-    j = Q.pf(s, d).join(q, "qry").join(r, "ref")
+    j = P.features(P.matches(k, k, triangle=True), P.context_counts(k)).join(q, "qry").join(r, "ref")
     real = {"real_af_qry": r9(D.density_fraction(F.col("xny"), F.col("t_qry"), F.col("t_ref"), F.col("e_qry"), 44)), "real_af_ref": r9(D.density_fraction(F.col("xny"), F.col("t_ref"), F.col("t_qry"), F.col("e_ref"), 44))}
     return j.withColumns(real).withColumn("qry_complete", F.col("qry") % 2 == 0).drop("t_qry", "t_ref", "e_qry", "e_ref")
 
@@ -53,6 +64,14 @@ def identity_report(choice):
     return run
 
 
+_REL = "rel AS (SELECT gid, hctx, obj FROM rows0 UNION ALL SELECT gid + 1, hctx, CASE WHEN unit % 7 = 0 THEN xor(obj, 1) ELSE obj END FROM rows0 WHERE (31 * unit + gid) % 10 < gid % 10),\nent AS (SELECT gid, hctx, obj, count(*) AS cnt FROM rel"
+
+
+def WR(body, *more):
+    """The SQL over related samples."""
+    return W(body, *more).replace("ent AS (SELECT gid, hctx, obj, count(*) AS cnt FROM rows0", _REL)
+
+
 _PAIRS = [Q._PF, Q._DENS, f"de AS (SELECT gid, threshold, {Q._EST.format(o='observed_post')} AS est FROM dens)", f"i0 AS (SELECT pf.*, {Q._DAF.format(e='a')} AS rq, {Q._DAF.format(e='b')} AS rr FROM pf JOIN de a ON a.gid = qry JOIN de b ON b.gid = ref)"]
 _I1 = f"i1 AS (SELECT *, greatest(rq, rr) >= 0.5 AS ok, CASE WHEN greatest(rq, rr) >= 0.5 THEN {Q._MOE} ELSE 1 END AS moe, CASE WHEN greatest(rq, rr) >= 0.5 THEN {Q._NAIVE} ELSE 1 END AS naive, {Q._MASH} AS mash, {Q._AAF} AS aaf FROM i0)"
 _J = "((n) / (xny / rq + xny / rr - (n)))"
@@ -70,7 +89,7 @@ def _detail_sql(distance: str, confidence: str, name: str) -> str:
     body = f"""SELECT qry AS "Qry", ref AS "Ref", round(1 - dist, 5) AS "ANI", round(dist, 5) AS "Distance", conf AS "Confidence", name AS "Selected_metric", xny AS "XnY_ctx", round(af_qry, 5) AS "Qry_align_fraction", {af("x_ctx")} AS "blastn_Qry_align_fraction",
   round(af_ref, 5) AS "Ref_align_fraction", {af("y_ctx")} AS "blastn_Ref_align_fraction", n_diff_obj AS "N_diff_obj", n_diff_section AS "N_diff_obj_section", n_mut2 AS "N_mut2_ctx", coalesce(s_name, 'NA') AS "Ref_annotation",
   round(rq, 5) AS "Real_Qry_align_fraction", round(rr, 5) AS "Real_Ref_align_fraction", round(least(rq, rr), 5) AS "Real_min_align_fraction", 'density' AS "AF_source" FROM (SELECT *, {distance} AS dist, {confidence} AS conf, {name} AS name FROM i3) LEFT JOIN supplier ON s_suppkey = ref"""
-    return W(body, *_PAIRS, _I1, _I2, _I3)
+    return WR(body, *_PAIRS, _I1, _I2, _I3)
 
 
 _OPEN = "(best > 0 AND best <= 1)"
@@ -83,7 +102,8 @@ query("identity_report_if_far", _detail_sql("CASE WHEN ok THEN moe ELSE mash END
 
 
 def sparse_report(s, d):
-    pairs = Q.pf(s, d).withColumn("distance", P.metric_columns(SIZE)["mash"]).where((F.col("distance") < Q.CUT) & (F.col("xny") >= 3))
+    pairs = checkpoint(Q.pf(s, d)).withColumn("distance", P.metric_columns(SIZE)["mash"])
+    pairs = pairs.where((F.col("distance") < Q.edge_cut(pairs, F.col("distance"))) & (F.col("xny") >= 3))
     out = I.edge_rows(pairs, "mash")
     return out.select([F.round(c, 7).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
@@ -92,18 +112,19 @@ query(
     "sparse_edge_report",
     W(
         f"""SELECT qry AS "Qry", ref AS "Ref", round(dist, 7) AS "Distance", round(1 - dist, 7) AS "Similarity", 'mash' AS "Metric", xny AS "XnY_ctx", round(af_qry, 7) AS "Qry_align_fraction", round(af_ref, 7) AS "Ref_align_fraction", round(greatest(af_qry, af_ref), 7) AS "max_AF",
-  n_diff_obj AS "N_diff_obj", n_diff_section AS "N_diff_obj_section", n_mut2 AS "N_mut2_ctx" FROM (SELECT *, {Q._MASH} AS dist FROM pf) WHERE dist < {Q.CUT} AND xny >= 3""",
-        Q._PF,
+  n_diff_obj AS "N_diff_obj", n_diff_section AS "N_diff_obj_section", n_mut2 AS "N_mut2_ctx" FROM (SELECT *, {Q._MASH} AS dist FROM pf) WHERE dist < (SELECT cut FROM cu) AND xny >= 3""",
+        Q._PF, Q._CUT,
     ),
 )(sparse_report)
 
 
 def identity_cut(s, d):
-    rows = P.report(Q.pf(s, d), "mash", SIZE, af_cut=0.2, ctx_cut=3, ani_cut=0.965)
+    pairs = checkpoint(Q.pf(s, d))
+    rows = P.report(pairs, "mash", SIZE, af_cut=0.2, ctx_cut=3, ani_cut=1 - Q.edge_cut(pairs, P.metric_columns(SIZE)["mash"]))
     return rows.select("qry", "ref", "xny", F.round("ani", 7).alias("ani"))
 
 
-query("identity_cut_report", W(f"SELECT qry, ref, xny, round(1 - {Q._MASH}, 7) AS ani FROM pf WHERE 1 - {Q._MASH} >= 0.965 AND greatest(af_qry, af_ref) >= 0.2 AND xny >= 3", Q._PF))(identity_cut)
+query("identity_cut_report", W(f"SELECT qry, ref, xny, round(1 - {Q._MASH}, 7) AS ani FROM pf WHERE 1 - {Q._MASH} >= 1 - (SELECT cut FROM cu) AND greatest(af_qry, af_ref) >= 0.2 AND xny >= 3", Q._PF, Q._CUT))(identity_cut)
 query(
     "sampled_query_candidates",
     W(
@@ -322,15 +343,10 @@ def both_profiles(s, d):
     return [checkpoint(Q.calibrated_rows(s, d, mode, found, total).join(names, "gid")) for mode in ("best-diff-unique", "best-diff-split")]
 
 
-def predicted(s, d, profiles):
-    names = Q.lineages(s, d).select("taxid", F.concat_ws(" ", "r_name", "n_name").alias("name")).distinct()
-    return checkpoint(C.joined(*profiles)).join(names, "taxid").withColumn("probability", F.least(F.lit(1.0), F.round(F.col("u_breadth") * 1.2, 6)))
-
-
 def strategy(name):
     def run(s, d):
         profiles = both_profiles(s, d)
-        return Y.strategy(predicted(s, d, profiles), profiles[0], name).select("taxid", "called", "fallback", F.round("raw", 6).alias("raw"))
+        return Y.strategy(Q.predicted(s, d, checkpoint(C.joined(*profiles))), profiles[0], name).select("taxid", "called", "fallback", F.round("raw", 6).alias("raw"))
 
     return run
 
@@ -350,13 +366,13 @@ def surface(mode):
     def run(s, d):
         unique, split = both_profiles(s, d)
         called = unique.groupBy("species").agg(F.max("breadth").alias("b")).where("b >= 0.9").select("species")
-        out = Y.candidate_surface(unique, split, called, mode, with_mass=True)
+        out = Y.candidate_surface(unique, split, called, mode, with_mass=True, rules={"strict": (0.93, 30.0, 0.2, 0.0)})
         return out.select("species", "gid", "taxid", "profile", F.col("xny").cast("long").alias("xny"), F.round("mass", 7).alias("mass"))
 
     return run
 
 
-_RULES = {"current": "(ani >= 0.9 AND xny >= 100 AND breadth >= 0.01 AND min_af >= 0.7)", "strict": "(ani >= 0.93 AND xny >= 650 AND breadth >= 0.2)"}
+_RULES = {"current": "(ani >= 0.9 AND xny >= 100 AND breadth >= 0.01 AND min_af >= 0.7)", "strict": "(ani >= 0.93 AND xny >= 30 AND breadth >= 0.2)"}
 _RULES["either"] = f"({_RULES['current']} OR {_RULES['strict']})"
 for _mode, _rule in _RULES.items():
     query(
@@ -425,3 +441,26 @@ query("scope_filter", "SELECT s_suppkey::BIGINT AS gid FROM supplier JOIN nation
         Q._t(s, d, "nation").where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("taxid"), F.when(F.col("n_regionkey") == 0, "bacteria").when(F.col("n_regionkey") == 1, "archaea").otherwise("viruses").alias("scope")), "prokaryote",
     ).select("gid")
 )
+
+# --- learned calls ---------------------------------------------------------------------------------------------------
+
+
+def supplier_features(s, d):
+    """Joined features of every supplier as a species of its own, with ``label``: true where its nation's reads are altered in half or less, and for every second one where they are in one base."""
+    ref = checkpoint(Q.sk(s, d))
+    found, total = checkpoint(R.candidates(Q.reads(s, d), ref)), checkpoint(R.totals(ref))
+    profiles = [Q.calibrated_rows(s, d, mode, found, total).withColumn("taxid", F.col("gid").cast("string")) for mode in ("best-diff-unique", "best-diff-split")]
+    true = Q._t(s, d, "supplier").where("s_nationkey % 5 <= 1 or (s_nationkey % 5 = 2 and s_suppkey % 2 = 0)").select(F.col("s_suppkey").cast("string").alias("taxid"))
+    return checkpoint(M.training_rows(C.joined(*profiles), true))
+
+
+def held_out(s, d):
+    """What a model fitted to every other pair of suppliers says of the rest, by label and decile of probability."""
+    rows = supplier_features(s, d)
+    odd = F.floor(F.col("taxid").cast("long") / 2) % 2 == 1
+    model = M.fit(rows.where(~odd), "suppliers")
+    scored = rows.where(odd).withColumn("decile", F.least(F.floor(M.probability(model) * 10), F.lit(9)).cast("int"))
+    return scored.groupBy("decile", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
+
+
+query("call_model_holdout")(held_out)

@@ -30,13 +30,19 @@ def session(name: str = "sketchlake", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """The frame with its lineage cut, in the folder that spark.checkpoint.dir names (a temporary one where unset)."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: what spark.checkpoint.dir names, a temporary one where that is unset on one machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.getConf().get("spark.checkpoint.dir") and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(frame: DataFrame) -> DataFrame:
+    """The frame with its lineage cut, in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 

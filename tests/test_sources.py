@@ -2,7 +2,9 @@
 
 import bz2
 import gzip
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sketchlake.operators import readwise as R
@@ -76,3 +78,40 @@ def test_percentile_cutoff_by_hand(spark):
     rows = spark.createDataFrame([(0, i, 0, c) for i, c in enumerate([1, 1, 2, 3, 10])] + [(1, 0, 0, 1)], "gid long, hctx long, obj int, cnt long")
     assert {r["gid"]: r["cutoff"] for r in K.percentile_cutoffs(rows, 0.4).collect()} == {0: 3, 1: 1}
     assert {r["gid"]: r["cutoff"] for r in K.percentile_cutoffs(rows, 0.9, base=2, cap=4).collect()} == {0: 4, 1: 2}
+
+
+def fastq(seed, n, wrap=None, end="\n"):
+    """Records whose qualities often begin with @, + or >."""
+    dice = random.Random(seed)
+    out = []
+    for i in range(n):
+        k = dice.choice([0, 1, 5, 37, 90])
+        seq, qual = "".join(dice.choice("ACGTN") for _ in range(k)), "".join(dice.choice("@+>IJ") for _ in range(k))
+        cut = lambda s: end.join(s[j : j + wrap] for j in range(0, len(s), wrap)) if wrap and s else s
+        out.append(f"@r{i} note {i}{end}{cut(seq)}{end}+{dice.choice(['', f'r{i}'])}{end}{cut(qual)}{end}")
+    return "".join(out)
+
+
+@pytest.mark.parametrize("split", [7, 40, 333, 1 << 20])
+def test_ranges_of_plain_files_give_the_records_of_one_reader(spark, tmp_path, split):
+    (tmp_path / "a.fq").write_bytes(fastq(1, 60).encode())
+    (tmp_path / "b.fastq").write_bytes(fastq(2, 40, end="\r\n").encode())
+    (tmp_path / "c.fa").write_text("".join(f">s{i} x\n" + "\n".join("ACGT" * (i % 5 + 1) for _ in range(i % 4)) + "\n" for i in range(30)))
+    (tmp_path / "d.fa").write_text("")
+    (tmp_path / "e.fa").write_text(">one\n" + "ACGTACGT\n" * 200)
+    whole = []
+    for name in ("a.fq", "b.fastq", "c.fa", "d.fa", "e.fa"):
+        with open(tmp_path / name, newline="\n") as lines:
+            whole += [(name, i, *r) for i, r in enumerate(fastx.parse(lines))]
+    got = fastx.split_records(spark, str(tmp_path), split)
+    assert sorted((r.path.rpartition("/")[2], r.record_ord, r.name, r.comment, r.seq, r.qual or (None if r.qual is None else "")) for r in got.collect()) == sorted(whole)
+
+
+def test_a_large_plain_file_is_many_tasks(spark, tmp_path):
+    (tmp_path / "big.fq").write_bytes(fastq(3, 3000).encode())
+    rows = fastx.split_records(spark, str(tmp_path / "big.fq"), 20_000)
+    assert rows.count() == 3000 and rows.select("record_ord").distinct().count() == 3000
+    ranges = [len(list(fastx.range_records(str(tmp_path / "big.fq"), at, at + 20_000))) for at in range(0, (tmp_path / "big.fq").stat().st_size, 20_000)]
+    assert len(ranges) > 10 and min(ranges) > 20 and sum(ranges) == 3000
+    with pytest.raises(ValueError, match="compressed"):
+        fastx.split_records(spark, str(tmp_path / "x.fq.gz"))
