@@ -6,7 +6,8 @@ the tokens into groups; ranks by popcount say how many tokens of either side end
 marks the ends of all overlaps of two tokens: as an overlap is one run of bytes, every bit of it is one link, and the ranks at the bit name its
 two tokens.
 
-Texts are encoded once; ids are written to the shared folder. Links are counted by pair of ids
+Texts are encoded once, in chunks cut where neither tokenizer ever has a token across and whose ids are remembered (texts go whole
+for tokenizers that don't allow it); ids are written to the shared folder. Links are counted by pair of ids
 within each task, then summed. For the documents' own sums the most frequent pairs, at most COMMON, are
 broadcast with their counts; links of rarer pairs meet their counts in a join, where no pair is in more than a
 COMMON-th of all links.
@@ -14,7 +15,11 @@ COMMON-th of all links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import json
+import os
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,7 +33,7 @@ from sketchlake.llm.runtime import checkpoint, frequency_floor, lean, ship, stor
 
 _U = np.uint64
 #: Characters that are encoded together, and A tokens that are aligned together; a longer text goes alone.
-GROUP_CHARACTERS, GROUP_TOKENS = 1 << 20, 1 << 18
+GROUP_CHARACTERS, GROUP_TOKENS = 1 << 18, 1 << 17
 #: Pairs of ids that are broadcast, at most (17 bytes each), and distinct pairs that a task holds before it sends them on.
 COMMON, FLUSH = 1 << 21, 1 << 20
 
@@ -36,16 +41,19 @@ COMMON, FLUSH = 1 << 21, 1 << 20
 # --- tokenizers -------------------------------------------------------------------------------------------------
 
 
+#: Text from a space or line feed after another character up to the next such place; white space of other kinds doesn't part it.
+CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+#: Characters of chunks whose ids a task remembers, at most.
+REMEMBERED = 1 << 22
+
+
 @dataclass(frozen=True)
 class Side:
-    """A tokenizer with the bytes of its entries by id. ``lead``: it is given the space before the text; others add one themselves."""
+    """A tokenizer with the bytes of its entries by id. ``whole`` encodes texts with a space before; ``chunk`` encodes chunks, and is None unless that gives the same ids."""
 
-    encode: object
+    whole: Callable[[list[str]], list[list[int]]]
+    chunk: Callable[[list[str]], list[list[int]]] | None
     entries: tuple[bytes, ...]
-    lead: bool
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.encode([" " + t for t in texts] if self.lead else texts) if texts else []
 
 
 def _byte_characters() -> dict[str, int]:
@@ -55,17 +63,27 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=4)
-def load_side(path: str) -> Side:
-    """A byte-level .json of tokenizers or a .model of sentencepiece; special strings in texts are plain text."""
-    if path.endswith(".model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        entry = lambda i: bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
-        return Side(lambda texts: model.encode(texts, out_type=int, add_bos=False, add_eos=False, num_threads=1), tuple(entry(i) for i in range(model.vocab_size())), False)
-    import os
-
+def _piece_side(path: str) -> Side:
+    """sentencepiece adds the space. Pieces are merged by score alone, so no merge crosses a place that is inside no piece: chunks may
+    go alone if no piece holds a space or line feed after another character and the characters reach the pieces unchanged.
+    """
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    encode = lambda texts: model.encode(texts, out_type=int, add_bos=False, add_eos=False, num_threads=1)
+    names = [model.id_to_piece(i) for i in range(model.vocab_size())]
+    entries = tuple(bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names))
+    white = lambda c: c == "▁" or c.isspace()
+    parted = all(not (x[i] in "▁\n" and not white(x[i - 1])) for x in names for i in range(1, len(x)))
+    odd = "ﬁ½Å e\u0301  \u3000①"
+    kept = b"".join(entries[i] for i in encode([odd])[0]) == (" " + odd).encode()
+    lead = encode(["a"])[0]  # stands before a chunk, as the space would else be added to it
+    alone = parted and kept and len(lead) == 1
+    return Side(lambda texts: encode(texts), (lambda texts: [x[1:] for x in encode(["a" + t for t in texts])]) if alone else None, entries)
+
+
+def _byte_level_side(path: str) -> Side:
+    """tokenizers is given the space. The byte-level pattern begins a pre-token at every white space after another character and looks at nothing before it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -78,27 +96,116 @@ def load_side(path: str) -> Side:
     entries = [b""] * (max(vocabulary.values()) + 1)
     for name, i in vocabulary.items():
         entries[i] = bytes(of[c] for c in name) if all(c in of for c in name) else name.encode()
-    return Side(lambda texts: [x.ids for x in found.encode_batch_fast(texts, add_special_tokens=False)], tuple(entries), True)
+    encode = lambda texts: [x.ids for x in found.encode_batch_fast(texts, add_special_tokens=False)]
+    made = json.loads(found.to_str())
+    cut = made["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not made["normalizer"] and all(t["special"] for t in made["added_tokens"])
+    return Side(lambda texts: encode([" " + t for t in texts]), encode if plain else None, tuple(entries))
+
+
+@lru_cache(maxsize=4)
+def load_side(path: str) -> Side:
+    """A byte-level .json of tokenizers or a .model of sentencepiece; special strings in texts are plain text."""
+    return _piece_side(path) if path.endswith(".model") else _byte_level_side(path)
+
+
+def _id_type(side: Side) -> str:
+    return "<u2" if len(side.entries) <= 1 << 16 else "<u4"
+
+
+class _Encoder:
+    """Ids of texts on both sides, chunk by chunk where both tokenizers allow it; ids of chunks met before are remembered."""
+
+    def __init__(self, sides: list[Side]):
+        self.sides, self.by_chunk = sides, all(s.chunk for s in sides)
+        self.bytes = [np.array([len(x) for x in s.entries], np.int64) for s in sides]
+        self.forget()
+
+    def forget(self) -> None:
+        self.code: dict[str, int] = {}
+        self.size, self.kept = 0, np.zeros(0, bool)
+        self.ids, self.start = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2
+
+    def _joined(self, side: int, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of chunks that don't end in white space, and how many each has: encoded as one text, in which their ends are ends of tokens. None if bytes are lost."""
+        text = "".join(chunks)
+        found = self.sides[side].chunk([text])[0] if chunks else []
+        if b"".join([self.sides[side].entries[i] for i in found]) != text.encode():
+            return None
+        ids = np.array(found, np.int64)
+        size = list(map(len, chunks)) if text.isascii() else [len(c.encode()) for c in chunks]
+        return ids, np.diff(np.searchsorted(np.cumsum(self.bytes[side][ids]), np.cumsum(size)) + 1, prepend=0)
+
+    def _apart(self, side: int, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their number of chunks encoded one by one, and whether each keeps its bytes."""
+        found = self.sides[side].chunk(chunks) if chunks else []
+        same = [b"".join([self.sides[side].entries[i] for i in own]) == c.encode() for c, own in zip(chunks, found, strict=True)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64), np.array(list(map(len, found)), np.int64), np.array(same, bool)
+
+    def codes(self, chunks: list[str]) -> np.ndarray:
+        known, distinct = self.code, dict.fromkeys(chunks)
+        new = [c for c in distinct if c not in known]
+        if new and self.size + sum(map(len, new)) > REMEMBERED:
+            self.forget()
+            new = list(distinct)
+        if new:
+            closed, open_ = [c for c in new if not c[-1].isspace()], [c for c in new if c[-1].isspace()]
+            joined = [self._joined(i, closed) for i in range(2)]
+            if None in joined:
+                closed, open_, joined = [], new, [self._joined(i, []) for i in range(2)]
+            alone = [self._apart(i, open_) for i in range(2)]
+            for i in range(2):
+                self.ids[i] = np.concatenate((self.ids[i], joined[i][0].astype(np.int32), alone[i][0].astype(np.int32)))
+                self.start[i] = np.concatenate((self.start[i], self.start[i][-1] + np.cumsum(np.concatenate((joined[i][1], alone[i][1])))))
+            self.kept = np.concatenate((self.kept, np.ones(len(closed), bool), alone[0][2] & alone[1][2]))
+            self.code.update(zip([*closed, *open_], range(len(self.code), len(self.code) + len(new)), strict=True))
+            self.size += sum(map(len, new))
+        return np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
+
+    def packed(self, texts: list[str]) -> list[pa.Array]:
+        """Each text's ids on each side, as bytes (``_id_type``); empty for texts that are empty or that a side doesn't keep byte by byte."""
+        out = []
+        for (ids, edge), side in zip(self.ids_of(texts) if self.by_chunk else self._whole(texts), self.sides, strict=True):
+            data = ids.astype(_id_type(side))
+            out.append(pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((edge * data.itemsize).astype(np.int32)), pa.py_buffer(data)]))
+        return out
+
+    def ids_of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of all texts on each side, and where each text's begin."""
+        parts = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        edge = np.concatenate(([0], np.cumsum(list(map(len, parts)), dtype=np.int64)))
+        code = self.codes(list(itertools.chain.from_iterable(parts)))
+        lost = np.diff(np.concatenate(([0], np.cumsum(~self.kept[code])))[edge]) > 0
+        code = code[~np.repeat(lost, np.diff(edge))]
+        edge = np.concatenate(([0], np.cumsum(np.where(lost, 0, np.diff(edge)))))
+        out = []
+        for ids, start in zip(self.ids, self.start, strict=True):
+            n = np.diff(start)[code]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            out.append((ids[np.repeat(start[:-1][code] - upto[:-1], n) + np.arange(upto[-1])], upto[edge]))
+        return out
+
+    def _whole(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        full = [i for i, x in enumerate(texts) if x]
+        found = [[()] * len(texts) for _ in self.sides]
+        for i, *ids in zip(full, *(side.whole([texts[i] for i in full]) if full else [] for side in self.sides), strict=True):
+            text = (" " + texts[i]).encode()
+            if all(b"".join([side.entries[x] for x in own]) == text for side, own in zip(self.sides, ids, strict=True)):
+                for out, own in zip(found, ids, strict=True):
+                    out[i] = own
+        return [(np.fromiter(itertools.chain.from_iterable(x), np.int64), np.concatenate(([0], np.cumsum(list(map(len, x)), dtype=np.int64)))) for x in found]
 
 
 def _encode(path_a: str, path_b: str, characters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = [load_side(p) for p in (path_a, path_b)]
+        encoder = _Encoder([load_side(p) for p in (path_a, path_b)])
         for batch in batches:
             sizes = np.cumsum(batch.column("size").to_numpy())
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + characters, "right")))
                 part = batch.slice(lo, hi - lo)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                full = [i for i, x in enumerate(texts) if x]
-                found = [[()] * len(texts) for _ in sides]
-                for i, *ids in zip(full, *(side.ids([texts[i] for i in full]) for side in sides), strict=True):
-                    whole = (" " + texts[i]).encode()
-                    if all(b"".join([side.entries[x] for x in own]) == whole for side, own in zip(sides, ids, strict=True)):
-                        for out, own in zip(found, ids, strict=True):
-                            out[i] = own
-                yield pa.RecordBatch.from_arrays([part.column("row"), *[pa.array(x, pa.list_(pa.int32())) for x in found]], ["row", "a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), *encoder.packed([x or "" for x in part.column("text").to_pylist()])], ["row", "a", "b"])
                 lo = hi
 
     return run
@@ -172,11 +279,16 @@ def written(found: Aligned, a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) ->
     return ["".join(out[x:y].tolist())[:-1] for x, y in zip(at, at[1:], strict=False)]
 
 
-def _parts(batch: pa.RecordBatch, tokens: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+def _parts(batch: pa.RecordBatch, types: list[str], tokens: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Rows lo to hi of a batch with a, b and where each row's ids begin, by groups of bounded size."""
-    lists = [batch.column(c) for c in ("a", "b")]
-    where = [x.offsets.to_numpy().astype(np.int64) for x in lists]
-    values = [x.values.to_numpy() for x in lists]
+    values, where = [], []
+    for name, kind in zip(("a", "b"), types, strict=True):
+        column = batch.column(name)
+        wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        _, offsets, data = column.buffers()
+        width = np.dtype(kind).itemsize
+        where.append(np.frombuffer(offsets, wide, len(column) + 1, column.offset * np.dtype(wide).itemsize).astype(np.int64) // width)
+        values.append(np.frombuffer(data, kind, data.size // width) if data is not None else np.zeros(0, kind))
     lo = 0
     while lo < batch.num_rows:
         hi = max(lo + 1, int(np.searchsorted(where[0], where[0][lo] + tokens, "right")) - 1)
@@ -193,7 +305,7 @@ def _sizes(path: str) -> np.ndarray:
 
 def _count_links(path_a: str, path_b: str, tokens: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = [_sizes(p) for p in (path_a, path_b)]
+        sizes, types = [_sizes(p) for p in (path_a, path_b)], [_id_type(load_side(p)) for p in (path_a, path_b)]
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         held = merged = 0
 
@@ -209,7 +321,7 @@ def _count_links(path_a: str, path_b: str, tokens: int, most: int):
             return out
 
         for batch in batches:
-            for _, _, ids in _parts(batch, tokens):
+            for _, _, ids in _parts(batch, types, tokens):
                 found = align(*ids, *sizes)
                 own, n = np.unique(found.link_a << 32 | found.link_b, return_counts=True)
                 keys.append(own)
@@ -238,10 +350,10 @@ def link_counts(tokens: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
 def _describe(path_a: str, path_b: str, common, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = [_sizes(p) for p in (path_a, path_b)]
+        sizes, types = [_sizes(p) for p in (path_a, path_b)], [_id_type(load_side(p)) for p in (path_a, path_b)]
         known, count, best = common.value
         for batch in batches:
-            for lo, hi, ids in _parts(batch, tokens):
+            for lo, hi, ids in _parts(batch, types, tokens):
                 found = align(*ids, *sizes)
                 key = found.link_a << 32 | found.link_b
                 at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
@@ -260,10 +372,10 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _rare_links(path_a: str, path_b: str, common, tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = [_sizes(p) for p in (path_a, path_b)]
+        sizes, types = [_sizes(p) for p in (path_a, path_b)], [_id_type(load_side(p)) for p in (path_a, path_b)]
         known = common.value[0]
         for batch in batches:
-            for lo, hi, ids in _parts(batch, tokens):
+            for lo, hi, ids in _parts(batch, types, tokens):
                 found = align(*ids, *sizes)
                 key = found.link_a << 32 | found.link_b
                 at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
@@ -276,7 +388,7 @@ def _rare_links(path_a: str, path_b: str, common, tokens: int):
 
 
 def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """``place`` (a number of the row), ``row`` (the document's columns but the text) and the ids ``a`` and ``b``, written once.
+    """``place`` (a number of the row), ``row`` (the document's columns but the text) and the ids ``a`` and ``b`` as bytes, written once.
 
     A text that is null, empty, or whose joined tokens of either side differ from a space and the text has no ids.
     """
@@ -284,8 +396,7 @@ def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     others = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*others).alias("row") if others else F.struct(F.lit(0).alias("none")).alias("row"), text.alias("text"), F.length(text).cast("long").alias("size"))
-    lists = T.ArrayType(T.IntegerType())
-    found = packed.mapInArrow(lean(_encode(path_a, path_b, GROUP_CHARACTERS)), T.StructType().add("row", packed.schema["row"].dataType).add("a", lists).add("b", lists))
+    found = packed.mapInArrow(lean(_encode(path_a, path_b, GROUP_CHARACTERS)), T.StructType().add("row", packed.schema["row"].dataType).add("a", "binary").add("b", "binary"))
     return store(found.withColumn("place", F.monotonically_increasing_id()))
 
 

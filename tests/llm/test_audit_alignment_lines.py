@@ -114,7 +114,7 @@ def brute_alignment(texts, sides):
     """Tokens as byte ranges, compared pair by pair."""
     docs = []
     for t in texts:
-        ids = [side.ids([t])[0] if t else [] for side in sides]
+        ids = [side.whole([t])[0] if t else [] for side in sides]
         whole = (" " + (t or "")).encode()
         if not t or any(b"".join(s.entries[x] for x in own) != whole for s, own in zip(sides, ids, strict=True)):
             ids = [[], []]
@@ -157,6 +157,20 @@ def test_alignment_of_repeated_rows_and_no_rows(spark):
     assert align_tokenizers(frame(spark, []), *paths).count() == 0
 
 
+def test_chunks_have_the_ids_of_whole_texts():
+    """Also around carriage returns, tabs, wide spaces and runs of white space, where pieces of the one or the other may lie across."""
+    import pyarrow.parquet as pq
+
+    sides = [load_side(vocabulary(x)) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    assert all(s.chunk for s in sides)
+    dice = random.Random(4)
+    alphabet = ["a", "be", ");", "}", " ", "  ", "\n", "\r", "\r\n", "\t", "\x85", "\u3000", "\x1c", "é", "'s", "12", "▁", "<s>", "文", "\u200b", "e\u0301", "<|endoftext|>"]
+    texts = ["".join(dice.choice(alphabet) for _ in range(dice.randint(1, 40))) for _ in range(3000)] + [t for t in corpus() if t]
+    texts += [t for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() if t]
+    encoder = alignment._Encoder(sides)
+    assert [[x.tolist() for x in side] for side in encoder.ids_of(texts)] == [[x.tolist() for x in side] for side in encoder._whole(texts)]
+
+
 def test_ranks_and_places_of_bits():
     dice = np.random.default_rng(2)
     for n in (1, 63, 64, 65, 1000):
