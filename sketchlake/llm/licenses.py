@@ -8,7 +8,7 @@ sentences that only talk about licences or deny one. Its temperature is set on h
 statements, and so is the threshold of the unknown class: the lowest at which at most
 FALSE_KNOWN of the held-out statements without a licence pass. A prediction must be
 confirmed by a template of the family whose 2-grams the statement contains to at least
-``contained``.
+``contained``. Held-out statements state licences in other phrases than the training's.
 
 Only statements with one of a few strings are classified. Every template needs one: the
 strings are chosen such that the 2-grams of it without any of them are fewer than
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from sketchlake.llm.runtime import checkpoint, store
 
 UNKNOWN = "unknown"
-TRAINING_ROWS, ROUNDS, PENALTY, MIN_WEIGHT, FALSE_KNOWN = 2400, 200, 3e-4, 1e-3, 0.005
+TRAINING_ROWS, ROUNDS, PENALTY, MIN_WEIGHT, FALSE_KNOWN = 4800, 200, 3e-4, 1e-3, 0.005
 #: Copies of the table of classified statements, so that one that very many documents have is many keys.
 SALTS = 16
 _WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*\+?"
 #: Strings that mark statements about licences; spaces stand for any white space. What templates need beyond is added by rule.
-NEEDED = ("licen", "spdx", "copyright", "permission", "public domain", "creative commons", "cc0", "cc by")
+NEEDED = ("licen", "spdx", "copyright", "permission", "public domain", "creative commons", "cc0", "cc by", "gpl", "lizen")
 
 #: Customary notices and the distinctive sentences of the licences, lower-case.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -70,6 +70,17 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "ISC": ("licensed under the isc license", "spdx-license-identifier isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     "Unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense", "spdx-license-identifier unlicense"),
 }
+#: Short names, as identifiers, badges and single lines give them.
+SHORT: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("apache-2.0",), "MIT": ("mit",), "GPL-3.0": ("gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "gplv3", "gpl v3", "gnu gplv3"), "GPL-2.0": ("gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gplv2", "gpl v2", "gnu gplv2"),
+    "LGPL-3.0": ("lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later", "lgplv3", "lgpl v3"), "AGPL-3.0": ("agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "agplv3", "agpl v3"), "BSD-3-Clause": ("bsd-3-clause",), "BSD-2-Clause": ("bsd-2-clause",), "MPL-2.0": ("mpl-2.0",),
+    "CC-BY-4.0": ("cc-by-4.0",), "CC-BY-SA-4.0": ("cc-by-sa-4.0",), "CC-BY-NC-4.0": ("cc-by-nc-4.0",), "CC-BY-ND-4.0": ("cc-by-nd-4.0",), "CC0-1.0": ("cc0-1.0",), "ISC": ("isc",), "Unlicense": ("unlicense",),
+}
+_SHORT_STATED = ("spdx-license-identifier {}", "license {}", "licence {}", "licensed under {}", "licensed under the {}", "released under {}", "released under the {}", "distributed under {}", "lizenz {}")
+#: Other lines that state a licence by themselves.
+_LINES = {"Apache-2.0": ("apache license version 2.0",), "MIT": ("mit-lizenz",), "GPL-3.0": ("gpl-3.0",), "GPL-2.0": ("gpl-2.0",), "LGPL-3.0": ("lgpl-3.0",), "AGPL-3.0": ("agpl-3.0",)}
+TEMPLATES = {family: (*dict.fromkeys((*ts, *(p.format(n) for n in SHORT[family] for p in _SHORT_STATED), *_LINES.get(family, ()))),) for family, ts in TEMPLATES.items()}
+
 #: Other names of the licences, for training.
 NAMES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("apache license version 2.0", "apache 2.0 license", "apache license 2.0", "apache software license 2.0", "apache license v2.0"),
@@ -101,24 +112,36 @@ def grams(text: str) -> set[str]:
 
 
 def pairs(text: str) -> set[str]:
-    return {g for g in grams(text) if " " in g}
+    """The pairs of neighbouring words, or the word if it is the only one."""
+    return {g for g in grams(text) if " " in g} or grams(text)
+
+
+def _third(phrases: tuple[str, ...], held_out: bool) -> tuple[str, ...]:
+    """Every third phrase for calibration, the others for training."""
+    return tuple(p for i, p in enumerate(phrases) if (i % 3 == 2) == held_out)
 
 
-def statements(n: int, seed: int) -> list[tuple[str, str]]:
-    """Labelled statements: phrases that state, deny or talk of a licence, and pieces of the licences' sentences, among other words."""
+def statements(n: int, seed: int, held_out: bool = False) -> list[tuple[str, str]]:
+    """Labelled statements: phrases that state, deny or talk of a licence, and pieces of the licences' sentences, among other words.
+
+    Held-out ones state licences in other phrases than the rest.
+    """
     dice = random.Random(seed)
+    stated, short = (_third(p, held_out) for p in (_STATED, _SHORT_STATED))
     filler = lambda k: " ".join("".join(dice.choice("aeioustrnlmdc") for _ in range(dice.randint(1, 8))) for _ in range(dice.randint(0, k)))
     bodies = [(family, t.split()) for family, ts in TEMPLATES.items() for t in ts if len(t.split()) > 9]
     out = []
     for i in range(n):
         family = dice.choice(list(NAMES))
         if i % 4 == 0:
-            words = dice.choice(_STATED).format(dice.choice(NAMES[family])).split()
+            words = dice.choice(stated).format(dice.choice(NAMES[family])).split()
             if len(words) > 6 and dice.random() < 0.2:
                 words[dice.randint(0, 1)] = filler(1)
         elif i % 4 == 1:
-            if dice.random() < 0.25:  # identifiers
-                words = dice.choice([t for t in TEMPLATES[family] if t.startswith("spdx")] or [f"spdx-license-identifier {family.lower()}"]).split()
+            if dice.random() < 0.6:  # identifiers
+                words = dice.choice(short).format(dice.choice(SHORT[family])).split()
+            elif family in _LINES and dice.random() < 0.35:
+                words = dice.choice(_LINES[family]).split()
             else:
                 family, words = dice.choice(bodies)
                 keep = dice.randint(-(-7 * len(words) // 10), len(words))
@@ -162,7 +185,7 @@ def model() -> tuple[list[str], dict[str, np.ndarray], np.ndarray, float]:
         speed_w = 0.9 * speed_w - 2.0 * (x.T @ (p - truth) / len(y) + PENALTY * weight)
         speed_b = 0.9 * speed_b - 2.0 * (p - truth).mean(0)
         weight, bias = weight + speed_w, bias + speed_b
-    x, y = matrix(statements(TRAINING_ROWS // 2, 6))
+    x, y = matrix(statements(TRAINING_ROWS // 2, 6, held_out=True))
     z = (x @ weight + bias).astype(np.float64)
 
     def softmax(t: float) -> np.ndarray:
@@ -198,9 +221,17 @@ def _may(text: Column, strings: tuple[str, ...]) -> Column:
     return F.coalesce(text.rlike(f"(?i:{either})"), F.lit(False))
 
 
+#: What a statement says before a choice of short names, and the choice, at its end.
+_NAMED = r"\(*[\w.+-]+(?: [\w.+-]+){0,3}\)*"
+_CHOICE = rf"(?i)((?:(?:spdx-)?licen[sc]e-identifier:?|licen[sc]ed under(?: the)?|released under(?: the)?|licen[sc]e:)) ({_NAMED}(?: (?:or|and|with) {_NAMED})+)[.;*/ ]*$"
+
+
 def split_statements(text: Column) -> Column:
-    """Sentences, each with its white space made single spaces; a blank line ends one too."""
-    return F.transform(F.split(text, r"(?<=[.!?:;])\s+|\n[ \t\r]*\n\s*", -1), lambda s: F.regexp_replace(s, r"\s+", " "))
+    """Sentences, each with its white space made single spaces; a blank line ends one too, and the end of a line with an identifier. A choice of short names is a statement for each."""
+    parts = F.transform(F.split(text, r"(?<=[.!?;])\s+|\n[ \t\r]*\n\s*|(?<=(?i:licen[sc]e-identifier:)[^\n]{1,200})\n", -1), lambda s: F.regexp_replace(s, r"\s+", " "))
+    lead = lambda s: F.regexp_extract(s, _CHOICE, 1)
+    each = lambda s: F.split(F.regexp_replace(F.regexp_extract(s, _CHOICE, 2), "[()]", ""), r"(?i)\s+(?:or|and|with)\s+", -1)
+    return F.flatten(F.transform(parts, lambda s: F.when(s.rlike(_CHOICE), F.transform(each(s), lambda x: F.concat(lead(s), F.lit(" "), x))).otherwise(F.array(s))))
 
 
 def gram_array(statement: Column) -> Column:
