@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchlake.llm import kernels as K
-from sketchlake.llm.runtime import checkpoint, lean, ship, shuffle_width, store
+from sketchlake.llm.runtime import checkpoint, lean, shared_folder, ship, shuffle_width
 from sketchlake.llm.tokens import load
 
 #: Words and ids that a process keeps; beyond, it begins anew.
@@ -172,7 +173,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
-_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -189,7 +190,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
                     ids = found.tobytes() + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<i4"))[: len(schema)])
+                        rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), own)[: len(schema)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -199,9 +200,9 @@ _COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``): every document's ids with ``end_id`` last, in pieces of up to ``capacity``."""
+    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``, as little-endian unsigned 32-bit numbers): every document's ids with ``end_id`` last, in pieces of up to ``capacity``."""
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_cut(path, capacity, end_id, with_ids)), _COLUMNS + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_cut(path, capacity, end_id, with_ids)), _COLUMNS + (", ids binary" if with_ids else ""))
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -301,19 +302,40 @@ def _place(places):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``; ``with_ids`` adds the piece's ``ids``.
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of ids as lists, a few rows at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            lists = [np.frombuffer(x, "<i4") for x in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())) if n == "ids" else part.column(n) for n in batch.schema.names], batch.schema.names)
+
+
+def _bucketed(pieces: DataFrame, buckets: int) -> DataFrame:
+    """Pieces with a number of their own, ``place``, in a table of the shared folder, bucketed by it: each task deals its rows to the buckets' files, nothing is shuffled."""
+    spark = pieces.sparkSession
+    name = f"pieces_{uuid.uuid4().hex}"
+    numbered = pieces.withColumn("place", F.monotonically_increasing_id())
+    numbered.write.bucketBy(buckets, "place").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, id_bytes: bool = False) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``; ``with_ids`` adds the piece's ``ids``, ``id_bytes`` those as little-endian unsigned 32-bit numbers.
 
     Only documents longer than ``capacity`` are cut, into full pieces and a
     rest. A null or empty text is its end id alone. Equal texts and repeated
     rows are packed each; ties of length go by a hash of the id. An empty table
     gives no rows. Other columns are ignored. Ranks within a length are counted
     over hashed sub-ranges, so that one length, however common, is spread over
-    many tasks.
+    many tasks. Ids stay in the bucketed table they are written to; what is ranked and shuffled are narrow rows, which meet their ids
+    at the end, by buckets.
     """
     spark = docs.sparkSession
-    pieces = cut_documents(docs, path, capacity, end_id, with_ids)
-    pieces = store(pieces) if with_ids else checkpoint(pieces)
+    held = with_ids or id_bytes
+    pieces = cut_documents(docs, path, capacity, end_id, held)
+    stored = _bucketed(pieces, max(shuffle_width(spark), spark.sparkContext.defaultParallelism)) if held else None
+    pieces = stored.drop("ids") if held else checkpoint(pieces)
     own = pieces.columns
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most one row per length
     places = spark.sparkContext.broadcast(Places.of(plan_bins(counts, capacity), capacity))
@@ -321,6 +343,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
     before = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = before.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = pieces.withColumn("within", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")) - 1).join(before, ["length", "part"])
+    ranked = pieces.withColumn("within", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", *(["place"] if held else []))) - 1).join(before, ["length", "part"])
     ranked = ranked.select(*own, (F.col("before") + F.col("within")).alias("rank"))
-    return ranked.mapInArrow(_place(places), _COLUMNS + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long")
+    placed = ranked.mapInArrow(_place(places), _COLUMNS + (", place long" if held else "") + ", sequence_id long, offset long")
+    if not held:
+        return placed
+    # the narrow side is hashed in each bucket, so that rows with ids are neither shuffled nor sorted
+    whole = stored.select("place", "ids").join(placed.hint("shuffle_hash"), "place").select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
+    return whole if id_bytes else whole.mapInArrow(lean(_unpacked), _COLUMNS + ", ids array<int>, sequence_id long, offset long")
