@@ -50,11 +50,8 @@ def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences; a null text is an end id alone.
-
-    The ids stay out (pack(..., with_ids=True) adds them): carried through the ranking, they take more than the check tool's executors have.
-    """
-    return pack(docs, vocabulary("word_bpe_49k.json"))
+    """Every document's pieces with their ids (little-endian unsigned 32-bit numbers) and places in sequences; a null text is an end id alone."""
+    return pack(docs, vocabulary("word_bpe_49k.json"), id_bytes=True)
 
 
 STAGES = [
