@@ -823,17 +823,12 @@ def qc(s, d):
 query("reads_qc_range")(qc)
 
 
-#: Labelled pairs that the ensemble is fitted to; the documented bound of a random sample.
-FIT_PAIRS = 5000
-
-
 def recalibrated(s, d):
+    """Boosted trees fitted by Spark to all pairs, whose label is another measure of the same pairs, the mixture model's."""
     from sketchlake.functions import trees
 
-    pairs = mixture(pf(s, d)).withColumn("ani", 1 - P.metric_columns(SIZE)["ctx-naive"])
-    # the label is another measure of the same pairs, the mixture model's; of FIT_PAIRS pairs drawn by hash
-    sample = pairs.orderBy(F.xxhash64("qry", "ref"), "qry", "ref").limit(FIT_PAIRS).toPandas()
-    model = trees.fit_trees(trees.features(sample), 1 - sample["distance"].to_numpy(), n_trees=20)
+    pairs = checkpoint(mixture(pf(s, d)).withColumn("ani", 1 - P.metric_columns(SIZE)["ctx-naive"]))
+    model = M.fit_regression(pairs.withColumn("label", 1 - F.col("distance")).withColumns(trees.feature_columns()), trees.FEATURES, "label", rounds=10)
     return trees.recalibrate(pairs, model).select("qry", "ref", F.round("calibrated_ani", 6).alias("calibrated_ani"), D.confidence(F.col("ani"), F.col("calibrated_ani"), F.col("af_ref")).alias("confidence"))
 
 

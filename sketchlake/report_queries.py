@@ -403,12 +403,12 @@ query("abundance_transform", "SELECT s_suppkey::BIGINT AS gid, round(pow(least(s
 def combine(mode):
     def run(s, d):
         rows = accounts(s, d).where("value > 0").select(F.col("genus").alias("key"), "value", "gid")
-        return Y.combined(rows.where("gid % 2 = 0"), rows.where("gid % 3 = 0"), mode, 0.2, 0.1).select("key", F.round("share", 9).alias("share"))
+        return Y.combined(rows.where("gid % 2 = 0"), rows.where("gid % 2 = 1 or gid % 3 = 0"), mode, 0.2, 0.1).select("key", F.round("share", 9).alias("share"))
 
     return run
 
 
-_GROUPS = "WITH m AS (SELECT s_nationkey::VARCHAR AS key, sum(s_acctbal) AS m FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 2 = 0 GROUP BY 1), a AS (SELECT s_nationkey::VARCHAR AS key, sum(s_acctbal) AS a FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 3 = 0 GROUP BY 1), j AS (SELECT key, m, a, sum(m) OVER () AS tm, sum(a) OVER () AS ta FROM m FULL JOIN a USING (key)), v AS (SELECT key, {v} AS v FROM j) SELECT key, round(0.9 * v / sum(v) OVER () + 0.1 / count(*) OVER (), 9) AS share FROM v WHERE v > 0"
+_GROUPS = "WITH m AS (SELECT s_nationkey::VARCHAR AS key, sum(s_acctbal) AS m FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 2 = 0 GROUP BY 1), a AS (SELECT s_nationkey::VARCHAR AS key, sum(s_acctbal) AS a FROM supplier WHERE s_acctbal > 0 AND (s_suppkey % 2 = 1 OR s_suppkey % 3 = 0) GROUP BY 1), j AS (SELECT key, m, a, sum(m) OVER () AS tm, sum(a) OVER () AS ta FROM m FULL JOIN a USING (key)), v AS (SELECT key, {v} AS v FROM j) SELECT key, round(0.9 * v / sum(v) OVER () + 0.1 / count(*) OVER (), 9) AS share FROM v WHERE v > 0"
 for _mode, _v in (("marker", "coalesce(m, a)"), ("sum", "coalesce(m, 0) + coalesce(a, 0)"), ("mass", "0.8 * coalesce(m, 0) / tm + 0.2 * coalesce(a, 0) / ta")):
     query(f"combined_abundance_{_mode}", _GROUPS.format(v=_v))(combine(_mode))
 query(

@@ -159,8 +159,8 @@ def range_records(path: str, start: int, end: int) -> Iterator[tuple[str, str, s
     """The records of a plain file whose headers begin from byte ``start`` to before ``end``; the last one is read to its own end."""
     with open(path, "rb") as file:
         with_quality = file.read(1) == b"@"
+        file.seek(max(start - 1, 0))
         if start:
-            file.seek(start - 1)
             file.readline()  # to the beginning of a line
         first = None
         for at, line in _places(file, end):

@@ -152,3 +152,10 @@ def test_models_of_held_out_samples_equal_plain_ridges(spark):
 )
 def test_verdicts_vary_on_the_given_tables(spark, name, column):
     assert QUERIES[name](spark, SF).select(column).distinct().limit(2).count() == 2
+
+
+def test_inputs_of_trees_are_the_same_as_columns_and_as_arrays(spark):
+    rows = [(x, a, f, d, 2 * d, d // 2) for x in (0, 1, 50) for a in (0.5, 0.97, 1.2) for f in (0.0, 0.1, 0.2, 0.49, 0.5, 1.0) for d in (0, 3)]
+    frame = spark.createDataFrame(rows, "xny long, ani double, af_ref double, n_diff_obj long, n_diff_section long, n_mut2 long")
+    got = np.array(frame.select(*[c.alias(n) for n, c in trees.feature_columns(200).items()]).collect())
+    assert np.allclose(got, trees.features(frame.toPandas(), 200))

@@ -4,6 +4,7 @@ import bz2
 import gzip
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from sketchlake.operators import readwise as R
 from sketchlake.operators import sketch as K
 from sketchlake.plans import reports
 from sketchlake.sources import fastx, sequences
-from sketchlake.sources.store import Layout, SketchSet, read_taxmap
+from sketchlake.functions import reads_qc
+from sketchlake.sources.store import Layout, SketchSet, open_index, read_taxmap, replay_reads, write_index, write_read_cache
 from sketchlake.streaming import profile as stream
 
 FASTA = ">a first\nACGT\nAC\n\n>b\nGG\n"
@@ -115,3 +117,51 @@ def test_a_large_plain_file_is_many_tasks(spark, tmp_path):
     assert len(ranges) > 10 and min(ranges) > 20 and sum(ranges) == 3000
     with pytest.raises(ValueError, match="compressed"):
         fastx.split_records(spark, str(tmp_path / "x.fq.gz"))
+
+
+def test_read_cache_replays_and_checks_its_stamp(spark, tmp_path):
+    reads = spark.createDataFrame([(u, h, u % 3) for u in range(50) for h in range(u % 7)], "unit long, hctx long, obj int").repartition(3)
+    path = str(tmp_path / "cache")
+    stamp = write_read_cache(reads.union(reads), 50, 4, path)
+    rows, held = replay_reads(spark, path, 4)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, reads.where("hctx <= 4").collect()))
+    assert held == stamp and (stamp.total_reads, stamp.density_reads) == (50, reads.where("hctx <= 4").select("unit").distinct().count())
+    with pytest.raises(ValueError, match="threshold"):
+        replay_reads(spark, path, 5)
+    with pytest.raises(ValueError, match="obj_bits"):
+        replay_reads(spark, path, 4, obj_bits=26)
+
+
+def test_joins_with_an_index_do_not_shuffle_it(spark, tmp_path, capsys):
+    ref = spark.createDataFrame([(g, h, g) for g in range(5) for h in range(40) if (g + h) % 3], "gid long, hctx long, obj int")
+    write_index(ref, "index_of_test", 8, str(tmp_path / "index"))
+    index = open_index(spark, "index_of_test")
+    reads = spark.createDataFrame([(u, u % 40, 1) for u in range(300)], "unit long, hctx long, obj int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = R.candidates(reads, index)
+        found.explain()
+        plan = capsys.readouterr().out
+        own = plan[plan.index("FileScan") - 900 : plan.index("FileScan")]
+        assert "Bucketed: true" in plan and "Exchange" not in own.split("SortMergeJoin")[-1].split(":- ")[-1].split("+- Sort [hctx")[-1]
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.candidates(reads, ref).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table index_of_test")
+    with pytest.raises(ValueError, match="index"):
+        reads.write.saveAsTable("no_index_of_test", path=str(tmp_path / "other"))
+        open_index(spark, "no_index_of_test")
+
+
+def test_range_of_counts_comes_from_the_wide_sample(spark):
+    dice = random.Random(6)
+    rows = [(g, h, 0, max(1, round(dice.gauss(20, 4))) if dice.random() < 0.8 else dice.choice([1, 1, 2, 90])) for g in range(2) for h in range(600)]
+    entries = spark.createDataFrame(rows, "gid long, hctx long, obj int, cnt long")
+    sketch, ranges = reads_qc.qc_sketch(entries, 40, 10)
+    held = {r.gid: (r.lower, r.upper) for r in ranges.collect()}
+    for g in range(2):
+        wide = sorted((h, c) for i, h, _, c in rows if i == g)[:400]
+        counts, n = np.unique([c for _, c in wide], return_counts=True)
+        want = reads_qc.infer_range(counts, n)
+        assert held[g] == (want.lower, want.upper)
+        assert sorted(r.hctx for r in sketch.where(f"gid = {g}").collect()) == [h for h, c in wide if want.lower <= c <= want.upper][:40]
