@@ -227,11 +227,16 @@ _CHOICE = rf"(?i)((?:(?:spdx-)?licen[sc]e-identifier:?|licen[sc]ed under(?: the)
 
 
 def split_statements(text: Column) -> Column:
-    """Sentences, each with its white space made single spaces; a blank line ends one too, and the end of a line with an identifier. A choice of short names is a statement for each."""
-    parts = F.transform(F.split(text, r"(?<=[.!?;])\s+|\n[ \t\r]*\n\s*|(?<=(?i:licen[sc]e-identifier:)[^\n]{1,200})\n", -1), lambda s: F.regexp_replace(s, r"\s+", " "))
+    """Sentences, each with its white space made single spaces; a blank line ends one too, and the end of a line with an identifier."""
+    parted = F.regexp_replace(text, r"(-(?i:identifier):[^\n]*+)\n", "$1\n\n")  # what begins with a rare sign is found fast
+    return F.transform(F.split(parted, r"(?<=[.!?;])\s+|\n[ \t\r]*\n\s*", -1), lambda s: F.regexp_replace(s, r"\s+", " "))
+
+
+def choices(statements: Column) -> Column:
+    """The statements, a choice of short names being one for each."""
     lead = lambda s: F.regexp_extract(s, _CHOICE, 1)
     each = lambda s: F.split(F.regexp_replace(F.regexp_extract(s, _CHOICE, 2), "[()]", ""), r"(?i)\s+(?:or|and|with)\s+", -1)
-    return F.flatten(F.transform(parts, lambda s: F.when(s.rlike(_CHOICE), F.transform(each(s), lambda x: F.concat(lead(s), F.lit(" "), x))).otherwise(F.array(s))))
+    return F.flatten(F.transform(statements, lambda s: F.when(s.rlike(_CHOICE), F.transform(each(s), lambda x: F.concat(lead(s), F.lit(" "), x))).otherwise(F.array(s))))
 
 
 def gram_array(statement: Column) -> Column:
@@ -278,7 +283,7 @@ def scan_licenses(docs: DataFrame, known: float | None = None, contained: float
     """
     needed = needed_strings(contained)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    hit = texts.where(_may(F.col("text"), needed)).select("doc_id", F.filter(split_statements(F.col("text")), lambda s: _may(s, needed)).alias("own"))
+    hit = texts.where(_may(F.col("text"), needed)).select("doc_id", choices(F.filter(split_statements(F.col("text")), lambda s: _may(s, needed))).alias("own"))
     # the row's number is written with it, so that no later read of it differs
     hit = store(hit.select("doc_id", F.monotonically_increasing_id().alias("uid"), "own"))
     lines = hit.select("uid", F.explode("own").alias("statement")).withColumn("sid", F.xxhash64("statement"))

@@ -27,7 +27,7 @@ def plain_scan(text, needed, contained=0.6):
     classes, weight, bias, threshold = licenses.model()
     may = lambda s, strings: any(re.search(x.replace(" ", r"\s+"), s, re.I) for x in strings)
     ends = r"(?<=[.!?;])\s+|\n[ \t\r]*\n\s*"
-    pieces = [p for piece in re.split(ends, text) for p in _lines(piece)]
+    pieces = [p for line in _lines(text) for p in re.split(ends, line)]
     families, n = collections.Counter(), 0
     for s in (re.sub(r"\s+", " ", p) for p in pieces):
         for one in _choices(s) if may(s, needed) else []:
@@ -47,7 +47,7 @@ def _lines(piece):
     out, held = [], ""
     for line in piece.split("\n"):
         held += ("\n" if held else "") + line
-        if re.search(r"licen[sc]e-identifier:.{1,200}$", line, re.I):
+        if re.search(r"-identifier:", line, re.I):
             out.append(held)
             held = ""
     return [*out, held] if held or not out else out
