@@ -1,6 +1,9 @@
 """Registered queries against their SQL."""
 
 import collections
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -51,3 +54,9 @@ def test_query_agrees_with_its_sql_over_all_samples(spark, name):
     found = connection.execute(f"select {', '.join(columns)} from ({ORACLES[name]})")
     assert rounded(got) == rounded(found.fetchall())
     assert max(r[0] for r in got) > 60 and {r[0] % 2 for r in got} == {0, 1}
+
+
+def test_the_entry_is_imported_without_a_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()) > 100, set(e.oracle_sql()) <= set(e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120).stdout.split() == ["True", "True"]
