@@ -351,7 +351,14 @@ _ORDERED = [
   JOIN pl p ON p.place = t.place JOIN pl r ON r.place = t.rep)""",
 ]
 query("greedy_dedup", W("SELECT gid, representative, gid <> representative AS removed FROM gd", *_ORDERED))(lambda s, d: G.greedy(quality(s, d), edge_rows(s, d)))
-query("full_linkage_dedup")(lambda s, d: G.full_linkage(quality(s, d), edge_rows(s, d)))
+_CLIQUES = [
+    "fl AS (SELECT 0::BIGINT AS i, []::BIGINT[][] AS cl UNION ALL SELECT al.place, CASE WHEN q IS NULL OR q = 0 THEN list_append(cl, [al.place]) ELSE list_transform(cl, lambda x, j: CASE WHEN j = q THEN list_append(x, al.place) ELSE x END) END"
+    " FROM (SELECT fl.*, al.place, list_position(list_transform(cl, lambda x: list_has_all(near, x)), true) AS q FROM fl JOIN al ON al.place = fl.i + 1) al)",
+    "fc AS (SELECT unnest(cl) AS c FROM (SELECT cl FROM fl ORDER BY i DESC LIMIT 1))",
+]
+query("full_linkage_dedup", W("SELECT p.gid, r.gid AS representative, p.gid <> r.gid AS removed FROM (SELECT unnest(c) AS place, c[1] AS rep FROM fc) t JOIN pl p ON p.place = t.place JOIN pl r ON r.place = t.rep", *_ORDERED, *_CLIQUES))(
+    lambda s, d: G.full_linkage(quality(s, d), checkpoint(edge_rows(s, d)))
+)
 _RULE = "CASE WHEN x.gid = y.gid THEN 'representative' WHEN x.ok <> y.ok THEN 'metadata' " + " ".join(f"WHEN x.ok AND x.{c} <> y.{c} THEN '{c}'" for c in ("is_fasta", "asm_level", "total_bp", "n_records", "median_bp", "len_cv")) + " WHEN x.n_entries <> y.n_entries THEN 'n_entries' ELSE 'gid' END"
 query(
     "dedup_plan",
