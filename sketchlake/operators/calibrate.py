@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sketchlake.operators.order import with_running_sum
+
 MEASURES = ("ani", "xny", "min_af", "breadth", "mean_depth", "hit_mean_depth", "depth_cv", "normalized_depth", "latent_af", "latent_ani")
 #: Fixed values of the gates.
 TAIL_UAF, TAIL_PROBABILITY = 0.35, 0.25
@@ -148,8 +150,7 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(column: str, name: str) -> DataFrame:
         counted = rows.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_k"))
-        upto = F.sum("_k").over(Window.orderBy("_v"))
-        return counted.select("_v", (upto - (F.col("_k") - 1) / 2).alias(name))
+        return with_running_sum(counted, [F.col("_v")], "_k", "_upto").select("_v", (F.col("_upto") - (F.col("_k") - 1) / 2).alias(name))
 
     ranked = rows.join(ranks(a, "_ra").withColumnRenamed("_v", "_va"), F.col(a) == F.col("_va")).join(ranks(b, "_rb").withColumnRenamed("_v", "_vb"), F.col(b) == F.col("_vb"))
     gap = F.col(a) - F.col(b)

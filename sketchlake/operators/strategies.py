@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchlake.operators import calibrate as C
+from sketchlake.operators.order import median
 
 #: When the direct unique calls replace the gate's.
 FALLBACK_BASE, FALLBACK_UAF, FALLBACK_EXTRA, FALLBACK_RATIO = 15, 0.50, 0.03, 0.80
@@ -120,7 +121,7 @@ def winner_rescue(rows: DataFrame, limits: dict[str, float] | None = None) -> Da
 def transformed(rows: DataFrame, value: str, power: float = 1.0, cap: float = 0.0, floor: float = 0.0) -> DataFrame:
     """Positive values plus ``transformed``: capped at ``cap`` medians, raised by ``floor`` medians, then to ``power``; the median is that of the values as given."""
     positive = rows.where(F.col(value) > 0)
-    middle = positive.agg(F.median(value).alias("_m"))  # one row
+    middle = median(positive, value, "_m")
     v = F.col(value).cast("double")
     v = F.least(v, F.col("_m") * cap) if cap > 0 else v
     v = v + F.col("_m") * floor if floor > 0 else v

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sketchlake.operators.order import with_place
+
 EDGE_COLUMNS = ("a", "b", "distance", "xny", "max_af")
 
 
@@ -14,9 +16,7 @@ def write_tsv(frame: DataFrame, path: str) -> None:
 
 def phylip_ids(samples: DataFrame) -> DataFrame:
     """``gid, id``: ten-character identifiers by position."""
-    from pyspark.sql import Window
-
-    return samples.select("gid", F.format_string("S%09d", F.row_number().over(Window.orderBy("gid"))).alias("id"))
+    return with_place(samples.select("gid"), [F.col("gid")]).select("gid", F.format_string("S%09d", "place").alias("id"))
 
 
 def phylip_lines(matrix: DataFrame, samples: DataFrame) -> DataFrame:
@@ -30,9 +30,7 @@ def phylip_lines(matrix: DataFrame, samples: DataFrame) -> DataFrame:
 
 def profile_text(percentages: DataFrame, sample: str) -> DataFrame:
     """``ord, line``: a taxonomic profile by rank."""
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.orderBy("rank", F.desc("percentage"), "taxid"))
-    body = percentages.select(order.cast("long").alias("ord"), F.concat_ws("\t", "taxid", "rank", "taxpath", F.format_number("percentage", 6)).alias("line"))
+    placed = with_place(percentages, [F.asc("rank"), F.desc("percentage"), F.asc("taxid"), F.asc("taxpath")], "ord")
+    body = placed.select("ord", F.concat_ws("\t", "taxid", "rank", "taxpath", F.format_number("percentage", 6)).alias("line"))
     head = percentages.sparkSession.createDataFrame([(-2, f"@SampleID:{sample}"), (-1, "@@TAXID\tRANK\tTAXPATH\tPERCENTAGE")], "ord long, line string")
     return head.unionByName(body)

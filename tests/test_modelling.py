@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sketchlake.functions import trees
 from sketchlake.operators import call_model as M
 from sketchlake.operators import modelling as N
+from sketchlake.operators.order import median, with_running_sum
 import sketchlake.report_queries  # noqa: F401  (adds its queries)
 from sketchlake.queries import QUERIES
 
@@ -159,3 +160,13 @@ def test_inputs_of_trees_are_the_same_as_columns_and_as_arrays(spark):
     frame = spark.createDataFrame(rows, "xny long, ani double, af_ref double, n_diff_obj long, n_diff_section long, n_mut2 long")
     got = np.array(frame.select(*[c.alias(n) for n, c in trees.feature_columns(200).items()]).collect())
     assert np.allclose(got, trees.features(frame.toPandas(), 200))
+
+
+def test_running_sums_and_medians_equal_plain_ones(spark):
+    dice = random.Random(5)
+    for n in (0, 1, 2, 7, 200):
+        values = [round(dice.gauss(0, 3), 1) for _ in range(n)]
+        frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        assert median(frame, "v").first()[0] == (float(np.median(values)) if n else None)
+        rows = with_running_sum(frame.groupBy("v").agg(F.count("*").alias("k")), [F.col("v")], "k", "upto").collect()
+        assert {r.v: r.upto for r in rows} == {v: sum(x <= v for x in values) for v in values}
