@@ -141,3 +141,24 @@ def streamed_sketch(records: DataFrame, k: int, pattern: Pattern | WidePattern =
         if short.isEmpty():
             return out
         todo, slack = todo.join(short, "gid", "left_semi"), 4 * slack
+
+
+def streamed_densities(records: DataFrame, k: int, pattern: WidePattern, slack: int = 2) -> DataFrame:
+    """``wide_densities`` of records from entries pruned while reading, as ``streamed_sketch`` prunes them.
+
+    A sample's entries are complete up to its lowest limit. Where something was cut, more than k contexts without conflict must lie below, so that the
+    threshold does too; samples with fewer are read again with four times the slack.
+    """
+    ship(records.sparkSession)
+    todo, out = records.select(F.col("gid").cast("long").alias("gid"), "seq").dropna(subset=["gid"]), None
+    while True:
+        found = checkpoint(_partial(todo, pattern, slack * k))
+        last = found.groupBy("gid").agg(F.min(K.unsigned("last")).alias("_last"))
+        whole = found.join(last, "gid").where(K.unsigned("hctx") <= F.col("_last")).groupBy("gid", "hctx", "obj").agg(F.sum("cnt").alias("cnt"))
+        clean = K.drop_conflicts(whole).groupBy("gid").agg(F.count("*").alias("_n")).where(F.col("_n") > k).select("gid")
+        short = checkpoint(last.where(F.col("_last") < F.lit(2**63 - 1)).select("gid").join(clean, "gid", "left_anti"))
+        done = checkpoint(K.wide_densities(whole, k).join(short, "gid", "left_anti"))
+        out = done if out is None else out.union(done)
+        if short.isEmpty():
+            return out
+        todo, slack = todo.join(short, "gid", "left_semi"), 4 * slack
