@@ -5,6 +5,7 @@ import random
 import pytest
 
 from sketchlake import queries as Q
+from sketchlake.operators import calibrate as C
 from sketchlake.operators import evidence as E
 from sketchlake.operators import readwise as R
 
@@ -38,3 +39,17 @@ def test_candidates_are_neither_sorted_nor_dealt_again(spark):
     """Sums per context follow the join where it is; only reads and references are shuffled, and no window runs over candidates."""
     plan = R.coverage(Q.assigned(spark, "/root/testdata/sf0.001", "best-diff-split"))._jdf.queryExecution().executedPlan().toString()
     assert "Window [min(d" not in plan and "hashpartitioning(unit" not in plan and "hashpartitioning(gid" not in plan
+
+
+@pytest.mark.parametrize("mode", R.MODES)
+def test_coverage_by_classes_of_reads_is_that_of_reads(sides, mode):
+    reads, ref = sides
+    assert sorted(map(tuple, R.covered(reads, ref, mode).collect())) == sorted(map(tuple, R.coverage(R.matched(reads, ref, mode)).collect())) != []
+
+
+def test_shares_by_contexts_are_those_over_written_candidates(spark, sides):
+    reads, ref = sides
+    marker = spark.createDataFrame([(g, float(g)) for g in range(8)], "gid long, share double")
+    got = {r["gid"]: r["share"] for r in C.context_em(reads, ref, marker, alpha=0.7, iterations=3).collect()}
+    want = {r["gid"]: r["share"] for r in C.ambiguity_em(R.ambiguity_edges(R.matched(reads, ref, "all")), marker, alpha=0.7, iterations=3).collect()}
+    assert got == pytest.approx(want) and len(set(got.values())) > 3
