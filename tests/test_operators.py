@@ -288,3 +288,15 @@ def test_read_qc_runs_and_moments():
     assert reads_qc._run_around(counts, np.array([True] * 6), 1).tolist() == [0, 1, 2]
     assert reads_qc._run_around(counts, np.array([False] * 6), 4).tolist() == [4]
     assert reads_qc._moments(np.array([4, 4, 4]), np.array([1.0, 1.0, 1.0])) == (4.0, 0.0)
+
+
+def test_full_matrix_joins_no_cells(spark, monkeypatch):
+    """Pairs of samples that aren't listed, samples without pairs and blocks that end within the ids; cells come out without meeting in a join."""
+    monkeypatch.setattr(P, "BLOCK_COLUMNS", 3)
+    pairs = spark.createDataFrame([(5, 1, 0.25), (9, 5, 0.5), (9, 2, 0.75), (40, 1, 0.1)], "qry long, ref long, x double")
+    ids = [1, 2, 3, 5, 9, 11, 12]
+    matrix = P.full_matrix(pairs, spark.createDataFrame([(i,) for i in ids], "gid long"), F.col("x"))
+    near = {(5, 1): 0.25, (9, 5): 0.5, (9, 2): 0.75}
+    want = sorted((a, b, 0.0 if a == b else near.get((max(a, b), min(a, b)), 1.0)) for a in ids for b in ids)
+    assert sorted(map(tuple, matrix.collect())) == want
+    assert "LeftOuter" not in matrix._jdf.queryExecution().executedPlan().toString()
