@@ -227,3 +227,28 @@ def test_text_tables(spark, tmp_path):
         groups.write_text(bad)
         with pytest.raises(ValueError):
             S.check_grouping(S.read_grouping(spark, str(groups)), n)
+
+
+def test_pairs_of_reports_are_dealt_once_and_stay_out_of_python(spark):
+    """Of related samples: features dealt by query are those joined twice, and the plan has no Python and no join of pairs by reference."""
+    from sketchlake import report_queries as Z
+    from sketchlake.operators import pairs as P
+    from sketchlake.operators import sketch as K
+
+    k = K.build(Z.related(spark, "/root/testdata/sf0.001"), 50)
+    known = P.context_counts(k).select("gid", (F.col("gid") * 3).alias("x"))
+    got, want = P.triangle_features(k, known), P.features(P.matches(k, k, triangle=True), P.context_counts(k))
+    assert sorted(map(tuple, got.drop("x_qry", "x_ref").collect())) == sorted(map(tuple, want.collect())) != []
+    assert got.where("x_qry <> 3 * qry or x_ref <> 3 * ref").isEmpty()
+    plan = Z.Q.QUERIES["identity_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "hashpartitioning(ref" not in plan
+
+
+def test_an_ensemble_as_a_column_gives_what_it_gives_in_batches(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame(pd.DataFrame({"xny": rng.integers(0, 200, 300), "n_diff_obj": rng.integers(0, 50, 300), "n_diff_section": rng.integers(0, 90, 300), "n_mut2": rng.integers(0, 30, 300), "ani": rng.random(300) * 0.1 + 0.9, "af_ref": rng.random(300)}))
+    model = {"baseline": 0.9, "trees": [{"feature": [0, 2, -1, -1, -1], "threshold": [0.95, 6.0, 0, 0, 0], "left": [1, 3, 0, 0, 0], "right": [2, 4, 0, 0, 0], "value": [0, 0, 0.02, -0.03, 0.2]}]}
+    got = trees.recalibrate(frame, model, 200).toPandas()
+    monkeypatch.setattr(trees, "EXPRESSION_NODES", 0)
+    want = trees.recalibrate(frame, model, 200).toPandas()
+    assert np.allclose(got["calibrated_ani"], want["calibrated_ani"]) and got["calibrated_ani"].nunique() > 3
