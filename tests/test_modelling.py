@@ -174,8 +174,6 @@ def test_running_sums_and_medians_equal_plain_ones(spark):
 
 def test_rows_that_stand_for_several_are_fitted_as_those(spark):
     """Also where fewer than five rows are five times or more."""
-    from sketchlake.functions import trees
-
     rng = np.random.default_rng(8)
     x, y = rng.random(60), rng.random(60)
     rows = [(float(a), float(b), float(a > 0.9) + float(b), int(t)) for a, b, t in zip(x, y, rng.integers(1, 9, 60), strict=True)]
