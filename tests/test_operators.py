@@ -131,6 +131,28 @@ def test_greedy_is_the_first_independent_set_and_full_linkage_gives_cliques(spar
     assert sum(r["kept"] for r in plan.values()) == len(set(keeper.values())) and plan[order[0]]["rule"] == "representative"
 
 
+@pytest.mark.parametrize("size", [9, 40])
+def test_full_linkage_settles_ranges_as_the_whole_order(spark, size):
+    edges, n = graph(7, 40, 0.4)
+    samples = spark.createDataFrame([(g, 100, True, 0.5, 1, 10, 0.1, 1) for g in range(n)], "gid long, total_bp long, is_fasta boolean, asm_level double, n_records long, median_bp long, len_cv double, n_entries long")
+    near = {(x, y) for a, b in edges for x, y in ((a, b), (b, a))}
+    cliques = []
+    for g in range(n):  # the lower id is better
+        owner = next((c for c in cliques if all((g, m) in near for m in c)), None)
+        cliques.append([g]) if owner is None else owner.append(g)
+    assert {len(c) for c in cliques} >= {1, 2, 3}
+    found = G.full_linkage(samples, spark.createDataFrame(edges, "a long, b long"), size)
+    assert {r["gid"]: r["representative"] for r in found.collect()} == {g: c[0] for c in cliques for g in c}
+
+
+def test_full_linkage_has_few_rounds_where_each_sample_waits_for_the_one_before(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(G, "checkpoint", lambda frame, f=G.checkpoint: written.append(1) or f(frame))
+    samples = spark.createDataFrame([(g, 100, True, 0.5, 1, 10, 0.1, 1) for g in range(24)], "gid long, total_bp long, is_fasta boolean, asm_level double, n_records long, median_bp long, len_cv double, n_entries long")
+    found = G.full_linkage(samples, spark.createDataFrame([(g, g + 1) for g in range(23)], "a long, b long"))
+    assert {r["gid"]: r["representative"] for r in found.collect()} == {g: g // 2 * 2 for g in range(24)} and len(written) <= 4
+
+
 def test_components_settle_on_paths_and_lone_samples(spark):
     samples = spark.createDataFrame([(i,) for i in range(12)], "gid long")
     found = {r["gid"]: r["component"] for r in G.components(samples, spark.createDataFrame([(i, i + 1) for i in range(8)] + [(10, 9)], "a long, b long")).collect()}
