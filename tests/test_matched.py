@@ -47,6 +47,14 @@ def test_coverage_by_classes_of_reads_is_that_of_reads(sides, mode):
     assert sorted(map(tuple, R.covered(reads, ref, mode).collect())) == sorted(map(tuple, R.coverage(R.matched(reads, ref, mode)).collect())) != []
 
 
+def test_tasks_of_the_matching_grow_with_the_references(sides, monkeypatch):
+    reads, ref = sides
+    want = sorted(map(tuple, R.covered(reads, ref, "best-diff-split").collect()))
+    monkeypatch.setattr(R, "TASK_CONTEXTS", 8, raising=False)
+    assert R.classes(reads, ref)[1].rdd.getNumPartitions() == -(-ref.count() // 8) > 4
+    assert sorted(map(tuple, R.covered(reads, ref, "best-diff-split").collect())) == want
+
+
 def test_shares_by_contexts_are_those_over_written_candidates(spark, sides):
     reads, ref = sides
     marker = spark.createDataFrame([(g, float(g)) for g in range(8)], "gid long, share double")
